@@ -110,19 +110,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 held.append((row.part, row.guest, row.doc_id, decompressed(row.z)))
                 size += len(held[-1][3])
                 if size > 1_000_000:
-                    yield pairs(held)
+                    yield from pairs(held)
                     held = held[-1:]
                     size = 0
-        yield pairs(held)
+        yield from pairs(held)
 
-    def pairs(held: list[tuple]) -> pd.DataFrame:
+    def pairs(held: list[tuple]) -> Iterator[pd.DataFrame]:
         """All rows of held but the last and the guests, each with the row after it."""
         keep = [i for i in range(len(held) - 1) if not held[i][1]]
+        if not keep:
+            return
         own = lanes([h[3] for h in held])
         changed = [edited(held[i][3], held[i + 1][3]) for i in keep]
         other = lanes(changed)
         at = np.array(keep, dtype=np.int64)
-        return pd.DataFrame(
+        yield pd.DataFrame(
             {
                 "doc_id": pd.array([held[i][2] for i in keep], dtype="Int64"),
                 "n_chars": [len(held[i][3]) for i in keep],

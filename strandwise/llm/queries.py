@@ -23,6 +23,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest)
 
 
+def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.packing import pack, pieces
+
+    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
+    return pack(cut, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.bpe import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.fingerprint import fingerprints
 
@@ -32,6 +45,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_threshold_top_k": op3_threshold_top_k,
     "op6_token_files": op6_token_files,
+    "op7_minimum_bin_slack": op7_minimum_bin_slack,
+    "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
 

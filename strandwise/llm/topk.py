@@ -135,7 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     out.append((np.full(len(found), own), found, scores))
                     if len(scores) >= k:
                         kth[i] = max(kth[i], scores.min())
-                yield pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("query_id", "vec_id", "score"))})
+                if any(len(o[0]) for o in out):
+                    yield pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("query_id", "vec_id", "score"))})
 
     found = pairs.select("n", "dim", "ids", "matrix", "lists", "q", "q_ids", "q_matrix").mapInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
