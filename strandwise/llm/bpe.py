@@ -33,47 +33,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of places by rank; pop gives the leftmost place of the least rank."""
+    """What waits: a heap of places for each rank, and bitmaps of the ranks and of the bitmaps in use."""
 
     def __init__(self, ranks: int):
         if ranks > 1 << 18:
             raise ValueError("three levels hold 262,144 ranks")
+        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
         self.low = [0] * ((ranks >> 6) + 1)
         self.middle = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            a, b = rank >> 6, rank >> 12
-            self.low[a] |= 1 << (rank & 63)
-            self.middle[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(bucket, place)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, place), or (-1, -1) if nothing waits."""
-        top = self.top
-        if not top:
-            return -1, -1
-        b = (top & -top).bit_length() - 1
-        word = self.middle[b]
-        a = (b << 6) + (word & -word).bit_length() - 1
-        word = self.low[a]
-        rank = (a << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.middle[b] &= ~(1 << (a & 63))
-                if not self.middle[b]:
-                    self.top &= ~(1 << b)
-        return rank, place
 
 
 class Bpe:
@@ -92,39 +59,62 @@ class Bpe:
         whole = get(data)
         if whole is not None:
             return [whole]
-        push, pop = self.queue.push, self.queue.pop
+        buckets, low, middle, top = self.queue.buckets, self.queue.low, self.queue.middle, 0
         after = list(range(1, n + 1))  # where the part that begins here ends
-        before = list(range(-1, n - 1))  # where the part to the left begins
-        pair = [-1] * (n + 1)  # rank of this part with the next; -1: no token, or no part begins here
-        for i in range(n - 1):
-            rank = get(data[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
+        before = list(range(-1, n))  # where the part to the left begins
+        pair = [get(data[i : i + 2], -1) for i in range(n)]  # rank of this part with the next; -1: no token, or no part begins here
+        pair[n - 1] = -1
+        entering = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
         while True:
-            rank, i = pop()
-            if rank < 0:
+            for rank, i in entering:
+                bucket = buckets[rank]
+                if bucket:
+                    heappush(bucket, i)
+                    continue
+                bucket.append(i)
+                a = rank >> 6
+                if not low[a]:
+                    b = rank >> 12
+                    if not middle[b]:
+                        top |= 1 << b
+                    middle[b] |= 1 << (a & 63)
+                low[a] |= 1 << (rank & 63)
+            if not top:
                 break
+            b = (top & -top).bit_length() - 1
+            word = middle[b]
+            a = (b << 6) + (word & -word).bit_length() - 1
+            word = low[a]
+            rank = (a << 6) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                word &= word - 1
+                low[a] = word
+                if not word:
+                    middle[b] &= middle[b] - 1
+                    if not middle[b]:
+                        top &= top - 1
+            entering = []
             if pair[i] != rank:
                 continue
             gone = after[i]
-            end = after[gone]
-            after[i] = end
-            pair[gone] = pair[i] = -1
+            end = after[i] = after[gone]
+            pair[gone] = -1
+            new = -1
             if end < n:
                 before[end] = i
-                new = get(data[i : after[end]])
-                if new is not None:
-                    pair[i] = new
-                    push(new, i)
+                new = get(data[i : after[end]], -1)
+                if new >= 0:
+                    entering.append((new, i))
+            pair[i] = new
             left = before[i]
             if left >= 0:
-                new = get(data[left:end])
-                if new is None:
-                    pair[left] = -1
-                elif pair[left] != new:
+                new = get(data[left:end], -1)
+                if pair[left] != new:
                     pair[left] = new
-                    push(new, left)
+                    if new >= 0:
+                        entering.append((new, left))
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[data[i : after[i]]])

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import BYTE_BPE_CUT, ChunkCache, library_encoder, partitions, slices
+from strandwise.llm.common import library_cache, partitions, slices
 from strandwise.session import written
 
 #: Most rows of the slot table that go to every task: one a combination and length.
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024) -> Da
     """doc_id, piece, start, length, ids_crc32 of each piece."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ChunkCache(library_encoder(tokenizer), BYTE_BPE_CUT, lead=" ")
+        encode = library_cache(tokenizer, words=False)
         end = np.array([end_id], "<u4").tobytes()
         for frame in slices(frames, most=1_000_000):
             rows: list[tuple] = []
