@@ -200,16 +200,72 @@ class ChunkCache:
         return [b"".join(map(get, p)) for p in pieces]
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """The tokenizers library with add_special_tokens=False."""
-    import os
+#: Letters whose runs the word-level pattern keeps whole and that no normaliser changes beyond their case, then marks that form a token run of their own.
+PLAIN_WORD = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+([.,;:!?*#$%&]+)?")
+#: Chunks that go to the library as one text.
+JOINED = 1000
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+class LibraryEncoder:
+    """Distinct chunks through the tokenizers library with add_special_tokens=False, many in one call.
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    Most of a call for one short chunk is overhead, so chunks are joined to longer texts and the ids
+    are cut again where the vocabulary shows a border: at tokens that end a word (word-level
+    vocabularies), or at tokens that begin with a space (byte-level ones). Chunks whose number of such
+    marks isn't known beforehand go alone, as do all of a call whose marks don't add up.
+    """
 
-    return encode
+    def __init__(self, path: str, words: bool):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = words
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if words else t.startswith("\u0120"))]] = True
+
+    def marks(self, chunk: str) -> int:
+        """How many marks the chunk's ids hold; 0: not known."""
+        if self.words:
+            plain = PLAIN_WORD.fullmatch(chunk)
+            return 0 if plain is None else 1 if plain[1] is None else 2
+        return int(chunk[:1] == " " and len(chunk.split()) == 1 and not chunk[-1].isspace())
+
+    def alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        counts = [self.marks(c) for c in chunks]
+        found: dict[str, bytes] = {}
+        many = [(c, n) for c, n in zip(chunks, counts) if n]
+        single = [c for c, n in zip(chunks, counts) if not n]
+        groups = [many[i : i + JOINED] for i in range(0, len(many), JOINED)]
+        texts = [(" " if self.words else "").join(c for c, _ in g) for g in groups]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            at = np.flatnonzero(self.mark[ids])
+            total = np.cumsum([n for _, n in group])
+            if len(at) != total[-1]:
+                single += [c for c, _ in group]
+                continue
+            ends = at[total - 1] + 1 if self.words else np.append(at[1:], len(ids))
+            data, begin = ids.tobytes(), 0
+            for (chunk, _), end in zip(group, ends.tolist()):
+                found[chunk] = data[4 * begin : 4 * end]
+                begin = end
+        found.update(zip(single, self.alone(single)))
+        return [found[c] for c in chunks]
+
+
+_encoders: dict[tuple[str, bool], ChunkCache] = {}
+
+
+def library_cache(path: str, words: bool) -> ChunkCache:
+    """The library's encoder behind a chunk cache, kept from task to task by a worker."""
+    if (path, words) not in _encoders:
+        encoder = LibraryEncoder(path, words)
+        _encoders[path, words] = ChunkCache(encoder, BLANK_CUT if words else BYTE_BPE_CUT, "" if words else " ")
+    return _encoders[path, words]

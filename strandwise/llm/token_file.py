@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import BLANK_CUT, ChunkCache, decompressed, in_order, library_encoder
+from strandwise.llm.common import decompressed, in_order, library_cache
 from strandwise.session import shared_path, written
 
 MAGIC = b"FWTOKEN1"
@@ -57,7 +57,7 @@ class TokenWriter:
     def __init__(self, stream, width: int):
         self.stream, self.width = stream, width
         self.docs: list[int | None] = []
-        self.starts, self.offsets, self.waiting = [0], [len(MAGIC)], np.zeros(0, np.uint32)
+        self.starts, self.offsets, self.waiting, self.held = [0], [len(MAGIC)], [], 0
         stream.write(MAGIC)
 
     def _put(self, ids: np.ndarray) -> None:
@@ -70,14 +70,18 @@ class TokenWriter:
             raise ValueError("an id needs more bits than the file's width")
         self.docs.append(doc_id)
         self.starts.append(self.starts[-1] + len(ids))
-        self.waiting = np.concatenate([self.waiting, ids.astype(np.uint32)])
-        while len(self.waiting) >= BLOCK:
-            self._put(self.waiting[:BLOCK])
-            self.waiting = self.waiting[BLOCK:]
+        self.waiting.append(ids)
+        self.held += len(ids)
+        if self.held >= BLOCK:
+            ids = np.concatenate(self.waiting)
+            whole = len(ids) // BLOCK * BLOCK
+            for at in range(0, whole, BLOCK):
+                self._put(ids[at : at + BLOCK])
+            self.waiting, self.held = [ids[whole:]], len(ids) - whole
 
     def close(self) -> None:
-        if len(self.waiting):
-            self._put(self.waiting)
+        if self.held:
+            self._put(np.concatenate(self.waiting))
         null = np.array([d is None for d in self.docs], np.uint8)
         docs = np.array([0 if d is None else d for d in self.docs], "<i8")
         index = docs.tobytes() + null.tobytes() + np.array(self.starts, "<i8").tobytes() + np.array(self.offsets, "<i8").tobytes()
@@ -138,7 +142,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int)
     width = width_of(vocabulary)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ChunkCache(library_encoder(tokenizer), BLANK_CUT)
+        encode = library_cache(tokenizer, words=True)
         end = np.array([end_id], "<u4").tobytes()
         writer = stream = system = None
         part, target, own = 0, "", ""
