@@ -16,6 +16,12 @@ def op3_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.token_file import read_tokens, write_tokens
 
@@ -44,6 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_threshold_top_k": op3_threshold_top_k,
+    "op4_semi_markov_pii": op4_semi_markov_pii,
     "op6_token_files": op6_token_files,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
