@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from strandwise.llm.common import table
 
 
+def op1_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.quality import learned, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learned(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op3_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.topk import top_k
 
@@ -22,6 +29,13 @@ def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
 
+def op5_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.toxicity import learned, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learned(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.token_file import read_tokens, write_tokens
 
@@ -49,8 +63,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_cnn_quality": op1_byte_cnn_quality,
     "op3_threshold_top_k": op3_threshold_top_k,
     "op4_semi_markov_pii": op4_semi_markov_pii,
+    "op5_recurrent_toxicity": op5_recurrent_toxicity,
     "op6_token_files": op6_token_files,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
