@@ -174,29 +174,47 @@ BYTE_BPE_CUT = re.compile(r" (?=\S)")
 #: A token never spans these, for tokenizers that drop white space.
 BLANK_CUT = re.compile(r"[ \n\t\r]+")
 #: Distinct chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
+#: Marks that, after a letter, begin a token of their own in all of these patterns and go on to the end of the chunk.
+TAIL = ".,;:!?*#$%&"
 
 
 class ChunkCache:
     """Encodes texts chunk by chunk; chunks seen before come from a bounded table.
 
     encode takes a list of chunks and returns for each its ids as little-endian uint32 bytes.
-    With lead, every chunk but a text's first gets back the space it was cut at.
+    With lead, every chunk but a text's first gets back the space it was cut at. A chunk not seen
+    before is looked up as a word and the marks behind it; with fold, ASCII words in lower case.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: re.Pattern, lead: str = ""):
-        self.encode, self.cut, self.lead = encode, cut, lead
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: re.Pattern, lead: str = "", fold: bool = False):
+        self.encode, self.cut, self.lead, self.fold = encode, cut, lead, fold
         self.known: dict[str, bytes] = {}
 
+    def parts(self, chunk: str) -> tuple[str, ...]:
+        word = chunk.rstrip(TAIL)
+        split = word and word != chunk and "A" <= word[-1] < "\u0100" and word[-1].isalpha()
+        first = word if split else chunk
+        if self.fold and first.isascii():
+            first = first.lower()
+        return (first, chunk[len(word) :]) if split else (first,)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [self.cut.split(t) for t in texts]
         if self.lead:
             pieces = [[p[0], *[self.lead + x for x in p[1:]]] for p in pieces]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        missing = list({x for p in pieces for x in p} - self.known.keys())
-        self.known.update(zip(missing, self.encode(missing)))
-        get = self.known.__getitem__
+        known = self.known
+        missing = {x: self.parts(x) for x in {x for p in pieces for x in p} - known.keys()}
+        needed = list({y for parts in missing.values() for y in parts} - known.keys())
+        known.update(zip(needed, self.encode(needed)))
+        for x, parts in missing.items():
+            if len(parts) == 2:
+                known[x] = known[parts[0]] + known[parts[1]]
+            elif parts[0] is not x:
+                known[x] = known[parts[0]]
+        get = known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
 
@@ -267,5 +285,5 @@ def library_cache(path: str, words: bool) -> ChunkCache:
     """The library's encoder behind a chunk cache, kept from task to task by a worker."""
     if (path, words) not in _encoders:
         encoder = LibraryEncoder(path, words)
-        _encoders[path, words] = ChunkCache(encoder, BLANK_CUT if words else BYTE_BPE_CUT, "" if words else " ")
+        _encoders[path, words] = ChunkCache(encoder, BLANK_CUT if words else BYTE_BPE_CUT, "" if words else " ", fold=words)
     return _encoders[path, words]
