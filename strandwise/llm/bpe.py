@@ -4,8 +4,10 @@ Each match of the pattern is encoded on its own, as the tiktoken library does: a
 token itself becomes that id, else its bytes are merged pair by pair, always the pair of least rank,
 the leftmost of equal ones. The pairs wait in one bucket a rank, as places in a linked list of parts.
 A bitmap of three levels, 64 ways each, marks the ranks whose buckets hold something: three
-find-first-set steps give the next rank. Entries whose pair has changed since are skipped when they
-come up. A merge costs a few dictionary look-ups and heap steps, whatever the length of the pre-token.
+find-first-set steps give the next rank. Its bucket is worked off from left to right until a merge
+makes a pair of lower rank, which goes first. Entries whose pair has changed since are skipped when
+they come up. A merge costs a few dictionary look-ups, whatever the length of the pre-token. Many short
+pre-tokens share one list, with a byte between them that no token of two or more bytes holds.
 
 Null texts count as empty; an empty text has no ids. Repeated rows, null or equal doc_ids each give a
 row. Columns other than doc_id and text are ignored. Decoding gives back the text's own bytes.
@@ -15,15 +17,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from strandwise.llm.common import BYTE_BPE_CUT, REMEMBERED, ChunkCache, slices, utf8
+from strandwise.llm.common import BYTE_BPE_CUT, ChunkCache, slices, utf8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,7 +35,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """What waits: a heap of places for each rank, and bitmaps of the ranks and of the bitmaps in use."""
+    """What waits: the places of each rank, and bitmaps of the ranks and of the bitmaps in use."""
 
     def __init__(self, ranks: int):
         if ranks > 1 << 18:
@@ -51,14 +53,46 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.known: dict[str, bytes] = {}
+        held = {b for token in ranks if len(token) > 1 for b in token}
+        #: 0xFE and 0xFF are in no text's UTF-8.
+        self.border = next((bytes([b]) for b in (0xFF, 0xFE) if b not in held), None)
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each of these pre-tokens."""
+        get = self.ranks.get
+        whole = [get(w) for w in words]
+        split = [w for w, rank in zip(words, whole) if rank is None]
+        if self.border is None:
+            merged = [self.merge(w) for w in split]
+        else:
+            merged, part, held = [], [], 0
+            for w in split:
+                part.append(w)
+                held += len(w)
+                if held > 30_000:
+                    merged += self.merge_list(part)
+                    part, held = [], 0
+            merged += self.merge_list(part)
+        following = iter(merged)
+        return [next(following) if rank is None else [rank] for rank in whole]
+
+    def merge_list(self, words: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = []
+        if words:
+            last = self.ranks.get(self.border, -1)
+            ids: list[int] = []
+            for part in self.merge(self.border.join(words)):
+                if part == last:
+                    out.append(ids)
+                    ids = []
+                else:
+                    ids.append(part)
+            out.append(ids)
+        return out
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one pre-token's bytes."""
+        """Ids of the parts left when no pair of neighbours is a token; -1 for a byte that is none."""
         get, n = self.ranks.get, len(data)
-        whole = get(data)
-        if whole is not None:
-            return [whole]
         buckets, low, middle, top = self.queue.buckets, self.queue.low, self.queue.middle, 0
         after = list(range(1, n + 1))  # where the part that begins here ends
         before = list(range(-1, n))  # where the part to the left begins
@@ -68,17 +102,15 @@ class Bpe:
         while True:
             for rank, i in entering:
                 bucket = buckets[rank]
-                if bucket:
-                    heappush(bucket, i)
-                    continue
                 bucket.append(i)
-                a = rank >> 6
-                if not low[a]:
-                    b = rank >> 12
-                    if not middle[b]:
-                        top |= 1 << b
-                    middle[b] |= 1 << (a & 63)
-                low[a] |= 1 << (rank & 63)
+                if len(bucket) == 1:
+                    a = rank >> 6
+                    if not low[a]:
+                        b = rank >> 12
+                        if not middle[b]:
+                            top |= 1 << b
+                        middle[b] |= 1 << (a & 63)
+                    low[a] |= 1 << (rank & 63)
             if not top:
                 break
             b = (top & -top).bit_length() - 1
@@ -86,55 +118,56 @@ class Bpe:
             a = (b << 6) + (word & -word).bit_length() - 1
             word = low[a]
             rank = (a << 6) + (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                word &= word - 1
-                low[a] = word
-                if not word:
-                    middle[b] &= middle[b] - 1
-                    if not middle[b]:
-                        top &= top - 1
+            places = buckets[rank]
+            buckets[rank] = []
+            word &= word - 1
+            low[a] = word
+            if not word:
+                middle[b] &= middle[b] - 1
+                if not middle[b]:
+                    top &= top - 1
+            if len(places) > 1:
+                places.sort()
             entering = []
-            if pair[i] != rank:
-                continue
-            gone = after[i]
-            end = after[i] = after[gone]
-            pair[gone] = -1
-            new = -1
-            if end < n:
-                before[end] = i
-                new = get(data[i : after[end]], -1)
-                if new >= 0:
-                    entering.append((new, i))
-            pair[i] = new
-            left = before[i]
-            if left >= 0:
-                new = get(data[left:end], -1)
-                if pair[left] != new:
-                    pair[left] = new
+            lower = False
+            for k, i in enumerate(places):
+                if pair[i] != rank:
+                    continue
+                if lower:
+                    entering += [(rank, j) for j in places[k:]]
+                    break
+                gone = after[i]
+                end = after[i] = after[gone]
+                pair[gone] = -1
+                new = -1
+                if end < n:
+                    before[end] = i
+                    new = get(data[i : after[end]], -1)
                     if new >= 0:
-                        entering.append((new, left))
+                        entering.append((new, i))
+                        lower = new < rank
+                pair[i] = new
+                left = before[i]
+                if left >= 0:
+                    new = get(data[left:end], -1)
+                    if pair[left] != new:
+                        pair[left] = new
+                        if new >= 0:
+                            entering.append((new, left))
+                            lower = lower or new < rank
         ids, i = [], 0
         while i < n:
-            ids.append(self.ranks[data[i : after[i]]])
+            ids.append(get(data[i : after[i]], -1))
             i = after[i]
         return ids
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, out = self.known, []
-        for chunk in chunks:
-            parts = []
-            for word in self.pattern.findall(chunk):
-                ids = known.get(word)
-                if ids is None:
-                    ids = np.array(self.merge(utf8(word)), "<u4").tobytes()
-                    if len(word) < 64:
-                        known[word] = ids
-                parts.append(ids)
-            out.append(parts[0] if len(parts) == 1 else b"".join(parts))
+        words = [self.pattern.findall(chunk) for chunk in chunks]
+        ids = iter(self.merge_all([utf8(w) for ws in words for w in ws]))
+        out = []
+        for ws in words:
+            own = next(ids) if len(ws) == 1 else [i for _ in ws for i in next(ids)]
+            out.append(struct.pack(f"<{len(own)}I", *own))
         return out
 
     def encode(self, text: str) -> list[int]:
