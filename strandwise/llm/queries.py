@@ -50,6 +50,12 @@ def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(cut, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.ngram_join import classes_of
+
+    return classes_of(table(spark, sf_dir, "documents"))
+
+
 def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.bpe import encode_and_decode
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op5_recurrent_toxicity": op5_recurrent_toxicity,
     "op6_token_files": op6_token_files,
     "op7_minimum_bin_slack": op7_minimum_bin_slack,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op10_fingerprints": op10_fingerprints,
 }
