@@ -16,6 +16,12 @@ def op1_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, learned(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def op2_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.html_template import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandwise.llm.topk import top_k
 
@@ -70,6 +76,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_cnn_quality": op1_byte_cnn_quality,
+    "op2_template_extraction": op2_template_extraction,
     "op3_threshold_top_k": op3_threshold_top_k,
     "op4_semi_markov_pii": op4_semi_markov_pii,
     "op5_recurrent_toxicity": op5_recurrent_toxicity,
