@@ -2,6 +2,197 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandwise.functions import sequence as S
+from strandwise.operators import classify, correction, counting, profiles, truth
+from strandwise.plans import fixtures, oracle
+
+K = 11
 FLAGSHIP = "kmer_count_both_strands"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _genome_size(genome: DataFrame) -> int:
+    return genome.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("n")).first().n
+
+
+def _expected(reads: DataFrame, size: int) -> tuple[float, float]:
+    """Expected count and deviation at K; one row."""
+    row = counting.expected_counts(counting.read_lengths(reads), size, [K]).first()
+    return (row.e, row.sd) if row else (1.0, 1.0)
+
+
+@query
+def kmer_count_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_both(fixtures.reads(spark, sf_dir), K)
+
+
+@query
+def kmer_count_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.count_forward(fixtures.genome(spark, sf_dir), K)
+
+
+@query
+def sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq")
+    return fixtures.reads(spark, sf_dir).select("read_id", S.reverse_complement(s, strict=True).alias("rc"), F.round(S.gc_content(s), 9).alias("gc"), S.gc_bin(s).alias("gc_bin"), S.middle_quality(F.substring("qual", 1, 1), F.substring("qual", 2, 1)).alias("mid_quality"))
+
+
+@query
+def error_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = counting.positions(fixtures.genome(spark, sf_dir), K, ["contig"])
+    each = at.select("contig", "pos", "kmer", F.explode(S.possible_errors(F.col("kmer"), F.lit(0))).alias("type"))
+    return each.select("contig", "pos", "type", S.error_number(F.col("type")).alias("number"), S.undo_error(F.col("kmer"), F.col("type"), F.lit(0)).alias("before"))
+
+
+@query
+def read_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.read_lengths(fixtures.reads(spark, sf_dir))
+
+
+@query
+def expected_counts_circular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths, size = counting.read_lengths(fixtures.simulated(spark, sf_dir)), _genome_size(fixtures.genome(spark, sf_dir))
+    return counting.expected_counts(lengths, size, [11, 13, 15]).select("k", F.round("e", 6).alias("e"), F.round("sd", 6).alias("sd"))
+
+
+@query
+def expected_counts_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths, size = counting.read_lengths(fixtures.simulated(spark, sf_dir)), _genome_size(fixtures.genome(spark, sf_dir))
+    return counting.expected_counts(lengths, size, [11, 13, 15], circular=False).select("k", F.round("e", 6).alias("e"), F.round("sd", 6).alias("sd"))
+
+
+def _rounded(bias: DataFrame) -> DataFrame:
+    return bias.select("gc_bin", F.round("bias", 6).alias("bias"), "n_ratios")
+
+
+@query
+def bias_from_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genome, reads = fixtures.genome(spark, sf_dir), fixtures.simulated(spark, sf_dir)
+    e, _ = _expected(reads, _genome_size(genome))
+    return _rounded(counting.bias_from_reference(genome, counting.count_both(reads, K), K, e))
+
+
+@query
+def bias_from_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = fixtures.simulated(spark, sf_dir)
+    e, _ = _expected(reads, _genome_size(fixtures.genome(spark, sf_dir)))
+    return _rounded(counting.bias_from_reads(counting.count_forward(reads, K), counting.count_both(reads, K), e))
+
+
+@query
+def bias_from_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genome, reads = fixtures.genome(spark, sf_dir), fixtures.simulated(spark, sf_dir)
+    e, _ = _expected(reads, _genome_size(genome))
+    spans = truth.usable(fixtures.alignments(spark, sf_dir)).select("contig", F.col("begin_pos").alias("first"), (F.col("begin_pos") + F.col("span") - 1).alias("last"))
+    return _rounded(counting.bias_from_alignment(genome, spans, K, e))
+
+
+@query
+def bias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads-only bias, with empty bins filled, at each distinct genome k-mer."""
+    found = {r.gc_bin: r.bias for r in bias_from_reads(spark, sf_dir).collect()}
+    biases = counting.fill_bias([found.get(i, 0.0) for i in range(K + 1)])
+    return counting.count_forward(fixtures.genome(spark, sf_dir), K).select("kmer", F.round(counting.bias_at(S.gc_content(F.col("kmer")), biases), 6).alias("bias"))
+
+
+@query
+def kmer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every read k-mer, judged by its z-score, by its count and by the genome."""
+    genome, reads = fixtures.genome(spark, sf_dir), fixtures.simulated(spark, sf_dir)
+    e, sd = _expected(reads, _genome_size(genome))
+    one, n = F.lit(1.0), F.col("n")
+    z = classify.z_score(n, one, e, sd)
+    each = counting.count_both(reads, K).select("kmer", "n", F.round(z, 6).alias("z"), classify.statistical(z).alias("statistical"), classify.naive(n, one, e).alias("naive"))
+    return classify.by_genome(each, counting.count_both(genome, K))
+
+
+@query
+def kmer_rule_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = fixtures.simulated(spark, sf_dir)
+    e, sd = _expected(reads, _genome_size(fixtures.genome(spark, sf_dir)))
+    z = classify.z_score(F.col("n"), F.lit(1.0), e, sd)
+    return counting.count_both(reads, K).groupBy(classify.rule_naive(F.col("n"), F.lit(e)).alias("naive"), classify.rule_statistical(z).alias("statistical")).agg(F.count("*").alias("kmers"))
+
+
+@query
+def true_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truth.true_corrections(fixtures.alignments(spark, sf_dir), fixtures.genome(spark, sf_dir)).select("read_id", "orig_pos", "type")
+
+
+@query
+def true_corrections_both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = truth.true_corrections(fixtures.alignments(spark, sf_dir, both_strands=True), fixtures.genome(spark, sf_dir))
+    return found.select("read_id", "orig_pos", "type")
+
+
+@query
+def overall_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profiles.overall(fixtures.planted(spark, sf_dir), fixtures.simulated(spark, sf_dir))
+    return found.select("type", "n", F.round("rate", 9).alias("rate"), F.round("log_p", 6).alias("log_p"))
+
+
+@query
+def substitution_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.substitution_matrix(fixtures.planted(spark, sf_dir), fixtures.simulated(spark, sf_dir))
+
+
+@query
+def motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.motif_counts(fixtures.planted(spark, sf_dir), fixtures.simulated(spark, sf_dir))
+
+
+def _motif_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = fixtures.simulated(spark, sf_dir)
+    strands = counting.count_both(reads, 1)
+    for k in range(2, profiles.LONGEST_MOTIF):
+        strands = strands.unionAll(counting.count_both(reads, k))
+    return profiles.motif_scores(profiles.motif_counts(fixtures.planted(spark, sf_dir), reads), strands)
+
+
+@query
+def motif_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _motif_scores(spark, sf_dir).select("motif", "pos", "type", F.round("z", 5).alias("z"))
+
+
+@query
+def strongest_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fixtures.planted(spark, sf_dir).join(fixtures.simulated(spark, sf_dir).select("read_id", "seq"), "read_id")
+    return profiles.strongest(at, _motif_scores(spark, sf_dir)).select("read_id", "orig_pos", "type", F.round("z", 5).alias("z"))
+
+
+@query
+def substitution_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.substitutions(fixtures.simulated(spark, sf_dir), counting.count_both(fixtures.genome(spark, sf_dir), K), K)
+
+
+@query
+def corrected_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads after their planted errors are undone: the stretches they came from."""
+    return correction.apply(fixtures.simulated(spark, sf_dir), fixtures.planted(spark, sf_dir)).select("read_id", "corrected")
+
+
+def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.confusion(fixtures.planted(spark, sf_dir), substitution_corrections(spark, sf_dir), fixtures.simulated(spark, sf_dir))
+
+
+@query
+def confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _confusion(spark, sf_dir)
+
+
+@query
+def correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = correction.metrics(_confusion(spark, sf_dir))
+    return found.select("category", *[F.round(c, 6).alias(c) for c in ("gain", "sensitivity", "specificity", "f1")])
