@@ -33,7 +33,7 @@ def apply(reads: DataFrame, corrections: DataFrame) -> DataFrame:
     one = F.struct(F.col("orig_pos").cast("int").alias("orig_pos"), "type")
     lists = corrections.where(F.col("type") != "MULTIDEL").groupBy("read_id").agg(F.sort_array(F.collect_list(one)).alias("fixes"))
     fixed = """concat_ws('', transform(sequence(0, length(seq) - 1), p -> aggregate(filter(fixes, f -> f.orig_pos = p),
-        substring(seq, p + 1, 1), (b, f) -> case when f.type = 'INSERTION' then '' when f.type like 'SUB%' then right(f.type, 1) else concat(b, right(f.type, 1)) end)))"""
+        substring(seq, p + 1, 1), (b, f) -> case when f.type = 'INSERTION' then substring(b, 2) when f.type like 'SUB%' then concat(right(f.type, 1), substring(b, 2)) else concat(b, right(f.type, 1)) end)))"""
     return reads.join(lists, "read_id", "left").withColumn("corrected", F.when(F.col("fixes").isNull() | (F.length("seq") == 0), F.col("seq")).otherwise(F.expr(fixed))).drop("fixes")
 
 

@@ -21,7 +21,7 @@ def cigar_steps(cigar: Column) -> Column:
     start = F.struct(F.lit(0).alias("read_at"), F.lit(0).alias("ref_at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        n, op = x["0"].cast("int"), x["1"]
+        n, op = x["c"].cast("int"), x["o"]
         one = F.array(F.struct(op.alias("op"), n.alias("n"), acc["read_at"].alias("read_at"), acc["ref_at"].alias("ref_at")))
         return F.struct(
             (acc["read_at"] + F.when(op.isin("M", "I", "S", "=", "X"), n).otherwise(0)).alias("read_at"),

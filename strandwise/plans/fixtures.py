@@ -21,7 +21,7 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = genome(spark, sf_dir).where("length(seq) >= 50").selectExpr("contig", "seq as g", "cast(explode(sequence(0, length(seq) - 50, 3)) as long) as s")
+    each = genome(spark, sf_dir).where("length(seq) >= 50").selectExpr("contig", "seq as g", "explode(sequence(cast(0 as bigint), length(seq) - 50, 3)) as s")
     return each.selectExpr("contig", "s", "contig * 100000 + s as read_id", "substring(g, cast(s + 1 as int), 50) as t")
 
 

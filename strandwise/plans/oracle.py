@@ -38,9 +38,9 @@ _SIM_KMERS = f"{_kmers('rk', 'sim', 11, 'read_id')}, {_both('counts', 'rk')}"
 _GENOME_KMERS = _kmers("gk", "genome", 11, "contig")
 _CANDIDATE = "CASE WHEN type LIKE 'SUB%' THEN right(type, 1) || substr(kmer, 2) WHEN type = 'INSERTION' THEN substr(kmer, 2) ELSE left(kmer, 1) || right(type, 1) || substr(kmer, 2) END"
 _KINDS = "kinds(type, number) AS (VALUES ('CORRECT', 0), ('INSERTION', 1), ('SUB_FROM_A', 2), ('SUB_FROM_C', 3), ('SUB_FROM_G', 4), ('SUB_FROM_T', 5), ('DEL_OF_A', 6), ('DEL_OF_C', 7), ('DEL_OF_G', 8), ('DEL_OF_T', 9), ('MULTIDEL', 10), ('NODEL', 11))"
-_PLACED = "at AS (SELECT planted.*, seq FROM planted JOIN sim USING (read_id))"
+_PLACED = "placed AS (SELECT planted.*, seq FROM planted JOIN sim USING (read_id))"
 _WINDOWS = """windows AS (SELECT read_id, orig_pos, type, substr(seq, orig_pos - pos + 1, size) AS motif, CAST(pos AS INTEGER) AS pos
-    FROM (SELECT *, unnest(range(0, size)) AS pos FROM (SELECT *, unnest(range(1, 7)) AS size FROM at)) WHERE orig_pos >= pos AND orig_pos - pos + size <= length(seq))"""
+    FROM (SELECT *, unnest(range(0, size)) AS pos FROM (SELECT *, unnest(range(1, 7)) AS size FROM placed)) WHERE orig_pos >= pos AND orig_pos - pos + size <= length(seq))"""
 _MOTIFS = "motifs AS (SELECT motif, pos, type, CAST(count(*) AS BIGINT) AS n FROM windows GROUP BY ALL)"
 _STRANDS = ", ".join(f"{_kmers(f'w{k}', 'sim', k)}, {_both(f's{k}', f'w{k}')}" for k in range(1, 6)) + ", strands AS (" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(1, 6)) + ")"
 _SCORES = """parts AS (SELECT m.motif, m.pos, m.type, m.n AS obs,
@@ -83,7 +83,7 @@ SQL: dict[str, str] = {
     "bias_from_reads": f"""WITH {_SIM}, {_EXPECTED}, {_SIM_KMERS}, ratios AS (
         SELECT {_BIN} AS gc_bin, n / e AS ratio FROM (SELECT DISTINCT kmer FROM rk) JOIN counts USING (kmer), expected WHERE n >= 0.2::DOUBLE * e) {_MEDIANS}""",
     "bias_from_alignment": f"""WITH {_SIM}, {_EXPECTED}, {_GENOME_KMERS},
-        spans AS (SELECT contig, s AS first, s + CASE WHEN {_INS} THEN 49 ELSE 49 END AS last FROM starts),
+        spans AS (SELECT contig, s AS first, s + 49 AS last FROM starts),
         seen AS (SELECT gk.contig, gk.pos, kmer, (SELECT count(*) FROM spans WHERE spans.contig = gk.contig AND first <= gk.pos AND last >= gk.pos + 10) AS obs FROM gk),
         occ AS (SELECT kmer, count(*) AS occ FROM gk GROUP BY kmer), ratios AS (SELECT {_BIN} AS gc_bin, obs / (e * occ) AS ratio FROM seen JOIN occ USING (kmer), expected WHERE obs > 0) {_MEDIANS}""",
     "kmer_classes": f"""WITH {_SIM}, {_EXPECTED}, {_SIM_KMERS}, {_GENOME_KMERS}, {_both('known', 'gk')}
