@@ -12,12 +12,12 @@ from strandwise.functions.sequence import read_name
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 0) and value. Lines are counted per block first; one row a block, not a line, is put in order."""
+    """file, block, line (from 0) and value. Lines are counted per block first; one row a block, not a line, is put in order."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return lines.join(F.broadcast(blocks), ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("base")).alias("line"), "value")
+    return lines.join(F.broadcast(blocks), ["file", "block"]).select("file", "block", (F.col("id") - F.col("first") + F.col("base")).alias("line"), "value")
 
 
 def read_fastq(spark: SparkSession, path: str, gaps: bool = False) -> DataFrame:
@@ -35,15 +35,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
-    """contig (name) and seq of each record; with `first_only`, of each file's first."""
-    lines = numbered_lines(spark, path)
-    heads = lines.where(F.col("value").startswith(">"))
-    heads = heads.select("file", F.col("line").alias("from"), F.expr("substring(value, 2)").alias("contig"), F.lead("line").over(Window.partitionBy("file").orderBy("line")).alias("to"))
-    heads = heads.where(F.col("from") == 0) if first_only else heads
-    body = lines.where(~F.col("value").startswith(">") & (F.col("value") != ""))
-    met = body.join(heads, (body["file"] == heads["file"]) & (body["line"] > heads["from"]) & (body["line"] < F.coalesce("to", F.lit(2**62))))
+    """contig (name) and seq of each record; with `first_only`, of each file's first.
+
+    A contig ends up as one value, so it must fit into a task; within a block of the file, lines look back for their head.
+    """
+    lines = numbered_lines(spark, path).withColumn("head", F.when(F.col("value").startswith(">"), F.struct("line", F.expr("substring(value, 2)").alias("contig"))))
+    ends = lines.groupBy("file", "block").agg(F.max("head").alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "block", F.max("last").over(before).alias("carried"))
+    within = Window.partitionBy("file", "block").orderBy("line")
+    body = lines.withColumn("own", F.max("head").over(within)).where(F.col("head").isNull() & (F.col("value") != ""))
+    body = body.join(F.broadcast(carried), ["file", "block"]).withColumn("record", F.coalesce("own", "carried"))
+    body = body.where("record.line = 0") if first_only else body
     parts = F.sort_array(F.collect_list(F.struct("line", "value")))
-    return met.groupBy(heads["file"], "from", "contig").agg(F.concat_ws("", F.transform(parts, lambda x: x["value"])).alias("seq")).select("contig", F.upper("seq").alias("seq"))
+    return body.groupBy("file", "record").agg(F.concat_ws("", F.transform(parts, lambda x: x["value"])).alias("seq")).select("record.contig", F.upper("seq").alias("seq"))
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
