@@ -10,6 +10,7 @@ no links. Two documents link when 100 * intersection >= 80 * union. Shingles are
 3. A class's prefix is its first n - ceil(0.8 n) + 1 shingles: two sets that link share one in both
    prefixes. Each entry carries its position and how many later shingles lie in each quarter of the
    hash range, which bound the overlap (positional and suffix filters), and the size (length filter).
+   Parity bits of the whole set bound from below how many shingles two sets do not share.
 4. Since links are asked for as classes, near copies are tied first: classes with an equal min-hash are
    compared with one centre, the one with the fewest rare shingles, and what links becomes a
    component. The prefix join then only looks at prefix shingles met in two components or more, and at
@@ -38,6 +39,8 @@ WORDS = 5
 SIMILAR, WHOLE = 80, 100
 SKETCH_BITS, CHUNKS = 22, 64
 BANDS = 6
+#: Longs of parity bits of a set: two sets differ in as many shingles at least as their bits do.
+PARITY = 4
 #: A hub's pairs are dealt to so many groups, each with its own copy of the hub's text.
 SALTS = 16
 #: Bits of the filter that keeps texts which no pair needs out of the shuffle.
@@ -131,6 +134,12 @@ def quarters(ordered: np.ndarray, p: int) -> np.ndarray:
     return ((total - passed) << (16 * np.arange(4))).sum(axis=1)
 
 
+def parities(mixed: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * PARITY cells: whether an odd number of the set's shingles falls into it."""
+    odd = np.bincount((mixed % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def second_pass(docs: DataFrame, levels: np.ndarray, rare: int) -> DataFrame:
     """One row a task for each set: its sums, size, rare share, prefix with quarters, and min-hashes."""
     packed = zlib.compress(levels.tobytes(), 1)
@@ -152,12 +161,13 @@ def second_pass(docs: DataFrame, levels: np.ndarray, rare: int) -> DataFrame:
                 level = level_of[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 ordered = shingles[np.argsort(level, kind="stable")]
                 p = prefix_length(len(shingles))
-                hashes = [mix64(shingles ^ k).min() for k in keys]
-                rows.append((*sums, len(shingles), float((level <= rare).mean()), ordered[:p].view(np.int64), quarters(ordered, p), np.array(hashes).view(np.int64)))
+                mixed = [mix64(shingles ^ k) for k in keys]
+                hashes = np.array([m.min() for m in mixed]).view(np.int64)
+                rows.append((*sums, len(shingles), float((level <= rare).mean()), ordered[:p].view(np.int64), quarters(ordered, p), hashes, parities(mixed[0])))
             if rows:
-                yield pd.DataFrame(rows, columns=["a", "b", "n", "rare", "prefix", "later", "hashes"])
+                yield pd.DataFrame(rows, columns=["a", "b", "n", "rare", "prefix", "later", "hashes", "parity"])
 
-    return docs.select("text").mapInPandas(run, "a long, b long, n int, rare double, prefix array<long>, later array<long>, hashes array<long>")
+    return docs.select("text").mapInPandas(run, "a long, b long, n int, rare double, prefix array<long>, later array<long>, hashes array<long>, parity array<long>")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -247,20 +257,23 @@ def near_pairs(sets: DataFrame) -> DataFrame:
 
 def prefix_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs (x, y) of classes in different components that pass all filters at a shared prefix shingle."""
-    tied = sets.join(parts, sets["id"] == parts["node"], "left").select("id", "n", F.coalesce("component", "id").alias("part"), F.arrays_zip("prefix", "later").alias("entries"))
-    entries = tied.select("id", "n", "part", F.posexplode("entries").alias("pos", "entry")).select("id", "n", "part", "pos", F.col("entry.prefix").alias("shingle"), F.col("entry.later").alias("later"))
+    tied = sets.join(parts, sets["id"] == parts["node"], "left").select("id", "n", F.coalesce("component", "id").alias("part"), F.arrays_zip("prefix", "later").alias("entries"), *[F.col("parity")[i].alias(f"odd{i}") for i in range(PARITY)])
+    odd = [f"odd{i}" for i in range(PARITY)]
+    entries = tied.select("id", "n", "part", *odd, F.posexplode("entries").alias("pos", "entry")).select("id", "n", "part", *odd, "pos", F.col("entry.prefix").alias("shingle"), F.col("entry.later").alias("later"))
     each = Window.partitionBy("shingle")
     mixed = entries.withColumn("low", F.min("part").over(each)).withColumn("high", F.max("part").over(each)).where("low <> high").drop("low", "high")
     mixed = written(mixed, "prefix-entries")
     x, y = mixed.alias("x"), mixed.alias("y")
     share = " + ".join(f"least((shiftrightunsigned(x.later, {16 * k}) & 65535), (shiftrightunsigned(y.later, {16 * k}) & 65535))" for k in range(4))
     most = f"case when x.later = -1 or y.later = -1 then least(x.n - x.pos, y.n - y.pos) - 1 else {share} end"
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in odd)
     met = x.join(
         y,
         F.expr(
             f"x.shingle = y.shingle and x.id < y.id and x.part <> y.part"
             f" and {WHOLE} * least(x.n, y.n) >= {SIMILAR} * greatest(x.n, y.n)"
             f" and {WHOLE + SIMILAR} * (1 + least(x.pos, y.pos) + least(least(x.n - x.pos, y.n - y.pos) - 1, {most})) >= {SIMILAR} * (x.n + y.n)"
+            f" and {WHOLE + SIMILAR} * ({apart}) <= {WHOLE - SIMILAR} * (x.n + y.n)"
         ),
     )
     return met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
@@ -273,7 +286,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     classes = written(rows.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id")), "classes")
     levels, rare = levels_of(first)
     sets = second_pass(docs, levels, rare)
-    sets = sets.join(classes, ["a", "b"]).dropDuplicates(["a", "b"]).select("id", "n", "rare", "prefix", "later", "hashes")
+    sets = sets.join(classes, ["a", "b"]).dropDuplicates(["a", "b"]).select("id", "n", "rare", "prefix", "later", "hashes", "parity")
     sets = written(sets, "sets")
     near = verified(near_pairs(sets), classes, docs)
     parts = written(components(near), "near-parts")
