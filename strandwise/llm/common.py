@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -173,49 +174,104 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
 BYTE_BPE_CUT = re.compile(r" (?=\S)")
 #: A token never spans these, for tokenizers that drop white space.
 BLANK_CUT = re.compile(r"[ \n\t\r]+")
-#: Distinct chunks that a worker remembers.
-REMEMBERED = 700_000
+#: Distinct chunks that a worker remembers, in two generations, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 200
 #: Marks that, after a letter, begin a token of their own in all of these patterns and go on to the end of the chunk.
 TAIL = ".,;:!?*#$%&"
 
 
 class ChunkCache:
-    """Encodes texts chunk by chunk; chunks seen before come from a bounded table.
+    """Encodes texts chunk by chunk; chunks seen before come from a table bounded in rows and bytes.
 
     encode takes a list of chunks and returns for each its ids as little-endian uint32 bytes.
-    With lead, every chunk but a text's first gets back the space it was cut at. A chunk not seen
-    before is looked up as a word and the marks behind it; with fold, ASCII words in lower case.
+    Texts are split at single spaces. With lead, every piece but a text's first gets back the space before it; a text
+    with a piece that white space begins, or an empty one, is split by the pattern `cut` instead. Without lead, pieces are split
+    again by `cut`. A piece not seen before is looked up as a word and the marks behind it; with fold, ASCII words in lower case.
+    When the newer generation is full it becomes the older one, and what is met again moves back, so common words stay.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: re.Pattern, lead: str = "", fold: bool = False):
         self.encode, self.cut, self.lead, self.fold = encode, cut, lead, fold
-        self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.plain: dict[str, bytes] = {"": b""}
 
-    def parts(self, chunk: str) -> tuple[str, ...]:
+    def parts(self, chunk: str) -> tuple[str, str]:
+        """A word and the marks behind it."""
         word = chunk.rstrip(TAIL)
         split = word and word != chunk and "A" <= word[-1] < "\u0100" and word[-1].isalpha()
         first = word if split else chunk
         if self.fold and first.isascii():
             first = first.lower()
-        return (first, chunk[len(word) :]) if split else (first,)
+        return first, chunk[len(word) :] if split else ""
+
+    def recall(self, chunks: set[str]) -> set[str]:
+        """The chunks that neither generation knows; those of the older one move to the newer."""
+        unknown, older = chunks.difference(self.recent), self.older
+        again = [x for x in unknown if x in older]
+        self.recent.update(zip(again, map(older.__getitem__, again)))
+        unknown.difference_update(again)
+        return unknown
+
+    def learn(self, chunks: set[str], plain: set[str]) -> None:
+        """Puts the chunks' ids into the newer generation (None: to be split by the pattern), those of strings without lead into plain."""
+        recent, parts = self.recent, self.parts
+        words: set[str] = set()
+        made: list[tuple[str, list[tuple[str, str]]]] = []
+        for x in chunks:
+            if self.lead and x.isalpha():
+                words.add(x)
+            elif not self.lead and x.isalpha():
+                made.append((x, [(x.lower() if self.fold and x.isascii() else x, "")]))
+            elif not self.lead:
+                made.append((x, [parts(s) for s in self.cut.split(x) if s]))
+            elif not x or x[0].isspace():
+                recent[x] = None
+            else:
+                made.append((x, [parts(x)]))
+        words |= self.recall({a for _, pairs in made for a, _ in pairs})
+        names = list(words)
+        rest = list(plain.union([b for _, pairs in made for _, b in pairs]).difference(self.plain))
+        ids = self.encode([self.lead + w for w in names] + rest)
+        recent.update(zip(names, ids))
+        self.plain.update(zip(rest, ids[len(names) :]))
+        for x, pairs in made:
+            if len(pairs) == 1:
+                word, marks = pairs[0]
+                if marks or word != x:
+                    recent[x] = recent[word] + self.plain[marks]
+            else:
+                recent[x] = b"".join([recent[a] + self.plain[b] for a, b in pairs])
+
+    def joined(self, pieces: list[list[str]]) -> list[bytes | None]:
+        """Ids of texts given in pieces; None where a piece has to be split by the pattern."""
+        heads = [p.pop(0) for p in pieces] if self.lead else [""] * len(pieces)
+        unknown = self.recall(set(chain.from_iterable(pieces)))
+        self.learn(unknown, set(heads))
+        get = self.recent.__getitem__
+        out: list[bytes | None] = []
+        for head, piece in zip(heads, pieces):
+            try:
+                out.append(self.plain[head] + b"".join(map(get, piece)))
+            except TypeError:
+                out.append(None)
+        for table, most in ((self.recent, unknown), (self.plain, heads)):
+            for x in most:
+                if len(x) > LONGEST:
+                    table.pop(x, None)
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.cut.split(t) for t in texts]
-        if self.lead:
-            pieces = [[p[0], *[self.lead + x for x in p[1:]]] for p in pieces]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        missing = {x: self.parts(x) for x in {x for p in pieces for x in p} - known.keys()}
-        needed = list({y for parts in missing.values() for y in parts} - known.keys())
-        known.update(zip(needed, self.encode(needed)))
-        for x, parts in missing.items():
-            if len(parts) == 2:
-                known[x] = known[parts[0]] + known[parts[1]]
-            elif parts[0] is not x:
-                known[x] = known[parts[0]]
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        if len(self.recent) > REMEMBERED // 2:
+            self.older, self.recent = self.recent, {}
+        if len(self.plain) > REMEMBERED // 10:
+            self.plain = {"": b""}
+        out = self.joined([t.split(" ") for t in texts])
+        odd = [i for i, data in enumerate(out) if data is None]
+        if odd:
+            for i, data in zip(odd, self.joined([self.cut.split(texts[i]) for i in odd])):
+                out[i] = data
+        return out
 
 
 #: Letters whose runs the word-level pattern keeps whole and that no normaliser changes beyond their case, then marks that form a token run of their own.
@@ -248,34 +304,36 @@ class LibraryEncoder:
     def marks(self, chunk: str) -> int:
         """How many marks the chunk's ids hold; 0: not known."""
         if self.words:
+            if chunk.isascii() and chunk.isalpha():
+                return 1
             plain = PLAIN_WORD.fullmatch(chunk)
             return 0 if plain is None else 1 if plain[1] is None else 2
-        return int(chunk[:1] == " " and len(chunk.split()) == 1 and not chunk[-1].isspace())
+        word = chunk[1:]
+        return int(chunk[:1] == " " and (word.isalnum() or (len(word.split()) == 1 and not word[0].isspace() and not word[-1].isspace())))
 
     def alone(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        counts = [self.marks(c) for c in chunks]
-        found: dict[str, bytes] = {}
-        many = [(c, n) for c, n in zip(chunks, counts) if n]
-        single = [c for c, n in zip(chunks, counts) if not n]
-        groups = [many[i : i + JOINED] for i in range(0, len(many), JOINED)]
-        texts = [(" " if self.words else "").join(c for c, _ in g) for g in groups]
+        counts = np.fromiter(map(self.marks, chunks), np.int64, len(chunks))
+        out: list[bytes] = [b""] * len(chunks)
+        many, single = np.flatnonzero(counts), np.flatnonzero(counts == 0).tolist()
+        groups = [many[i : i + JOINED].tolist() for i in range(0, len(many), JOINED)]
+        texts = [(" " if self.words else "").join([chunks[i] for i in g]) for g in groups]
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(encoded.ids, "<u4")
             at = np.flatnonzero(self.mark[ids])
-            total = np.cumsum([n for _, n in group])
+            total = np.cumsum(counts[group])
             if len(at) != total[-1]:
-                single += [c for c, _ in group]
+                single += group
                 continue
-            ends = at[total - 1] + 1 if self.words else np.append(at[1:], len(ids))
-            data, begin = ids.tobytes(), 0
-            for (chunk, _), end in zip(group, ends.tolist()):
-                found[chunk] = data[4 * begin : 4 * end]
-                begin = end
-        found.update(zip(single, self.alone(single)))
-        return [found[c] for c in chunks]
+            ends = (4 * (at[total - 1] + 1 if self.words else np.append(at[1:], len(ids)))).tolist()
+            data = ids.tobytes()
+            for i, begin, end in zip(group, [0, *ends], ends):
+                out[i] = data[begin:end]
+        for i, data in zip(single, self.alone([chunks[i] for i in single])):
+            out[i] = data
+        return out
 
 
 _encoders: dict[tuple[str, bool], ChunkCache] = {}
