@@ -108,11 +108,12 @@ def decompressed(data: bytes) -> str:
 
 
 def in_order(docs: DataFrame, key: str = "doc_id", descending: bool = False, neighbours: bool = False) -> tuple[DataFrame, int]:
-    """Documents dealt to partitions by ranges of key and sorted within them; texts travel zstd-compressed.
+    """Documents dealt to partitions by ranges of key and sorted within them.
 
-    Rows: part int (the range, ascending in the order asked for), guest boolean, order_key long, key, z binary.
-    A null key counts as the smallest. With neighbours, the rows that begin the next range (after the last:
-    the first) come once more at the end of each range, as guests. Equal keys are ordered by z.
+    Rows: part int (the range, ascending in the order asked for), order_key long, key, text (null: empty).
+    A null key counts as the smallest; equal keys are ordered by text. With neighbours, rows also have guest boolean
+    and, for text, z binary (zstd-compressed), and those that begin the next range (after the last: the first)
+    come once more at the end of each range, as guests; equal keys are then ordered by z.
     Only one key a range is gathered on the driver; range bounds come from a quantile sketch of all keys.
     """
     spark = docs.sparkSession
@@ -122,13 +123,18 @@ def in_order(docs: DataFrame, key: str = "doc_id", descending: bool = False, nei
     bounds = np.array(cuts, dtype=np.int64)
     last = len(cuts)
     guests: dict[int, list[int]] = {}
-    if neighbours:
-        literal = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<bigint>")
-        ranged = keyed.select("order_key", F.size(F.filter(literal, lambda b: b <= F.col("order_key"))).alias("r"))
-        edge = F.max("order_key") if descending else F.min("order_key")
-        heads = sorted(((r.r, r.k) for r in ranged.groupBy("r").agg(edge.alias("k")).collect()), reverse=descending)
-        for (r, _), (_, k) in zip(heads, heads[1:] + heads[:1]):
-            guests.setdefault(k, []).append(last - r if descending else r)
+    by_key = F.col("order_key").desc() if descending else F.col("order_key").asc()
+    literal = F.array(*[F.lit(x).cast("long") for x in cuts]) if cuts else F.array().cast("array<bigint>")
+    nth = F.size(F.filter(literal, lambda b: b <= F.col("order_key")))
+    if not neighbours:
+        part = (F.lit(last) - nth if descending else nth).cast("int")
+        plain = keyed.select(part.alias("part"), "order_key", F.col(key).cast("long").alias(key), F.coalesce("text", F.lit("")).alias("text"))
+        return plain.repartitionById(last + 1, F.col("part")).sortWithinPartitions(F.col("part"), by_key, F.col("text")), last + 1
+    ranged = keyed.select("order_key", nth.alias("r"))
+    edge = F.max("order_key") if descending else F.min("order_key")
+    heads = sorted(((r.r, r.k) for r in ranged.groupBy("r").agg(edge.alias("k")).collect()), reverse=descending)
+    for (r, _), (_, k) in zip(heads, heads[1:] + heads[:1]):
+        guests.setdefault(k, []).append(last - r if descending else r)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in slices(frames):
@@ -145,7 +151,6 @@ def in_order(docs: DataFrame, key: str = "doc_id", descending: bool = False, nei
                         yield row
 
     dealt = keyed.mapInPandas(deal, f"part int, guest boolean, order_key long, {key} long, z binary")
-    by_key = F.col("order_key").desc() if descending else F.col("order_key").asc()
     dealt = dealt.repartitionById(last + 1, F.col("part")).sortWithinPartitions(F.col("part"), F.col("guest"), by_key, F.col("z"))
     return dealt, last + 1
 

@@ -6,7 +6,7 @@ vocabulary needs, least significant bit first, each block padded to whole bytes;
 place, the width and the counts. Blocks are unpacked with vectorised numpy; ids [a, b) need only the
 blocks that hold them, found by the offsets.
 
-Documents are written in ascending doc_id (null: smallest; equal ones by their compressed text), null
+Documents are written in ascending doc_id (null: smallest; equal ones by their text), null
 texts as empty ones; each document ends with the end id. Each range of doc_id is a file, named after
 the range and put in place by a rename, so that a task that runs again writes the same file again.
 The folder is the cluster's shared one, reached through pyarrow's file systems.
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import decompressed, in_order, library_cache
+from strandwise.llm.common import in_order, library_cache
 from strandwise.session import shared_path, written
 
 MAGIC = b"FWTOKEN1"
@@ -152,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int)
                 texts, held = [], 0
                 begin = at
                 while at < len(frame) and held < 1_000_000:
-                    texts.append(decompressed(frame["z"].iat[at]))
+                    texts.append(frame["text"].iat[at])
                     held += len(texts[-1])
                     at += 1
                 if writer is None:
