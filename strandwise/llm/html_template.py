@@ -9,11 +9,12 @@ pages ever meeting, however many they are.
 Tokens with one vector form an equivalence class. The class of the tokens met once on every page is
 the template's root; a class is valid if its tokens nest, that is if the parents of its outermost
 elements lie in one valid class, which it then fills a slot of. Paths of valid classes are the
-template's slots; blocks outside articles whose text is on nearly all of the host's different pages are the template's own words. What a slot
-holds is main text if its path lies in an article (or a main element) and in no menu, header, footer,
-sidebar, notice, advert, form or comment section; on hosts without such elements it is main if it lies
-in the slot that holds most text outside links. Paths that a host's template doesn't know (rare
-on the host) are judged by the same rules on the page itself.
+template's slots; blocks whose text is on nearly all of the different pages that have their slot are
+the template's own words, in articles too. A slot's gain is its text outside links and template words,
+weighed by what tags and names say of it (WEIGHTS). If the slot of most gain lies in an article or main
+element, main text is what articles hold, without slots that are mostly links; else it is what lies in
+that slot. A page that holds nothing there (another layout) is judged by its own slots' gains in the same way.
+Tags, roles and hidden attributes drop what they hold for good, telling names only if something else has more gain.
 
 Null pages and pages without text give an empty text. Null or odd URLs share the host "". Repeated
 rows and null or equal page_ids each give a row; template words need DISTINCT different pages. Other
@@ -28,7 +29,7 @@ import html
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,11 +64,16 @@ WORDS_SUPPORT, DISTINCT = 0.9, 8
 #: Bytes of templates that every task may hold; more are joined to the pages instead.
 MOST_TEMPLATES = 16_000_000
 
-KEEP, DROP, MAIN = 0, 1, 2
+#: Marks of what an element holds; the elements above add theirs.
+KEEP, MAIN, NAMED, DROP = 0, 1, 2, 4
+#: How much a character of a slot counts, by its highest mark.
+WEIGHTS = {KEEP: 1.0, MAIN: 8.0, NAMED: 1 / 32}
+#: Elements that hold a page's text: only names without any other part tell against them, and none against the first two.
+HOLDERS = ("html", "body", "article", "main")
 
 
 def judged(name: str, attributes: str, inside_main: bool) -> tuple[str, int]:
-    """An element's name in paths, and whether it is page furniture or a main element."""
+    """An element's name in paths, and its own mark: page furniture by kind or by name, or a main element."""
     kind = DROP if name in FURNITURE else KEEP
     if name == "header" and not inside_main:
         kind = DROP
@@ -112,7 +118,8 @@ class Page:
                 words = " ".join(html.unescape("".join(text)).split())
                 if words:
                     path = next(p for name, p, _ in reversed(stack) if name not in INLINE)
-                    self.blocks.append((path, stack[-1][2], words, min(linked, len(words))))
+                    kind = next(k for k in (DROP, NAMED, MAIN, KEEP) if stack[-1][2] & k == k)
+                    self.blocks.append((path, kind, words, min(linked, len(words))))
                 text.clear()
             linked = 0
 
@@ -169,8 +176,8 @@ class Page:
                 elif stack[k][0] in SCOPE:
                     break
             parent = stack[-1]
-            label, kind = judged(name, m[3], parent[2] == MAIN)
-            kind = DROP if DROP in (kind, parent[2]) else max(kind, parent[2])
+            label, kind = judged(name, m[3], bool(parent[2] & MAIN))
+            kind |= parent[2]
             path = parent[1] if name in INLINE else parent[1] + ">" + label
             if len(path) > 2000:
                 path = parent[1]
@@ -189,8 +196,23 @@ def container(path: str) -> str:
     return ">".join(parts)
 
 
-def text_key(path: str, text: str) -> str:
-    return "#" + hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
+def slot_of(path: str, kind: int) -> str:
+    return f"@{kind}{container(path)}"
+
+
+def short_hash(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
+
+
+def text_key(path: str, kind: int, text: str) -> str:
+    """A block's token: hashes of its slot and of its place and text."""
+    return "#" + short_hash(slot_of(path, kind)) + short_hash(f"{path}\n{text}")
+
+
+def gain(kind: int, chars: int, links: int) -> float:
+    """What a slot's text outside links counts; what is mostly links counts below 0."""
+    free = chars - 2 * links
+    return free * WEIGHTS[kind] if free > 0 else float(free)
 
 
 def host_of(url: Column) -> Column:
@@ -216,11 +238,11 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 tokens = {role: [n, 0, 0] for role, n in page.roles.items()}
                 tokens["*"] = [1, 0, 0]
                 for path, kind, text, links in page.blocks:
-                    slot = tokens.setdefault("@" + container(path), [0, 0, 0])
-                    slot[0], slot[1], slot[2] = slot[0] + 1, slot[1] + (len(text) if kind != DROP else 0), slot[2] + links
-                    tokens.setdefault(text_key(path, text), [0, 0, 0])[0] += 1
-                    if kind == MAIN:
-                        tokens["@main"] = [1, 0, 0]
+                    if kind == DROP:
+                        continue
+                    for token in (slot_of(path, kind), text_key(path, kind, text)):
+                        row = tokens.setdefault(token, [0, 0, 0])
+                        row[0], row[1], row[2] = row[0] + 1, row[1] + len(text), row[2] + links
                 for token, (n, chars, links) in tokens.items():
                     row = sums.setdefault((host, token), [0, 0, 0, 0, 0, 0])
                     row[0] += 1
@@ -261,12 +283,18 @@ def template(tokens: list[tuple[str, int, int, int, int, int, int]]) -> dict:
             for p in own:
                 known.setdefault(p, len(valid))
     slots |= known
-    has_main = any(t[0] == "@main" and t[1] >= SUPPORT * pages for t in tokens)
-    mass = {t[0][1:]: t[4] - 2 * t[5] for t in tokens if t[0][0] == "@" and t[0] != "@main" and t[0][1:] in slots}
-    richest = max(mass, key=lambda p: (mass[p], p), default="")
-    marks = next(t[6] for t in tokens if t[0] == "*")  # of 64, so that copies of a page count once
-    words = sorted(t[0] for t in tokens if t[0][0] == "#" and t[1] >= WORDS_SUPPORT * pages and t[6] >= WORDS_SUPPORT * marks and t[2] == t[1]) if marks >= DISTINCT else []
-    return {"slots": sorted(slots), "main": has_main, "richest": richest, "words": words}
+    held = {t[0]: t for t in tokens if t[0][0] == "@" and t[0][2:] in slots}
+    by_hash = {short_hash(slot): slot for slot in held}
+    words, fixed = [], defaultdict(lambda: [0, 0])
+    for token, on, n, _, chars, links, marks in tokens:  # marks: of 64, so that copies of a page count once
+        slot = by_hash.get(token[1:19]) if token[0] == "#" else None
+        if slot and held[slot][6] >= DISTINCT and n == on >= WORDS_SUPPORT * held[slot][1] and marks >= WORDS_SUPPORT * held[slot][6]:
+            words.append(token)
+            fixed[slot][0] += chars
+            fixed[slot][1] += links
+    gains = {slot: gain(int(slot[1]), t[4] - fixed[slot][0], t[5] - fixed[slot][1]) for slot, t in held.items()}
+    richest = max(gains, key=lambda slot: (gains[slot], slot), default="")
+    return {"richest": richest if gains.get(richest, 0) > 0 else "", "links": sorted(slot for slot in gains if gains[slot] < 0), "words": sorted(words)}
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -274,7 +302,7 @@ def templates(pages: DataFrame) -> DataFrame:
     found = written(occurrences(pages), "token-vectors")
     whole = found.where("token = '*'").select(F.col("host").alias("own"), F.col("pages").alias("all_pages"))
     kept = found.join(F.broadcast(whole) if whole.count() < 10_000 else whole, found["host"] == F.col("own"))
-    kept = kept.where(F.col("pages") >= F.lit(SUPPORT) * F.col("all_pages")).where(~F.col("token").startswith("#") | (F.col("pages") >= F.lit(WORDS_SUPPORT) * F.col("all_pages")))
+    kept = kept.where((F.col("pages") >= F.lit(SUPPORT) * F.col("all_pages")) | (F.col("token").startswith("#") & (F.col("pages") >= F.lit(WORDS_SUPPORT * SUPPORT) * F.col("all_pages"))))
     row = F.struct("token", "pages", "n", F.col("vector").cast("string").alias("vector"), "chars", "links", F.bit_count("bits").alias("marks"))
 
     @F.pandas_udf("string")
@@ -286,20 +314,26 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(source: str, known: dict) -> str:
     """The page's main blocks, joined by newlines."""
-    page = Page(source)
-    slots, words = known["slots"], known["words"]
-    blocks = [(p, k, t, n) for p, k, t, n in page.blocks if k != DROP]
-    if known["main"] or any(k == MAIN for _, k, _, _ in blocks):
-        chosen = [b for b in blocks if b[1] == MAIN]
-    else:
-        best = known["richest"]
-        if best not in slots or not any(inside(b[0], best) for b in blocks):
-            mass: dict[str, int] = defaultdict(int)
-            for path, _, text, links in blocks:
-                mass[container(path)] += len(text) - 2 * links
-            best = max(mass, key=lambda p: (mass[p], p), default="")
-        chosen = [b for b in blocks if inside(b[0], best)]
-    return "\n".join(t for p, k, t, _ in chosen if k == MAIN or not words or text_key(p, t) not in words)
+    blocks = [b for b in Page(source).blocks if b[1] != DROP]
+    # A page of nothing but template words is a copy of its host's pages.
+    blocks = [b for b in blocks if text_key(b[0], b[1], b[2]) not in known["words"]] or blocks if known["words"] else blocks
+    chosen = held_by(known["richest"], known["links"], blocks) if known["richest"] else []
+    if not chosen and blocks:
+        mass: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for path, kind, text, links in blocks:
+            row = mass[slot_of(path, kind)]
+            row[0], row[1] = row[0] + len(text), row[1] + links
+        gains = {slot: gain(int(slot[1]), *row) for slot, row in mass.items()}
+        chosen = held_by(max(gains, key=lambda slot: (gains[slot], slot)), (), blocks)
+    return "\n".join(b[2] for b in chosen)
+
+
+def held_by(richest: str, links: Container[str], blocks: list[tuple[str, int, str, int]]) -> list[tuple[str, int, str, int]]:
+    """The blocks of articles, but for slots of links, if the richest slot lies in one, else the blocks in that slot."""
+    kind, path = int(richest[1]), richest[2:]
+    if kind == MAIN:
+        return [b for b in blocks if b[1] == MAIN and slot_of(b[0], MAIN) not in links]
+    return [b for b in blocks if b[1] <= max(kind, MAIN) and inside(b[0], path)]
 
 
 def inside(path: str, outer: str) -> bool:
@@ -326,7 +360,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     if len(loaded) > 2000:
                         loaded.clear()
                     loaded[host] = json.loads(shared[host] if shared is not None else frame["template"].iat[i])
-                    loaded[host]["slots"], loaded[host]["words"] = set(loaded[host]["slots"]), set(loaded[host]["words"])
+                    loaded[host]["links"], loaded[host]["words"] = set(loaded[host]["links"]), set(loaded[host]["words"])
                 texts.append(main_text(source, loaded[host]))
             yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

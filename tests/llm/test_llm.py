@@ -204,3 +204,22 @@ def test_extraction(spark):
     found = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
     assert found[3].text == "T3 & more\nText of page 3 with bold words." and found[3].n_chars == len(found[3].text)
     assert found[9].text == "" and found[10].text == "" and len(found) == 8
+
+
+def extracted(spark, rows):
+    from strandwise.llm.html_template import extract
+
+    return {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_words_go_from_articles_too(spark):
+    note = "<div class=x><p>Get our letter every week, free of charge.</p></div>"
+    page = "<html><body><article><p>Story {0} tells of thing {0} at length.</p>{1}<p>It ends in way {0}.</p></article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, note if i % 4 else "")) for i in range(24)]
+    assert extracted(spark, rows) == {i: f"Story {i} tells of thing {i} at length.\nIt ends in way {i}." for i in range(24)}
+
+
+def test_richest_slot_beats_a_bare_article(spark):
+    page = "<html><body><article><a href=x>Next: {0}</a></article><div class=text><p>{1}</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, f"Words of page {i}. " * 20)) for i in range(10)]
+    assert extracted(spark, rows) == {i: (f"Words of page {i}. " * 20).strip() for i in range(10)}
