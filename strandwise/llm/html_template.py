@@ -85,8 +85,9 @@ def judged(name: str, attributes: str, inside_main: bool) -> tuple[str, int]:
                 names = {w.lower() for w in NAME_PART.findall(value)}
                 if key == "class":
                     label += "." + "-".join(sorted(names))[:40]
-                if names & NAMES or (names & PAGE_HEADS and not inside_main):
-                    kind = DROP
+                telling = names & NAMES if inside_main else names & (NAMES | PAGE_HEADS)
+                if telling and kind == KEEP and name not in HOLDERS[:2] and (name not in HOLDERS or telling == names):
+                    kind = NAMED
             elif key == "role":
                 if value.lower() in ROLES:
                     kind = DROP

@@ -223,3 +223,20 @@ def test_richest_slot_beats_a_bare_article(spark):
     page = "<html><body><article><a href=x>Next: {0}</a></article><div class=text><p>{1}</p></div></body></html>"
     rows = [(i, f"http://a.example/{i}", page.format(i, f"Words of page {i}. " * 20)) for i in range(10)]
     assert extracted(spark, rows) == {i: (f"Words of page {i}. " * 20).strip() for i in range(10)}
+
+
+def test_pages_of_another_layout_keep_their_text(spark):
+    new = "<html><body><article><p>Story {0} of the new layout.</p></article></body></html>"
+    old = "<html><body><div class=content><p>Story {0} of the old layout.</p></div></body></html>"
+    rows = [(i, f"http://{'ab'[i % 3 > 0]}.example/{i}", (new if i % 2 else old).format(i)) for i in range(30)]
+    assert extracted(spark, rows) == {i: f"Story {i} of the {'new' if i % 2 else 'old'} layout." for i in range(30)}
+
+
+def test_telling_names_leave_no_page_empty(spark):
+    pages = [
+        "<body class='no-sidebar'><nav>Home</nav><article class='post with-comments'><p>Long enough.</p></article><footer>Legal</footer></body>",
+        "<body><div class='page with-sidebar'><nav>Home</nav><p>Long enough.</p></div></body>",
+        "<body><article class='post with-comments'><p>Long enough.</p><div class=comments><p>I do not agree.</p></div></article></body>",
+        "<body><article><p>Long enough.</p></article><article class=comment><p>I do not agree.</p></article></body>",
+    ]
+    assert extracted(spark, [(i, f"http://{i}.example/", p) for i, p in enumerate(pages)]) == dict.fromkeys(range(4), "Long enough.")
