@@ -1,12 +1,13 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
 Base spans follow fixed patterns, leftmost and non-overlapping within a kind; a match that fails its
-check is dropped without a retry. Around digits, at-signs and written-out dots the text is cut into
-tokens, and every run of at most MOST_TOKENS tokens that could be an entity is a candidate segment.
+check is dropped without a retry. Around digits and at-signs, written out or not, the text is cut into
+tokens, and every run of tokens, MOST_CHARS characters at most, that could be an entity is a candidate segment.
 Whole-segment features (digit count, grouping, separators, checksum, octets, cue words, borders) give
 its score for each kind; a dynamic program over segment ends chooses boundaries and kinds together.
-Text outside these regions has no candidates: it is all "outside", which scores 0, so the program
-over a region is exact for the document. Segments that meet a base span are not added.
+Every candidate holds a digit or an at-sign, so it lies, with the CONTEXT tokens before it that its
+features look at, in the region around that; text outside has no candidates and scores 0, so the
+program over a region is exact for the document. Segments that meet a base span are not added.
 
 No labels of personal data exist, so the field is trained by its conditional likelihood on seeded,
 made-up sentences with plain and disguised entities and look-alikes (dates, versions, prices, ids).
@@ -85,9 +86,10 @@ def base_spans(text: str) -> list[Span]:
 
 # Candidate segments.
 
-TRIGGER = re.compile(r"[0-9@]|(?i:[\[({\x20](?:dot|punto|punkt)[\])}\x20])")
+TRIGGER = re.compile(r"[0-9@]|(?<![^\W\d_])(?:[aA][tT]|[aA][rR]{2}[oO][bB][aA])(?![^\W\d_])")
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\n")
-REACH, MOST_TOKENS, MOST_CHARS = 48, 18, 72
+LETTERS = re.compile(r"[^\W\d_]{2}")
+MOST_CHARS, CONTEXT = 72, 4
 AT_WORDS, DOT_WORDS = frozenset({"at", "arroba"}), frozenset({"dot", "punto", "punkt"})
 #: Words that announce a kind, in the corpus's languages.
 CUES = (
@@ -100,11 +102,31 @@ NUMERIC = frozenset("+-(). /:")
 Segment = tuple[int, int, tuple[int, ...]]  # first token, end token, kinds
 
 
+def within(text: str, at: int) -> bool:
+    """True if a token goes on across this place."""
+    a, b = text[at - 1 : at], text[at : at + 1]
+    if "0" <= a <= "9" or "0" <= b <= "9":
+        return "0" <= a <= "9" and "0" <= b <= "9"
+    return bool(LETTERS.fullmatch(a + b))
+
+
 def regions(text: str) -> list[tuple[int, int]]:
+    """Disjoint ranges with token borders, which hold all candidates and the tokens their features look at."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and lo <= out[-1][1]:
+        done = out[-1][1] if out else 0
+        hi = min(len(text), m.end() + MOST_CHARS)
+        if hi <= done:
+            continue
+        lo, passed = max(done, m.start() - MOST_CHARS), 0
+        while lo > done and within(text, lo):
+            lo -= 1
+        while lo > done and passed < CONTEXT:
+            lo -= 1
+            passed += not text[lo].isspace() and not within(text, lo) or text[lo] == "\n"
+        while hi < len(text) and within(text, hi):
+            hi += 1
+        if out and lo <= done:
             out[-1][1] = hi
         else:
             out.append([lo, hi])
@@ -121,7 +143,7 @@ def segments(text: str, tokens: list[re.Match]) -> list[Segment]:
         if first == "\n" or not (first[0].isalnum() or first in "+("):
             continue
         only_numbers, ats, dots, digits, spaces = True, 0, 0, 0, 0
-        for j in range(i, min(len(words), i + MOST_TOKENS)):
+        for j in range(i, len(words)):
             word = words[j]
             gap = tokens[j].start() - tokens[j - 1].end() if j > i else 0
             spaces += gap > 0
@@ -154,7 +176,7 @@ def features(text: str, tokens: list[re.Match], i: int, j: int) -> np.ndarray:
     sizes = [len(g) for g in groups]
     n = sum(sizes)
     lower = [t[0].lower() for t in tokens[i:j]]
-    near = {t[0].lower() for t in tokens[max(0, i - 4) : i]}
+    near = {t[0].lower() for t in tokens[max(0, i - CONTEXT) : i]}
     quad = len(groups) == 4 and span.count(".") == 3 and len(span) == n + 3
     at = next((k for k, w in enumerate(lower) if w == "@" or (k and w in AT_WORDS)), -1)
     tail = lower[at + 1 :]
@@ -199,6 +221,7 @@ def features(text: str, tokens: list[re.Match], i: int, j: int) -> np.ndarray:
         span.count(" ") > 4,
         at == 1 or (marked and at == 2),
         ".." in span or "--" in span or "  " in span,
+        at > 0 and lower[at] == "arroba",
     ]
     return np.array(values + [0] * (FEATURES - len(values)), np.float64)
 
@@ -272,7 +295,7 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
         return draw.choice(("", " ", "-", ".")).join(number[k : k + 4] for k in range(0, 16, 4))
 
     def email() -> str:
-        at, dot = draw.choice((("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), (" arroba ", " punto ")))
+        at, dot = draw.choice((("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), (" arroba ", " punto "), (" arroba ", "."), (" [at] ", "."), (" (at) ", ".")))
         host = dot.join([word() for _ in range(draw.randint(1, 2))] + [draw.choice(("com", "org", "net", "de", "es", "example"))])
         return draw.choice((word(), word() + digits(2))) + at + host
 
@@ -294,6 +317,7 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
                 f"{draw.randint(300, 999)}.{digits(3)}.{draw.randint(300, 999)}.{digits(3)}",
                 f"{draw.randint(1900, 1999)} - {draw.randint(2000, 2030)}",
                 "at " + word() + " dot " + word(),
+                "at " + word() + "." + draw.choice((" ", "")) + word(),
                 f"{draw.randint(1, 9)} / {draw.randint(10, 99)} {digits(4)}",
                 f"id{digits(10)}",
                 f"{digits(3)}-{digits(2)}",

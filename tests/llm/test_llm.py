@@ -240,3 +240,25 @@ def test_telling_names_leave_no_page_empty(spark):
         "<body><article><p>Long enough.</p></article><article class=comment><p>I do not agree.</p></article></body>",
     ]
     assert extracted(spark, [(i, f"http://{i}.example/", p) for i, p in enumerate(pages)]) == dict.fromkeys(range(4), "Long enough.")
+
+
+def test_written_out_addresses_are_found_anywhere():
+    from strandwise.llm import pii
+
+    weights = pii.trained()
+    for entity in ("jane.roe [at] example.com", "jane arroba example.com", "j.r.r.doe_77 (at) cs.dept.uni (dot) edu"):
+        text = f"ask {entity} today"
+        assert pii.all_spans(text, weights)[1] == [(4, 0, 4 + len(entity))]
+    assert pii.all_spans("we sat at home. Then we left", weights)[1] == []
+
+
+def test_regions_are_exact_for_the_document():
+    from strandwise.llm import pii
+
+    weights, rng = pii.trained(), random.Random(4)
+    bits = ["mail", "call", "x" * 90, "\n", "  ", "é_", ".", "(", ")", " ", " at ", " [at] ", " dot ", "@", "4111 1111 1111 1111", "10.0.0.1", "203-555-0147", "a.b", "word "]
+    for _ in range(60):
+        text = "".join(rng.choice(bits) for _ in range(150))
+        tokens = list(pii.TOKEN.finditer(text))
+        found, _, scores = pii.scored(text, tokens, weights)
+        assert pii.field_spans(text, weights) == [(tokens[i].start(), k, tokens[j - 1].end()) for i, j, k in pii.decode(len(tokens), found, scores)]
