@@ -1,8 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text's words (runs of word characters, lower-cased) each give a word vector, looked up in the
+A text's words (runs of letters and digits, lower-cased) each give a word vector, looked up in the
 vocabulary of the training sample, and a character vector made from the embeddings of the word's first
-and last EDGE characters; both go through one input projection. Windows of WINDOW words that overlap
+and last EDGE characters; both go through one input projection. A word longer than these that the
+vocabulary doesn't hold is read as sub-words of 2 * EDGE characters, EDGE apart, the last one ending
+with it, so that every character is read. Windows of WINDOW words that overlap
 by half cover the whole text, the last one reaching its end. In each window two gated recurrent layers
 read forwards and backwards, attention weighs their states, and the weighted mean gives the window's
 logit. The text's score is the highest of its windows' probabilities. A null, empty or word-less text
@@ -18,7 +20,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 
 from strandwise.llm.common import held_out, labelled_sample, slices
 
-WORD = re.compile(r"\w+")
+WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, EDGE, HIDDEN = 16, 4, 4, 12
 CHARS = 128
 SEED = 23
-#: Words whose projected inputs a worker remembers.
+#: Inputs that a worker remembers projected; of words, what they are read as for twice as many.
 REMEMBERED = 150_000
 
 Net = dict[str, np.ndarray]
@@ -45,6 +48,14 @@ def char_codes(word: str) -> list[int]:
     return head + [0] * (EDGE - len(head)) + [0] * (EDGE - len(tail)) + tail
 
 
+def inputs_of(word: str, vocabulary: Container[str]) -> list[str]:
+    """The word itself, or the overlapping sub-words that a long one is read as."""
+    if len(word) <= 2 * EDGE or word in vocabulary:
+        return [word]
+    last = len(word) - 2 * EDGE
+    return [word[k : k + 2 * EDGE] for k in [*range(0, last, EDGE), last]]
+
+
 def windows(n_words: int) -> np.ndarray:
     """First words of a text's windows: every STRIDE, and one that ends with the text."""
     if n_words <= WINDOW:
@@ -117,22 +128,27 @@ class Scorer:
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {"": 0}
+        self.parts: dict[str, list[int]] = {}
+        self.held = 0
         self.projected = np.zeros((1, 6 * HIDDEN), np.float32)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        if len(self.rows) > REMEMBERED:
+        if len(self.rows) > REMEMBERED or self.held > 2 * REMEMBERED:
             self.clear()
         words = [WORD.findall(t.lower()) for t in texts]
-        new = list({w for ws in words for w in ws} - self.rows.keys())
+        cut = {w: inputs_of(w, self.vocabulary) for w in {w for ws in words for w in ws} - self.parts.keys()}
+        new = list({x for xs in cut.values() for x in xs} - self.rows.keys())
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             known = np.array([self.vocabulary.get(w, 0) for w in new])
             more = project(self.net, known, np.array([char_codes(w) for w in new]))
             self.projected = np.concatenate([self.projected, more])
-        get = self.rows.__getitem__
-        rows, at = indexed([list(map(get, ws)) for ws in words])
+        self.parts.update((w, [self.rows[x] for x in xs]) for w, xs in cut.items())
+        self.held += sum(map(len, cut.values()))
+        get = self.parts.__getitem__
+        rows, at = indexed([list(chain.from_iterable(map(get, ws))) for ws in words])
         logits = window_logits(self.net, self.projected, rows)
         return 1 / (1 + np.exp(-np.maximum.reduceat(logits, at[:-1]).astype(np.float64)))
 
@@ -203,7 +219,8 @@ def fit(sample: list[tuple[str, int]], passes: int = 20_000, batch: int = 32, ra
     split = [WORD.findall(text.lower()) for text, _ in sample]
     seen = Counter(w for words in split for w in set(words))
     vocabulary = {w: i for i, (w, _) in enumerate(sorted(((w, n) for w, n in seen.items() if n > 1), key=lambda x: (-x[1], x[0]))[:vocabulary_size], 1)}
-    all_words = [""] + sorted(seen)
+    split = [[x for w in words for x in inputs_of(w, vocabulary)] for words in split]
+    all_words = [""] + sorted({x for words in split for x in words})
     row = {w: i for i, w in enumerate(all_words)}
     known = np.array([vocabulary.get(w, 0) for w in all_words])
     chars = np.array([char_codes(w) for w in all_words])

@@ -262,3 +262,19 @@ def test_regions_are_exact_for_the_document():
         tokens = list(pii.TOKEN.finditer(text))
         found, _, scores = pii.scored(text, tokens, weights)
         assert pii.field_spans(text, weights) == [(tokens[i].start(), k, tokens[j - 1].end()) for i, j, k in pii.decode(len(tokens), found, scores)]
+
+
+def test_toxicity_reads_every_character_of_long_words():
+    from strandwise.llm import toxicity
+
+    rng = random.Random(8)
+    clean = [" ".join(rng.choice("river stone cloud paper green house seven light".split()) for _ in range(12)) for _ in range(60)]
+    bad = [t.replace("river", "vileword") + " vileword" for t in clean]
+    scorer = toxicity.Scorer(*toxicity.fit([(t, 0) for t in clean] + [(t, 1) for t in bad], passes=600))
+    a, b = "abcdefgh" + "i" * 40 + "qrstuvwx", "abcdefgh" + "i" * 19 + "z" + "i" * 20 + "qrstuvwx"
+    scores = scorer([a, b, "river_vileword_stone", "river vileword stone", "", "___"])
+    assert scores[0] != scores[1] and scores[2] == scores[3] > 0.5 and scores[4] == scores[5]
+    for n in (9, 12, 13, 16, 40):
+        word = "".join(chr(97 + i % 26) for i in range(n))
+        parts = toxicity.inputs_of(word, ())
+        assert all(len(p) == 8 for p in parts) and all(any(word[i : i + 5] in p for p in parts) for i in range(n - 4))
