@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Every paragraph (a line of the text) is hashed to a wide vector of 16-bit lanes; a document's
-fingerprint is the sum of its paragraphs' vectors modulo 2**16. Sums don't depend on order, and a
+Every paragraph (a line of the text) is hashed to a wide vector of 32-bit lanes; a document's
+fingerprint is the sum of its paragraphs' vectors modulo 2**32. Sums don't depend on order, and a
 paragraph is added or taken away by adding or subtracting its vector. EQUAL lanes are uniform in the
 paragraph's hash and tell multisets apart. LIKE lanes add +1 or -1 for each unit of the paragraph
 (a run of words that ends at a word chosen by its hash), so that the cosine of two documents' lanes,
@@ -24,25 +24,25 @@ from pyspark.sql import DataFrame
 
 from strandwise.llm.common import RangeHash, decompressed, in_order, joined_bytes, mix64, utf8, word_bounds
 
-EQUAL, LIKE = 32, 96
+EQUAL, LIKE = 16, 96
 #: A unit ends at each word whose hash is 0 modulo this.
 UNIT_WORDS = 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lanes(texts: list[str]) -> np.ndarray:
-    """uint16 array of shape (texts, EQUAL + LIKE)."""
+    """uint32 array of shape (texts, EQUAL + LIKE)."""
     if not texts:
-        return np.zeros((0, EQUAL + LIKE), np.uint16)
+        return np.zeros((0, EQUAL + LIKE), np.uint32)
     data = [utf8(t) for t in texts]
     buffer, starts = joined_bytes(data)
     hashes = RangeHash(buffer)
     ends = np.flatnonzero(buffer == 10)
     begins = np.concatenate([[0], ends[:-1] + 1])
     paragraph = hashes.of(begins, ends)
-    wide = mix64(paragraph[:, None] + STEP * np.arange(1, EQUAL // 4 + 1, dtype=np.uint64)).view(np.uint16)
-    out = np.empty((len(texts), EQUAL + LIKE), np.uint16)
-    out[:, :EQUAL] = np.add.reduceat(wide, np.searchsorted(begins, starts[:-1]), axis=0, dtype=np.uint16)
+    wide = mix64(paragraph[:, None] + STEP * np.arange(1, EQUAL // 2 + 1, dtype=np.uint64)).view(np.uint32)
+    out = np.empty((len(texts), EQUAL + LIKE), np.uint32)
+    out[:, :EQUAL] = np.add.reduceat(wide, np.searchsorted(begins, starts[:-1]), axis=0, dtype=np.uint32)
     out[:, EQUAL:] = 0
     first, last = word_bounds(buffer)
     if not len(first):
@@ -59,31 +59,31 @@ def lanes(texts: list[str]) -> np.ndarray:
     place = np.searchsorted(first[start], starts)
     full = np.flatnonzero(place[1:] > place[:-1])
     ones = np.add.reduceat(bits, place[full], axis=0, dtype=np.int64)
-    out[full, EQUAL:] = (2 * ones - (place[full + 1] - place[full])[:, None]).astype(np.uint16)
+    out[full, EQUAL:] = (2 * ones - (place[full + 1] - place[full])[:, None]).astype(np.uint32)
     return out
 
 
 def as_text(vectors: np.ndarray) -> list[str]:
-    return [v.astype("<u2").tobytes().hex() for v in vectors]
+    return [v.astype("<u4").tobytes().hex() for v in vectors]
 
 
 def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), "<u2")
+    return np.frombuffer(bytes.fromhex(fingerprint), "<u4")
 
 
 def inserted(fingerprint: str, paragraphs: list[str]) -> str:
     """The fingerprint with these paragraphs more."""
-    return as_text((from_text(fingerprint) + lanes(paragraphs).sum(axis=0, dtype=np.uint16))[None])[0]
+    return as_text((from_text(fingerprint) + lanes(paragraphs).sum(axis=0, dtype=np.uint32))[None])[0]
 
 
 def deleted(fingerprint: str, paragraphs: list[str]) -> str:
     """The fingerprint with these paragraphs less."""
-    return as_text((from_text(fingerprint) - lanes(paragraphs).sum(axis=0, dtype=np.uint16))[None])[0]
+    return as_text((from_text(fingerprint) - lanes(paragraphs).sum(axis=0, dtype=np.uint32))[None])[0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row: 1 for equal fingerprints, else the cosine of the LIKE lanes, not below 0 or above 1."""
-    x, y = (v[:, EQUAL:].astype(np.int16).astype(np.float64) for v in (a, b))
+    x, y = (v[:, EQUAL:].astype(np.int32).astype(np.float64) for v in (a, b))
     size = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = (x * y).sum(axis=1) / np.where(size > 0, size, 1)
     return np.where((a == b).all(axis=1), 1.0, np.clip(cosine, 0, 1))

@@ -278,3 +278,12 @@ def test_toxicity_reads_every_character_of_long_words():
         word = "".join(chr(97 + i % 26) for i in range(n))
         parts = toxicity.inputs_of(word, ())
         assert all(len(p) == 8 for p in parts) and all(any(word[i : i + 5] in p for p in parts) for i in range(n - 4))
+
+
+def test_long_repetitive_texts_keep_their_likeness():
+    from strandwise.llm.fingerprint import as_text, deleted, inserted, lanes, likeness
+
+    half, whole = lanes(["same line\n" * 20_000]), lanes(["same line\n" * 40_000])
+    assert likeness(half, whole)[0] > 0.99
+    a, b = as_text(lanes(["x y\nz"]))[0], as_text(lanes(["x y"]))[0]
+    assert inserted(b, ["z"]) == a and deleted(a, ["z"]) == b
