@@ -164,14 +164,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     """Texts and labels of at most bound rows, half of each class at most, that are not held out.
 
     The rows with the least hashes of doc_id are taken, so the sample is the same however the tables are dealt.
-    Rows without a label or doc_id are passed over.
+    Of rows that share a doc_id, the one of least text hash stands for all. Rows without a label or doc_id are passed over.
     """
-    open_rows = labels.select(F.col("doc_id").alias("sample_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    open_rows = labels.select(F.col("doc_id").alias("sample_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     draw = F.xxhash64("sample_id", F.lit(seed))
     each = [open_rows.where(F.col("y") == y).withColumn("draw", draw).orderBy("draw", "sample_id").limit(bound // 2) for y in (0, 1)]
     chosen = F.broadcast(each[0].unionAll(each[1]))
-    rows = docs.join(chosen, docs["doc_id"] == chosen["sample_id"]).select("draw", "sample_id", "y", F.coalesce("text", F.lit("")).alias("text")).limit(2 * bound).collect()
-    rows.sort(key=lambda r: (r.draw, r.sample_id, r.text))
+    met = docs.join(chosen, docs["doc_id"] == chosen["sample_id"]).select("draw", "sample_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    rows = met.groupBy("draw", "sample_id", "y").agg(least.alias("text")).collect()
+    rows.sort(key=lambda r: (r.draw, r.sample_id, r.text, r.y))
     return [(r.text, r.y) for r in rows]
 
 

@@ -287,3 +287,16 @@ def test_long_repetitive_texts_keep_their_likeness():
     assert likeness(half, whole)[0] > 0.99
     a, b = as_text(lanes(["x y\nz"]))[0], as_text(lanes(["x y"]))[0]
     assert inserted(b, ["z"]) == a and deleted(a, ["z"]) == b
+
+
+def test_repeated_ids_leave_the_labelled_sample_whole(spark):
+    from pyspark.sql import functions as F
+
+    from strandwise.llm.common import held_out, labelled_sample
+
+    ids = [r.id for r in spark.range(40).where(~held_out(F.col("id"))).collect()][:4]
+    docs = spark.createDataFrame([(ids[0], "again")] * 300 + [(ids[0], "other")] * 300 + [(i, f"text {i}") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] + [(ids[0], 0)] * 9, "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 4, 1)
+    assert len(rows) == 4 and sorted(y for _, y in rows) == [0, 0, 1, 1]
+    assert {t for t, _ in rows} - {"again", "other"} == {f"text {i}" for i in ids[1:]}
