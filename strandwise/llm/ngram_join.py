@@ -279,15 +279,28 @@ def prefix_pairs(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row."""
+def class_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their sets' sums, the classes of rows with equal sets (id: least doc_id), and a class's set for filters."""
     first = written(first_pass(docs), "shingle-sums")
     rows = first.where(F.col("chunk").isNull()).select("doc_id", "a", "b", "n")
     classes = written(rows.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id")), "classes")
     levels, rare = levels_of(first)
     sets = second_pass(docs, levels, rare)
     sets = sets.join(classes, ["a", "b"]).dropDuplicates(["a", "b"]).select("id", "n", "rare", "prefix", "later", "hashes", "parity")
-    sets = written(sets, "sets")
+    return rows, classes, written(sets, "sets")
+
+
+def links_of(docs: DataFrame) -> DataFrame:
+    """a and b: every pair of classes of equal sets (named by least doc_id) that link, by prefix join alone."""
+    _, classes, sets = class_sets(docs)
+    alone = sets.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    pairs = prefix_pairs(sets, alone)
+    return verified(pairs, classes, docs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def classes_of(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row."""
+    rows, classes, sets = class_sets(docs)
     near = verified(near_pairs(sets), classes, docs)
     parts = written(components(near), "near-parts")
     far = verified(prefix_pairs(sets, parts), classes, docs)

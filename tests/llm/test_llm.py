@@ -300,3 +300,15 @@ def test_repeated_ids_leave_the_labelled_sample_whole(spark):
     rows = labelled_sample(docs, labels, "toxic", 4, 1)
     assert len(rows) == 4 and sorted(y for _, y in rows) == [0, 0, 1, 1]
     assert {t for t, _ in rows} - {"again", "other"} == {f"text {i}" for i in ids[1:]}
+
+
+def test_links_are_all_listed(docs):
+    from strandwise.llm.ngram_join import links_of
+
+    least = {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        if shingles(r.text):
+            least.setdefault(frozenset(shingles(r.text)), r.doc_id)
+    sets = sorted((i, s) for s, i in least.items())
+    brute = {(i, j) for i, x in sets for j, y in sets if i < j and 100 * len(x & y) >= 80 * len(x | y)}
+    assert {(r.a, r.b) for r in links_of(docs).collect()} == brute and brute
