@@ -59,7 +59,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Networks, a random field and a tokenizer have no SQL; tests compare each stage with a brute-force version.
+#: Networks, a random field and a tokenizer have no SQL; tests compare run() with plain versions of the last three stages
+#: and the networks with held-out labels, not with a network written twice.
 ORACLE_SQL = None
 
 
