@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -45,14 +46,17 @@ class RangeHash:
     """64-bit hashes of byte ranges of one buffer from one pass of prefix sums.
 
     Byte b at place j adds table[b] * base**j modulo 2**64; a range's sum is divided by base**start
-    (base is odd, so it has an inverse), which makes the hash independent of the place.
+    (base is odd, so it has an inverse), which makes the hash independent of the place. Long ranges can
+    be built to collide modulo a power of two, so those of more than LONG bytes are hashed by blake2b.
     """
 
     BASE = 0x9E3779B97F4A7C15
     SEED = 20_240_229
+    LONG = 256
 
     def __init__(self, buffer: np.ndarray):
         n = len(buffer)
+        self.buffer = buffer
         table = np.random.default_rng(self.SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.inverse = self.powers(pow(self.BASE, -1, 2**64), n)
         self.sums = np.zeros(n + 1, np.uint64)
@@ -71,7 +75,10 @@ class RangeHash:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(ends - starts > self.LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.buffer[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
 
 
 def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
