@@ -279,8 +279,10 @@ def prefix_entries(sets: DataFrame, slim: DataFrame) -> DataFrame:
     shared = shared.where("low <> high").select("a", "shingle", "df").repartition("a").groupBy("a", "shingle").agg(F.min("df").alias("df"))
     mine = Window.partitionBy("a")
     ordered = mine.orderBy("df", "shingle")
-    onward = ordered.rowsBetween(1, Window.unboundedFollowing)
-    quarter = [F.coalesce(F.sum((F.expr("shiftrightunsigned(shingle, 62)") == k).cast("long")).over(onward), F.lit(0)) for k in range(4)]
+    # What is left behind a row is the whole less what came up to it: frames that start at the first row are added up once.
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ones = [(F.expr("shiftrightunsigned(shingle, 62)") == k).cast("long") for k in range(4)]
+    quarter = [F.sum(one).over(mine) - F.sum(one).over(upto) for one in ones]
     ranked = shared.select("a", "shingle", F.count("*").over(mine).alias("shared"), F.row_number().over(ordered).alias("rank"), *[q.alias(f"q{k}") for k, q in enumerate(quarter)])
     placed = ranked.join(slim.select("a", "id", "n", "u", "behind"), "a").withColumn("pos", (F.col("u") - F.col("shared") + F.col("rank") - 1).cast("int"))
     packed = " + ".join(f"shiftleft(behind[{k}] + q{k}, {16 * k})" for k in range(4))
