@@ -177,7 +177,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     draw = F.xxhash64("sample_id", F.lit(seed))
     each = [open_rows.where(F.col("y") == y).withColumn("draw", draw).orderBy("draw", "sample_id").limit(bound // 2) for y in (0, 1)]
     chosen = F.broadcast(each[0].unionAll(each[1]))
-    met = docs.join(chosen, docs["doc_id"] == chosen["sample_id"]).select("draw", "sample_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    met = texts.join(chosen, texts["text_id"] == chosen["sample_id"]).select("draw", "sample_id", "y", "text")
     least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
     rows = met.groupBy("draw", "sample_id", "y").agg(least.alias("text")).collect()
     rows.sort(key=lambda r: (r.draw, r.sample_id, r.text, r.y))
