@@ -2,8 +2,8 @@
 
 Every paragraph (a line of the text) is hashed to a wide vector of 32-bit lanes; a document's
 fingerprint is the sum of its paragraphs' vectors modulo 2**32. Sums don't depend on order, and a
-paragraph is added or taken away by adding or subtracting its vector. EQUAL lanes are uniform in the
-paragraph's hash and tell multisets apart. LIKE lanes add +1 or -1 for each unit of the paragraph
+paragraph is added or taken away by adding or subtracting its vector. EQUAL lanes are the paragraph's
+512-bit blake2b digest and tell multisets apart. LIKE lanes add +1 or -1 for each unit of the paragraph
 (a run of words that ends at a word chosen by its hash), so that the cosine of two documents' lanes,
 read as signed numbers, estimates the cosine of their multisets of units.
 
@@ -39,8 +39,9 @@ def lanes(texts: list[str]) -> np.ndarray:
     hashes = RangeHash(buffer)
     ends = np.flatnonzero(buffer == 10)
     begins = np.concatenate([[0], ends[:-1] + 1])
-    paragraph = hashes.of(begins, ends)
-    wide = mix64(paragraph[:, None] + STEP * np.arange(1, EQUAL // 2 + 1, dtype=np.uint64)).view(np.uint32)
+    whole = memoryview(buffer)
+    digests = [hashlib.blake2b(whole[a:b], digest_size=4 * EQUAL).digest() for a, b in zip(begins.tolist(), ends.tolist())]
+    wide = np.frombuffer(b"".join(digests), "<u4").reshape(-1, EQUAL)
     out = np.empty((len(texts), EQUAL + LIKE), np.uint32)
     out[:, :EQUAL] = np.add.reduceat(wide, np.searchsorted(begins, starts[:-1]), axis=0, dtype=np.uint32)
     out[:, EQUAL:] = 0
