@@ -16,7 +16,8 @@ element, main text is what articles hold, without slots that are mostly links; e
 that slot. A page that holds nothing there (another layout) is judged by its own slots' gains in the same way.
 Tags, roles and hidden attributes drop what they hold for good, telling names only if something else has more gain.
 
-Null pages and pages without text give an empty text. Null or odd URLs share the host "". Repeated
+Null pages and pages without text give an empty text, an empty table an empty one. Elements whose path is longer than
+2,000 characters count as part of what holds them; nothing of a long page is left out. Null or odd URLs share the host "". Repeated
 rows and null or equal page_ids each give a row; template words need DISTINCT different pages. Other
 columns are ignored. Unclosed and misplaced tags are tolerated; comments, scripts and the like are
 skipped to their end, or to the end of the page.
@@ -52,11 +53,18 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social footer comment comments disqus respond replies reply legal copyright pagination pager search skip toolbar".split()
 )
 PAGE_HEADS = frozenset("header masthead topbar".split())
+#: Names that tell outside articles only: inside, they may be what the article is about.
+OUTSIDE = frozenset("legal copyright search skip".split())
+#: Name parts that say where an element is, not what it holds: beside others, a telling name tells nothing ("share-price").
+PLACES = frozenset(
+    "area body list lists box block wrap wrapper container inner outer left right top bottom main content section item items link links bar slot unit site page post entry col column columns row group panel field form thread title text primary secondary global local mini full wide small large fixed sticky mobile desktop with no has is the js s x".split()
+)
 MAIN_ELEMENTS = frozenset(("article", "main"))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
-NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Words of a name, and short numbers; longer ones are ids that differ from page to page.
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|(?<![0-9])[0-9]{1,2}(?![0-9])")
 #: Share of a host's pages on which a tag's role must be to belong to the template.
 SUPPORT = 0.5
 #: Share of pages, and number of different ones, on which a block must be to be the template's own words.
@@ -84,9 +92,10 @@ def judged(name: str, attributes: str, inside_main: bool) -> tuple[str, int]:
             if key in ("class", "id"):
                 names = {w.lower() for w in NAME_PART.findall(value)}
                 if key == "class":
-                    label += "." + "-".join(sorted(names))[:40]
-                telling = names & NAMES if inside_main else names & (NAMES | PAGE_HEADS)
-                if telling and kind == KEEP and name not in HOLDERS[:2] and (name not in HOLDERS or telling == names):
+                    label += "." + "-".join(sorted(names))
+                telling = names & (NAMES - OUTSIDE if inside_main else NAMES | PAGE_HEADS)
+                others = {n for n in names - telling if not n.isdigit()} - (PLACES if name not in HOLDERS else set())
+                if telling and not others and kind == KEEP and name not in HOLDERS[:2]:
                     kind = NAMED
             elif key == "role":
                 if value.lower() in ROLES:
