@@ -10,9 +10,10 @@ features look at, in the region around that; text outside has no candidates and
 program over a region is exact for the document. Segments that meet a base span are not added.
 
 No labels of personal data exist, so the field is trained by its conditional likelihood on seeded,
-made-up sentences with plain and disguised entities and look-alikes (dates, versions, prices, ids).
+made-up sentences with plain and disguised entities and look-alikes (dates, versions, prices, ids, numbers that
+fail a card's checksum, times and places behind "at").
 
-Null and empty texts have no spans; offsets are code points, ends exclusive. Repeated rows and null or
+Null and empty texts have no spans, an empty table gives an empty one; offsets are code points, ends exclusive. Repeated rows and null or
 equal doc_ids each give a row; columns other than doc_id and text are ignored. Every pass is linear in
 the text: patterns start at signs or run borders, segments are bounded.
 """
@@ -98,7 +99,14 @@ CUES = (
     frozenset({"card", "visa", "mastercard", "credit", "carte", "karte", "tarjeta"}),
     frozenset({"tel", "phone", "call", "telefon", "téléphone", "teléfono", "mobile", "fax"}),
 )
+#: Words that stand before or behind "at" in plain sentences, and are no names of people or hosts.
+PLAIN = frozenset(
+    "a all am an and are arrive arrived arrives as back be been best but call came come dinner eat end ended ends first found had has he held her here him his home i in is it kept last later least leave leaves left live lived lives look looked looks lunch me meet meets met most my night noon of on once one open opens or our out sat school see she sit stand start started starts stay stayed stop stopped that the their them there they this time up us was we went were will with work worked works you your".split()
+)
 NUMERIC = frozenset("+-(). /:")
+#: Signs within an address, and what blanks may stand beside in one.
+SIGNS = frozenset("@._%+-[](){}")
+JOINTS = AT_WORDS | DOT_WORDS | frozenset("@[](){}")
 Segment = tuple[int, int, tuple[int, ...]]  # first token, end token, kinds
 
 
@@ -149,11 +157,13 @@ def segments(text: str, tokens: list[re.Match]) -> list[Segment]:
             spaces += gap > 0
             if word == "\n" or gap > 1 or tokens[j].end() - tokens[i].start() > MOST_CHARS:
                 break
-            if gap and not ats and not only_numbers and not (lower[j] in AT_WORDS or word in "[({"):
+            if not only_numbers and not (word[0].isalnum() or word in SIGNS):
+                break
+            if gap and not only_numbers and not any(w in JOINTS for w in (lower[j - 1], lower[j])):
                 break
             only_numbers &= numeric[j]
             ats += word == "@" or (lower[j] in AT_WORDS and j > i)
-            dots += word == "." or lower[j] in DOT_WORDS
+            dots += ats > 0 and (word == "." or lower[j] in DOT_WORDS)
             digits += len(word) if word[0] in "0123456789" else 0
             if ats > 1 or (not only_numbers and (digits > 12 or not first[0].isalnum())):
                 break
@@ -164,7 +174,7 @@ def segments(text: str, tokens: list[re.Match]) -> list[Segment]:
     return out
 
 
-FEATURES = 44
+FEATURES = 50
 
 
 def features(text: str, tokens: list[re.Match], i: int, j: int) -> np.ndarray:
@@ -222,6 +232,12 @@ def features(text: str, tokens: list[re.Match], i: int, j: int) -> np.ndarray:
         at == 1 or (marked and at == 2),
         ".." in span or "--" in span or "  " in span,
         at > 0 and lower[at] == "arroba",
+        at > 0 and "@" not in span and any(w in PLAIN for w in lower[:at]),
+        at > 0 and "@" not in span and any(w in PLAIN for w in tail),
+        13 <= n <= 19 and not luhn("".join(groups)),
+        bool(re.fullmatch(r"[0-9][\x20.-]", text[max(0, begin - 2) : begin])) and span[0] != "+",
+        bool(re.match(r"[\x20.-][0-9]", text[end : end + 2])),
+        at > 0 and i > 0 and lower[0].isalpha() and tokens[i - 1][0].lower() in DOT_WORDS,
     ]
     return np.array(values + [0] * (FEATURES - len(values)), np.float64)
 
@@ -286,6 +302,7 @@ def marginals(n_tokens: int, found: list[Segment], scores: np.ndarray) -> np.nda
 def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
     """Sentences with marked entities, plain and disguised, and look-alikes without a mark."""
     draw = random.Random(seed)
+    plain = sorted(PLAIN)
     digits = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
     word = lambda: "".join(draw.choice(("th", "er", "on", "an", "re", "ti", "es", "or")) for _ in range(draw.randint(1, 4)))
 
@@ -294,10 +311,19 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
         number = next(stem + d for d in "0123456789" if luhn(stem + d))
         return draw.choice(("", " ", "-", ".")).join(number[k : k + 4] for k in range(0, 16, 4))
 
+    def no_card() -> str:
+        """A number of a card's length that fails the checksum, in one of many groupings."""
+        n = draw.choice((13, 14, 15, 16, 16, 16, 17, 18, 19))
+        stem = digits(n - 1)
+        number = stem + draw.choice([d for d in "0123456789" if not luhn(stem + d)])
+        size = draw.choice((4, 4, 4, n))
+        return draw.choice(("", " ", "-")).join(number[k : k + size] for k in range(0, n, size))
+
     def email() -> str:
         at, dot = draw.choice((("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot "), (" arroba ", " punto "), (" arroba ", "."), (" [at] ", "."), (" (at) ", ".")))
         host = dot.join([word() for _ in range(draw.randint(1, 2))] + [draw.choice(("com", "org", "net", "de", "es", "example"))])
-        return draw.choice((word(), word() + digits(2))) + at + host
+        local = draw.choice((word(), word() + digits(2), word() + dot + word() if dot != "." else word() + "." + word()))
+        return local + at + host
 
     def phone() -> str:
         a, b, c = str(draw.randint(200, 999)), digits(3), digits(4)
@@ -322,6 +348,11 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
                 f"id{digits(10)}",
                 f"{digits(3)}-{digits(2)}",
                 "@" + word(),
+                draw.choice(plain) + " at " + draw.choice(plain) + draw.choice((" dot ", ". ", " dot com ")) + word(),
+                draw.choice(plain) + " at " + word() + " dot " + draw.choice(("com", word())),
+                word() + " at " + draw.choice(plain) + " dot " + draw.choice(("com", word())),
+                no_card(),
+                no_card(),
             )
         )
 
@@ -346,8 +377,19 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
     return out
 
 
+def measured(seed: int, sentences: int, weights: np.ndarray) -> dict[str, tuple[float, float]]:
+    """Precision and recall of each kind's spans, base and added, on made-up sentences."""
+    right, said, held = ([0] * len(KINDS) for _ in range(3))
+    for text, spans in made_up(seed, sentences):
+        found = all_spans(text, weights)[1]
+        for count, part in ((right, set(found) & {(a, k, b) for a, k, b in spans}), (said, found), (held, spans)):
+            for _, k, _ in part:
+                count[k] += 1
+    return {kind: (right[k] / max(1, said[k]), right[k] / max(1, held[k])) for k, kind in enumerate(KINDS)}
+
+
 @functools.lru_cache(maxsize=4)
-def trained(seed: int = 7, sentences: int = 300, epochs: int = 14, rate: float = 0.5, decay: float = 0.0005) -> np.ndarray:
+def trained(seed: int = 7, sentences: int = 900, epochs: int = 14, rate: float = 0.5, decay: float = 0.0005) -> np.ndarray:
     """Weights (features by kinds) by stochastic gradient ascent of the conditional likelihood."""
     weights = np.zeros((FEATURES, len(KINDS)))
     scale = np.full_like(weights, 1e-6)
