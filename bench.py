@@ -20,7 +20,7 @@ def main() -> None:
     spark = build_session("bench", master=f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus})
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
-    for name, query in registry.QUERIES.items():
+    for name, query in ((n, registry.QUERIES[n]) for n in registry.HEADLINE):
         start = time.perf_counter()
         query(spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

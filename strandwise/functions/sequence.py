@@ -25,6 +25,11 @@ def reverse_complement(s: Column, strict: bool = False) -> Column:
     return F.when(s.rlike("^[ACGTN]*$"), out).otherwise(F.raise_error(F.concat(F.lit("not a DNA string: "), s)).cast("string")) if strict else out
 
 
+def base_complement(base: Column) -> Column:
+    """The base across; anything but A, C, G and T gives N."""
+    return F.when(base.isin("A", "C", "G", "T"), complement(base)).when(base.isNotNull(), F.lit("N"))
+
+
 def gc_count(s: Column) -> Column:
     return F.length(s) - F.length(F.translate(s, "GC", ""))
 
@@ -45,8 +50,13 @@ def minimum_k(genome_size: int) -> int:
     return k + 1 if k % 2 == 0 else k
 
 
+def part_of(s: Column, pos: Column, n: Column | int) -> Column:
+    """n characters of an ASCII string from pos (from 0): bytes are cut in place, where characters would be counted from the start."""
+    return F.substring(s.cast("binary"), (pos + 1).cast("int"), n if isinstance(n, Column) else F.lit(n)).cast("string")
+
+
 def kmers(s: Column, k: int) -> Column:
-    """Array of (pos, kmer), pos from 0."""
+    """Array of (pos, kmer), pos from 0; for short strings, as each k-mer is looked for from the start."""
     here = F.sequence(F.lit(0), F.length(s) - k)
     each = F.transform(here, lambda p: F.struct(p.alias("pos"), F.substring(s, p + 1, F.lit(k)).alias("kmer")))
     return F.when(F.length(s) >= k, each).otherwise(F.array().cast("array<struct<pos:int,kmer:string>>"))
@@ -91,6 +101,51 @@ def error_number(kind: Column) -> Column:
     return F.when(at > 0, (at - 1).cast("int")).when(kind.isNotNull(), F.raise_error(F.concat(F.lit("no such error type: "), kind)).cast("int"))
 
 
+def error_type(number: Column) -> Column:
+    """The name of an error type's number; numbers outside 0 to 11 raise an error."""
+    names = F.array(*map(F.lit, ERROR_TYPES))
+    return F.when(number.between(0, 11), F.get(names, number)).when(number.isNotNull(), F.raise_error(F.concat(F.lit("no such error number: "), number.cast("string"))))
+
+
+def kmer_type_number(kind: Column) -> Column:
+    """0 to 2; an unknown name raises an error."""
+    at = F.array_position(F.array(*map(F.lit, KMER_TYPES)), kind)
+    return F.when(at > 0, (at - 1).cast("int")).when(kind.isNotNull(), F.raise_error(F.concat(F.lit("no such k-mer type: "), kind)).cast("int"))
+
+
+def kmer_type(number: Column) -> Column:
+    """The name of a k-mer class's number; numbers outside 0 to 2 raise an error."""
+    return F.when(number.between(0, 2), F.get(F.array(*map(F.lit, KMER_TYPES)), number)).when(number.isNotNull(), F.raise_error(F.concat(F.lit("no such k-mer number: "), number.cast("string"))))
+
+
+def kmer_after_error(s: Column, kind: Column, pos: Column) -> Column:
+    """undo_error for types that change a k-mer; CORRECT, NODEL and MULTIDEL raise an error."""
+    return F.when(kind.isin("CORRECT", "NODEL", "MULTIDEL"), F.raise_error(F.concat(F.lit("changes no k-mer: "), kind)).cast("string")).otherwise(undo_error(s, kind, pos))
+
+
+def correction(pos: Column, orig_pos: Column, old: Column, new: Column, prob: Column | None = None, kind: Column | None = None) -> Column:
+    """A correction as a struct: type inferred from the bases unless given, probability 1 unless given. Equal bases raise an error."""
+    kind = infer_error_type(old, new) if kind is None else kind
+    kind = F.when((old == new) & (kind != "MULTIDEL"), F.raise_error(F.lit("a correction must change something")).cast("string")).otherwise(kind)
+    return F.struct(kind.alias("type"), pos.alias("pos"), orig_pos.alias("orig_pos"), old.alias("old"), new.alias("new"), (F.lit(1.0) if prob is None else prob).alias("prob"))
+
+
+def motif_index(motif: Column) -> Column:
+    """A motif's place in the list of all motifs over A, C, G, T and N, shorter ones first; other letters count as A."""
+    digits = F.translate(F.regexp_replace(motif, "[^ACGTN]", "A"), "ACGTN", "01234")
+    value = F.aggregate(F.filter(F.split(digits, ""), lambda d: d != ""), F.lit(0).cast("long"), lambda acc, d: acc * 5 + d.cast("long"))
+    return value + ((F.pow(F.lit(5.0), F.length(motif)) - 1) / 4).cast("long") - 1
+
+
+def motif_at(index: Column, longest: int = 12) -> Column:
+    """The motif at a place in that list."""
+    size = F.lit(longest)
+    for n in range(longest - 1, 0, -1):
+        size = F.when(index < (5 ** (n + 1) - 1) // 4 - 1, n).otherwise(size)
+    value = index + 1 - ((F.pow(F.lit(5.0), size) - 1) / 4).cast("long")
+    return F.translate(F.lpad(F.conv(value.cast("string"), 10, 5), size, F.lit("0")), "01234", "ACGTN")
+
+
 def middle_quality(a: Column, b: Column) -> Column:
     """The quality character halfway between two, rounded down."""
     return F.char(F.floor((F.ascii(a) + F.ascii(b)) / 2).cast("int"))
@@ -102,6 +157,11 @@ def correction_text(kind: Column, pos: Column, old: Column, new: Column, prob: C
     return F.concat_ws(" ", kind, pos.cast("string"), dot(old), dot(new), prob.cast("string"))
 
 
+def md_text(found: Column) -> Column:
+    """Substitutions of an MD tag as "base position," one after another."""
+    return F.array_join(F.transform(found, lambda x: F.concat(x["base"], F.lit(" "), x["position"].cast("string"), F.lit(","))), "")
+
+
 def md_substitutions(md: Column) -> Column:
     """Array of (base, position) of the substitutions in an MD tag; deleted letters take no position."""
     tokens = F.regexp_extract_all(md, F.lit(r"([0-9]+|\^[A-Z]+|[A-Z])"), F.lit(1))

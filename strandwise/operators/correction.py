@@ -1,12 +1,26 @@
-"""Correction of reads by k-mer classes, and its evaluation."""
+"""Correction of reads by k-mer classes and error profiles, and its evaluation.
+
+All ways of correcting judge every place of the reads as they were sequenced and mend all places at once, so each is a
+fixed number of joins however long the reads are; what several joins need is written to the shared folder once. The tables `known` (kmer) and `table` (kmer, class) may be any size.
+Defined cases: reads without bases, or shorter than k, get no corrections; a read_id must be unique among the reads;
+empty tables give empty tables. Ties between errors go to the higher score, the earlier place, the smaller number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.functions.sequence import ERROR_TYPES, undo_error
+from strandwise.functions.sequence import ERROR_TYPES, error_number, middle_quality, part_of, possible_errors, undo_error
+from strandwise.operators import ladders
 from strandwise.operators.counting import positions
+from strandwise.operators.profiles import ErrorProfile
+from strandwise.session import written
+
+#: Two windows judge a fix: one from the place, one from so many bases before it.
+BEFORE = 5
 
 
 def substitutions(reads: DataFrame, trusted: DataFrame, k: int) -> DataFrame:
@@ -25,39 +39,230 @@ def substitutions(reads: DataFrame, trusted: DataFrame, k: int) -> DataFrame:
     return mended.groupBy("read_id", "pos").agg(F.count("*").alias("ways"), F.min("type").alias("type")).where("ways = 1").select("read_id", F.col("pos").cast("long").alias("orig_pos"), "type")
 
 
+def unknown_places(reads: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """read_id, seq and orig_pos of places whose k-mer is not known: the one that starts there or, in a read's tail, its last."""
+    unknown = positions(reads, k, ["read_id"]).join(known.select("kmer").distinct(), "kmer", "left_anti")
+    met = unknown.select("read_id", "pos").join(reads.select("read_id", "seq"), "read_id")
+    end = F.length("seq") - 1
+    return met.select("read_id", "seq", F.explode(F.sequence("pos", F.when(F.col("pos") + k == end + 1, end).otherwise(F.col("pos"))).cast("array<bigint>")).alias("orig_pos"))
+
+
+def candidates(at: DataFrame, indels: bool = True) -> DataFrame:
+    """at (read_id, seq, orig_pos) with type: each error that the place may stem from."""
+    each = at.withColumn("type", F.explode(possible_errors(F.col("seq"), F.col("orig_pos"))))
+    return each if indels else each.where(F.col("type").startswith("SUB"))
+
+
+def by_kmers(reads: DataFrame, known: DataFrame, k: int, indels: bool = True, before: int = BEFORE) -> DataFrame:
+    """read_id, orig_pos and type by k-mers of fixed size: places whose k-mer is not known and that one error alone explains.
+
+    Of the read without the error, two windows of size k must be known, one from the place and one from `before` bases
+    further left: with windows of equal size an insertion, which shortens what follows, is no easier to explain than a
+    substitution. Several errors that would do leave the place as it is.
+    """
+    tried = candidates(unknown_places(reads, known, k), indels)
+    mended = undo_error(F.col("seq"), F.col("type"), F.col("orig_pos").cast("int"))
+    tried = tried.select("read_id", "orig_pos", "type", mended.alias("mended")).where(F.length("mended") >= k)
+    last = F.length("mended") - k
+    window = lambda back: part_of(F.col("mended"), F.greatest(F.least(F.col("orig_pos") - back, last), F.lit(0)), k)
+    tried = tried.select("read_id", "orig_pos", "type", window(0).alias("kmer"), window(before).alias("earlier"))
+    names = known.select("kmer").distinct()
+    whole = tried.join(names, "kmer", "left_semi").join(names.withColumnRenamed("kmer", "earlier"), "earlier", "left_semi")
+    return single(whole, ["read_id", "orig_pos"])
+
+
+def single(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and type of those keys that have one type."""
+    return found.groupBy(*keys).agg(F.count("*").alias("ways"), F.min("type").alias("type")).where("ways = 1").select(*keys, "type")
+
+
+def by_growing_kmers(reads: DataFrame, table: DataFrame, k: int, longest: int = ladders.LONGEST, indels: bool = True, before: int = BEFORE) -> DataFrame:
+    """read_id, orig_pos and type as by_kmers, with windows that grow while they are repetitive or several errors would do.
+
+    A place is looked at if the first window from it that is not REPEAT is UNTRUSTED; behind a place whose windows all
+    are REPEAT, a read is left as it is. Each candidate's windows, from `before` bases further left, are judged size by
+    size; it holds at a size if the first one from there on that is not REPEAT is not UNTRUSTED. The first size at which
+    one candidate at most holds decides.
+    """
+    judged = written(ladders.judged_starts(reads, table, k, lambda seq, start: ladders.onward(seq, start, k, longest)), "judged-starts")
+    end = F.col("size") - 1
+    judged = judged.select("read_id", "class", F.explode(F.sequence("start", F.when(F.col("start") + k == F.col("size"), end).otherwise(F.col("start"))).cast("array<bigint>")).alias("orig_pos"))
+    stop = judged.where("class = 'REPEAT'").groupBy("read_id").agg(F.min("orig_pos").alias("stop"))
+    wrong = judged.where("class = 'UNTRUSTED'").join(stop, "read_id", "left").where("stop is null or orig_pos < stop")
+    wrong = wrong.select("read_id", "orig_pos").join(reads.select("read_id", "seq"), "read_id")
+    tried = candidates(wrong, indels)
+    ladder = ladders.onward_after(F.col("seq"), F.col("orig_pos").cast("int"), F.col("type"), k, longest, before)
+    rungs = tried.select("read_id", "orig_pos", "type", F.posexplode(ladder).alias("rung", "kmer")).join(table.select("kmer", "class"), "kmer", "left")
+    keys = ["read_id", "orig_pos", "type"]
+    classes = rungs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rung", F.coalesce("class", F.lit("UNTRUSTED")).alias("class")))).alias("rungs"))
+    later = F.filter(F.slice("rungs", F.col("rung") + 1, F.size("rungs")), lambda x: x["class"] != "REPEAT")
+    each = classes.select(*keys, "rungs", F.explode(F.sequence(F.lit(0), F.size("rungs") - 1)).alias("rung"))
+    each = each.select(*keys, "rung", (F.get(later, F.lit(0))["class"].isNull() | (F.get(later, F.lit(0))["class"] != "UNTRUSTED")).alias("holds"))
+    ways = each.groupBy("read_id", "orig_pos", "rung").agg(F.count(F.when(F.col("holds"), 1)).alias("ways"), F.min(F.when(F.col("holds"), F.col("type"))).alias("type"))
+    first = ways.where("ways <= 1").groupBy("read_id", "orig_pos").agg(F.min_by("type", "rung").alias("type"))
+    return first.where("type is not null")
+
+
+def ranking(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """scores with rank (from 1) among rows of the same keys: higher scores first, then earlier places, then smaller numbers; null scores have no rank."""
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "orig_pos", error_number(F.col("type")))
+    return scores.where(F.col("score").isNotNull()).withColumn("rank", F.row_number().over(order))
+
+
+def by_ranked_kmers(reads: DataFrame, profile: ErrorProfile, table: DataFrame, k: int, longest: int = ladders.LONGEST, indels: bool = True) -> DataFrame:
+    """read_id, orig_pos and type: reads are covered with k-mers, and of an untrusted one the likeliest error that makes it trusted is mended.
+
+    The first k-mer starts at 0, each further one half a k-mer behind the last (behind its end without indels); it
+    grows on the right while it is repetitive, and the last lies within the read. Errors of all places of a k-mer are
+    ranked by the profile. A substitution or insertion is accepted if the k-mer without it (filled up behind an insertion
+    by the next base) is trusted, grown on the right while it is repetitive. A deletion is accepted if the k-mers to both sides of the gap are not untrusted, the one
+    across it without its base is, and with the base put in behind it it is trusted.
+    """
+    judged = written(ladders.judged_starts(reads, table, k, lambda seq, start: ladders.rightward(seq, start, k, longest)), "judged-starts")
+    # One pass over a read's k-mers picks those that cover it: the next start depends on how far the last one grew.
+    marks = judged.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("start", F.coalesce("n", F.lit(k)).alias("n")))).alias("marks"))
+    step = (lambda n: F.greatest(F.floor(n / 2).cast("int"), F.lit(1))) if indels else (lambda n: n)
+    begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("out"))
+
+    def visit(acc: Column, m: Column) -> Column:
+        take = (m["start"] == acc["next"]) | ((m["start"] == F.size("marks") - 1) & (acc["next"] > m["start"]))
+        return F.struct(F.when(take, m["start"] + step(m["n"])).otherwise(acc["next"]).alias("next"), F.when(take, F.concat(acc["out"], F.array(m["start"]))).otherwise(acc["out"]).alias("out"))
+
+    visited = marks.select("read_id", F.explode(F.aggregate("marks", begin, visit, lambda acc: acc["out"])).alias("start"))
+    wrong = judged.where("class = 'UNTRUSTED'").join(visited, ["read_id", "start"], "left_semi").select("read_id", "start", "n")
+    wrong = wrong.join(reads.select("read_id", "seq"), "read_id").withColumn("window", part_of(F.col("seq"), F.col("start"), F.col("n"))).drop("n")
+    at = wrong.select("read_id", "seq", "start", "window", F.explode(F.sequence("start", F.col("start") + F.length("window") - 1).cast("array<bigint>")).alias("orig_pos"))
+    scored = profile.scores(at.select("read_id", "seq", "orig_pos").distinct())
+    kinds = scored.where(~F.col("type").isin("CORRECT", "NODEL", "MULTIDEL"))
+    ranked = written(ranking(at.join(kinds, ["read_id", "orig_pos"]), ["read_id", "start"]), "ranked-errors")
+    accepted = _accepted(ranked, table, k, longest)
+    best = accepted.groupBy("read_id", "start").agg(F.min_by(F.struct("orig_pos", "type"), "rank").alias("b"))
+    return best.select("read_id", "b.orig_pos", "b.type").distinct()
+
+
+def _accepted(ranked: DataFrame, table: DataFrame, k: int, longest: int) -> DataFrame:
+    """Those rows of ranked (read_id, seq, start, window, orig_pos, type, rank) whose error makes its k-mer trusted."""
+    keys = ["read_id", "start", "rank", "orig_pos", "type"]
+    seq, pos = F.col("seq"), F.col("orig_pos").cast("int")
+    plain = ranked.where(~F.col("type").startswith("DEL"))
+    mended = F.concat(undo_error(F.col("window"), F.col("type"), pos - F.col("start")), part_of(seq, F.col("start") + F.length("window"), F.length("seq")))
+    plain = plain.select(*keys, mended.alias("mended"), F.length("window").alias("size"))
+    more = F.floor((F.least(F.length("mended"), F.lit(longest)) - F.col("size")) / 2).cast("int")
+    plain = plain.select(*keys, F.transform(F.sequence(F.lit(0), F.greatest(more, F.lit(0))), lambda i: F.left("mended", (F.col("size") + 2 * i).cast("int"))).alias("ladder"))
+    plain = ladders.decided(plain, "ladder", table, keys).where("class = 'TRUSTED'").select(*keys)
+    gaps = ranked.where(F.col("type").startswith("DEL") & (F.col("orig_pos") < F.length("seq") - 1))
+    base = part_of(seq, pos, 1)
+    tests = {
+        "left": (ladders.left_of(seq, pos + 1, k, longest), "class <> 'UNTRUSTED'"),
+        "right": (ladders.right_of(seq, pos, k, longest), "class <> 'UNTRUSTED'"),
+        "without": (ladders.middle(seq, pos, F.lit(""), k, longest), "class = 'UNTRUSTED'"),
+        "with": (ladders.middle(seq, pos, F.concat(base, F.right("type", F.lit(1))), k, longest), "class = 'TRUSTED'"),
+    }
+    each = gaps.select(*keys, F.inline(F.array(*[F.struct(F.lit(name).alias("test"), ladder.alias("ladder")) for name, (ladder, _) in tests.items()])))
+    judged = ladders.decided(each, "ladder", table, [*keys, "test"])
+    passed = judged.where(" or ".join(f"test = '{name}' and {rule}" for name, (_, rule) in tests.items()))
+    whole = passed.groupBy(*keys).agg(F.count("*").alias("tests")).where(f"tests = {len(tests)}").select(*keys)
+    return plain.unionByName(whole)
+
+
+def most_likely_errors(scores: DataFrame) -> DataFrame:
+    """read_id, orig_pos and type: the best score of each place, apart for its base and for the gap behind it; the smaller number wins ties.
+
+    CORRECT and NODEL win with a score of their own or where a place has no better one; then there is no row.
+    """
+    number = error_number(F.col("type"))
+    best = F.max_by("type", F.struct("score", -number))
+    each = scores.where(F.col("score").isNotNull()).groupBy("read_id", "orig_pos", (number >= 6).alias("gap")).agg(best.alias("type"))
+    return each.where(~F.col("type").isin("CORRECT", "NODEL")).drop("gap")
+
+
+def naive(reads: DataFrame, profile: ErrorProfile, indels: bool = True) -> DataFrame:
+    """read_id, orig_pos and type: what the profile holds most likely at each place; without indels, substitutions only.
+
+    No deletion is seen behind a read's last base.
+    """
+    scores = profile.read_scores(reads)
+    if not indels:
+        scores = scores.where(F.col("type").startswith("SUB") | F.col("type").isin("CORRECT", "NODEL"))
+    found = most_likely_errors(scores).join(reads.select("read_id", F.length("seq").alias("size")), "read_id")
+    return found.where(~(F.col("type").startswith("DEL") | (F.col("type") == "MULTIDEL")) | (F.col("orig_pos") < F.col("size") - 1)).drop("size")
+
+
+#: Ways of correcting, by the numbers that settings use for them.
+CORRECTION_TYPES = ("NAIVE", "KMER_BASED", "KMER_IMPROVED")
+
+
+def corrector(kind: str, table: DataFrame, k: int, profile: ErrorProfile | None = None, longest: int = ladders.LONGEST, indels: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """A function from reads to corrections; kind is one of CORRECTION_TYPES. table: kmer and class of all sizes from k to longest."""
+    if kind not in CORRECTION_TYPES:
+        raise ValueError(f"no such way of correcting: {kind}")
+    if profile is None and kind != "KMER_IMPROVED":
+        raise ValueError(f"{kind} needs an error profile")
+    if kind == "NAIVE":
+        return lambda reads: naive(reads, profile, indels)
+    if kind == "KMER_BASED":
+        return lambda reads: by_ranked_kmers(reads, profile, table, k, longest, indels)
+    return lambda reads: by_growing_kmers(reads, table, k, longest, indels)
+
+
 def apply(reads: DataFrame, corrections: DataFrame) -> DataFrame:
-    """reads with corrected: their bases after all corrections of theirs; reads without any stay as they are.
+    """reads with corrected, corrected_qual (if they have qual) and original_positions after all corrections of theirs.
 
-    SUB_FROM_X puts X, INSERTION takes the base away, DEL_OF_X puts X behind it. MULTIDEL changes nothing.
+    SUB_FROM_X puts X, INSERTION takes the base away, DEL_OF_X puts X behind it and MULTIDEL an underscore. A base that is
+    put in has the mean quality of its neighbours, at a read's end that of the left one, and the left one's place.
+    Reads without corrections stay as they are; null sequences stay null.
     """
     one = F.struct(F.col("orig_pos").cast("int").alias("orig_pos"), "type")
-    lists = corrections.where(F.col("type") != "MULTIDEL").groupBy("read_id").agg(F.sort_array(F.collect_list(one)).alias("fixes"))
-    fixed = """concat_ws('', transform(sequence(0, length(seq) - 1), p -> aggregate(filter(fixes, f -> f.orig_pos = p),
-        substring(seq, p + 1, 1), (b, f) -> case when f.type = 'INSERTION' then substring(b, 2) when f.type like 'SUB%' then concat(right(f.type, 1), substring(b, 2)) else concat(b, right(f.type, 1)) end)))"""
-    return reads.join(lists, "read_id", "left").withColumn("corrected", F.when(F.col("fixes").isNull() | (F.length("seq") == 0), F.col("seq")).otherwise(F.expr(fixed))).drop("fixes")
+    lists = corrections.groupBy("read_id").agg(F.sort_array(F.collect_list(one)).alias("fixes"))
+    met = reads.join(lists, "read_id", "left")
+    here = F.sequence(F.lit(0), F.length("seq") - 1)
 
+    tail = lambda acc: F.substring(acc, F.lit(2), F.length(acc))
 
-def most_likely_errors(scores: DataFrame) -> DataFrame:
-    """read_id, orig_pos and type: the best score (columns type, score, number) of each place; the smaller number wins ties."""
-    best = F.max_by("type", F.struct("score", -F.col("number")))
-    return scores.groupBy("read_id", "orig_pos").agg(best.alias("type")).where(~F.col("type").isin("CORRECT", "NODEL"))
+    def fixed(p: Column, start: Column, substitute: Callable, more: Callable) -> Column:
+        def step(acc: Column, f: Column) -> Column:
+            return F.when(f["type"] == "INSERTION", tail(acc)).when(f["type"].startswith("SUB"), substitute(acc, f)).otherwise(F.concat(acc, more(f)))
+
+        return F.aggregate(F.filter("fixes", lambda f: f["orig_pos"] == p), start, step)
+
+    put = lambda f: F.when(f["type"] == "MULTIDEL", "_").otherwise(F.right(f["type"], F.lit(1)))
+    bases = F.transform(here, lambda p: fixed(p, part_of(F.col("seq"), p, 1), lambda acc, f: F.concat(F.right(f["type"], F.lit(1)), tail(acc)), put))
+    plain = F.col("fixes").isNull() | (F.length("seq") == 0)
+    out = met.withColumn("__bases", F.when(~plain, bases))
+    out = out.withColumn("corrected", F.when(plain, F.col("seq")).otherwise(F.array_join("__bases", "")))
+    if "qual" in reads.columns:
+        char = lambda p: part_of(F.col("qual"), p, 1)
+        mean = lambda p: F.when(p + 1 < F.length("qual"), middle_quality(char(p), char(p + 1))).otherwise(char(p))
+        quals = F.transform(here, lambda p: fixed(p, char(p), lambda acc, f: acc, lambda f: mean(f["orig_pos"])))
+        out = out.withColumn("corrected_qual", F.when(plain, F.col("qual")).otherwise(F.array_join(quals, "")))
+    places_ = F.flatten(F.transform("__bases", lambda b, p: F.array_repeat(p, F.length(b))))
+    none = F.when(F.length("seq") > 0, here).otherwise(F.array().cast("array<int>"))
+    return out.withColumn("original_positions", F.when(F.col("seq").isNotNull(), F.when(plain, none).otherwise(places_))).drop("fixes", "__bases")
 
 
-def confusion(truth: DataFrame, predicted: DataFrame, reads: DataFrame) -> DataFrame:
+def confusion(truth: DataFrame, predicted: DataFrame, reads: DataFrame, masked: DataFrame | None = None) -> DataFrame:
     """type, tp, fp, fn and tn of each error type that can be judged.
 
     A prediction is right if the truth holds the same read_id, orig_pos and type. Places that neither touches are true
-    negatives, of deletions only where a base follows. MULTIDEL has no true negatives.
+    negatives, of deletions only where a base follows. MULTIDEL has no true negatives. At masked places (read_id,
+    orig_pos), whose truth is not known as an aligner clipped them, there are neither false positives nor true negatives.
     """
     t = truth.select("read_id", "orig_pos", "type").distinct().withColumn("true", F.lit(1))
     p = predicted.select("read_id", "orig_pos", "type").distinct().withColumn("said", F.lit(1))
     met = t.join(p, ["read_id", "orig_pos", "type"], "full")
+    hidden = F.lit(False)
+    if masked is not None:
+        met = met.join(masked.select("read_id", "orig_pos").distinct().withColumn("hidden", F.lit(True)), ["read_id", "orig_pos"], "left")
+        hidden = F.coalesce("hidden", F.lit(False))
     counts = met.groupBy("type").agg(
         F.count(F.when(F.col("true").isNotNull() & F.col("said").isNotNull(), 1)).alias("tp"),
-        F.count(F.when(F.col("true").isNull(), 1)).alias("fp"),
+        F.count(F.when(F.col("true").isNull() & ~hidden, 1)).alias("fp"),
         F.count(F.when(F.col("said").isNull(), 1)).alias("fn"),
     )
-    touched = met.select("read_id", "orig_pos").distinct().join(reads.select("read_id", F.length("seq").alias("size")), "read_id")
+    touched = met.select("read_id", "orig_pos")
+    if masked is not None:
+        touched = touched.unionByName(masked.select("read_id", "orig_pos"))
+    touched = touched.distinct().join(reads.select("read_id", F.length("seq").alias("size")), "read_id")
     taken = touched.where("orig_pos between 0 and size - 1").agg(F.count("*").alias("taken"), F.count(F.when(F.col("orig_pos") < F.col("size") - 1, 1)).alias("taken_inner"))
     every = reads.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"), F.coalesce(F.sum(F.greatest(F.length("seq") - 1, F.lit(0))), F.lit(0)).alias("inner"))
     kinds = truth.sparkSession.createDataFrame([(t,) for t in ERROR_TYPES[1:11]], "type string")

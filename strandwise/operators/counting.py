@@ -8,25 +8,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.functions.sequence import gc_bin, kmers, reverse_complement
+from strandwise.functions.sequence import ERROR_TYPES, gc_bin, gc_count, kmers, part_of, reverse_complement, undo_error
+from strandwise.operators import packed
 
 TILE = 65_536
+#: Bases whose k-mers are cut out of one row: each is looked for from the row's start.
+CUT = 256
+
+
+def tiles(seqs: DataFrame, k: int, keep: list[str], seq: str = "seq", step: int = CUT) -> DataFrame:
+    """keep, start and part: overlapping stretches that hold each k-mer once; a long contig becomes many rows, never one array."""
+    long = seqs.where(F.length(seq) >= k).select(*keep, F.col(seq).alias("__seq"), F.explode(F.sequence(F.lit(0), F.length(seq) - k, F.lit(step))).alias("start"))
+    return long.select(*keep, "start", part_of(F.col("__seq"), F.col("start"), step + k - 1).alias("part"))
 
 
 def positions(seqs: DataFrame, k: int, keep: list[str], seq: str = "seq") -> DataFrame:
-    """keep, pos and kmer of every k-mer."""
-    return seqs.where(F.length(seq) >= k).select(*keep, F.inline(kmers(F.col(seq), k)))
+    """keep, pos and kmer of every k-mer. Sequences are ASCII."""
+    each = tiles(seqs, k, keep, seq).select(*keep, "start", F.inline(kmers(F.col("part"), k)))
+    return each.select(*keep, (F.col("start") + F.col("pos")).alias("pos"), "kmer")
+
+
+def _lettered(counts: DataFrame, k: int) -> DataFrame:
+    return counts.select(F.coalesce("odd", packed.letters(F.col("code"), k)).alias("kmer"), "n")
 
 
 def count_forward(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """kmer and its number n, on the strand as given; counted before the shuffle."""
-    return positions(seqs, k, [], seq).groupBy("kmer").agg(F.count("*").alias("n"))
+    if k > packed.LONGEST:
+        return positions(seqs, k, [], seq).groupBy("kmer").agg(F.count("*").alias("n"))
+    return _lettered(packed.counted(seqs, k, both=False, seq=seq), k)
 
 
 def count_both(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """kmer and its number n on both strands: palindromes count twice. The second shuffle sees distinct k-mers only."""
-    strands = count_forward(seqs, k, seq).select(F.explode(F.array("kmer", reverse_complement(F.col("kmer")))).alias("kmer"), "n")
-    return strands.groupBy("kmer").agg(F.sum("n").alias("n"))
+    """kmer and its number n on both strands: palindromes count twice. One shuffle, of one strand of each distinct k-mer."""
+    if k > packed.LONGEST:
+        strand = F.least("kmer", reverse_complement(F.col("kmer")))
+        one = positions(seqs, k, [], seq).groupBy(strand.alias("kmer")).agg(F.count("*").alias("n"))
+    else:
+        one = _lettered(packed.counted(seqs, k, both=True, seq=seq), k)
+    other = reverse_complement(F.col("kmer"))
+    here, there = F.struct("kmer", "n"), F.struct(other.alias("kmer"), "n")
+    twice = F.struct("kmer", (2 * F.col("n")).alias("n"))
+    return one.select(F.inline(F.when(F.col("kmer") == other, F.array(twice)).otherwise(F.array(here, there))))
+
+
+def expected_errors(counts: DataFrame, kmers_: DataFrame, profile: DataFrame) -> DataFrame:
+    """kmer and n, the number of its occurrences that a profile of errors lets expect (approximate counts).
+
+    counts: kmer and n, for sizes k - 1, k and k + 1, on the strands that are to be counted. profile: base, type and log_p, what each error type's chance is at each read base (types without a row: none). Sums
+    over each place and type the type's chance by the number of the k-mer as it was before the error, and adds the
+    number of the k-mer itself by the chance that no place of it holds an error. Only one error a k-mer is looked at.
+    """
+    at = kmers_.select("kmer").distinct().select("kmer", F.posexplode(F.split("kmer", "")).alias("pos", "base")).where("base <> ''")
+    met = at.join(F.broadcast(profile.select("base", "type", F.exp("log_p").alias("p"))), "base")
+    whole = at.join(F.broadcast(profile.where(F.col("type").isin("CORRECT", "NODEL")).select("base", "log_p")), "base").groupBy("kmer").agg(F.exp(F.sum("log_p")).alias("p"))
+    tried = met.where(~F.col("type").isin("CORRECT", "NODEL", "MULTIDEL")).select("kmer", "p", undo_error(F.col("kmer"), F.col("type"), F.col("pos")).alias("before"))
+    before = tried.unionByName(whole.select("kmer", "p", F.col("kmer").alias("before")))
+    n = counts.select(F.col("kmer").alias("before"), F.col("n").alias("times"))
+    return before.join(n, "before", "left").groupBy("kmer").agg(F.sum(F.col("p") * F.coalesce("times", F.lit(0))).alias("n"))
 
 
 def read_lengths(reads: DataFrame, seq: str = "seq") -> DataFrame:
@@ -72,7 +111,9 @@ def covered(genome: DataFrame, spans: DataFrame, k: int) -> DataFrame:
     """
     whole = spans.where(F.col("last") - F.col("first") + 1 >= k)
     steps = whole.select("contig", F.inline(F.array(F.struct(F.col("first").alias("pos"), F.lit(1).alias("step")), F.struct((F.col("last") - k + 2).alias("pos"), F.lit(-1).alias("step")))))
-    here = genome.where(F.length("seq") >= k).select("contig", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"), F.lit(0).alias("step"))
+    size = F.length("seq")
+    parts = genome.where(size >= k).select("contig", (size - k).alias("last"), F.explode(F.sequence(F.lit(0), size - k, F.lit(TILE))).alias("from"))
+    here = parts.select("contig", F.explode(F.sequence(F.col("from"), F.least(F.col("last"), F.col("from") + TILE - 1))).alias("pos"), F.lit(0).alias("step"))
     moves = steps.select("contig", F.col("pos").cast("long").alias("pos"), "step").unionByName(here.select("contig", F.col("pos").cast("long").alias("pos"), "step"))
     moves = moves.groupBy("contig", "pos").agg(F.sum("step").alias("step"), F.max(F.col("step") == 0).alias("real")).withColumn("tile", F.floor(F.col("pos") / TILE))
     before = Window.partitionBy("contig").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,10 +146,56 @@ def fill_bias(values: list[float]) -> list[float]:
     return out
 
 
-def bias_at(gc: Column, biases: list[float]) -> Column:
-    """Linear interpolation of the bias between the bins around a GC content of 0 to 1."""
-    known, last = F.array(*map(F.lit, biases)), len(biases) - 1
-    at = gc * last
-    low = F.floor(at).cast("int")
-    a, b = F.element_at(known, low + 1), F.element_at(known, F.least(low + 1, F.lit(last)) + 1)
-    return a + (at - low) * (b - a)
+def filled_bias(bias: DataFrame, k: int) -> DataFrame:
+    """gc_bin 0 to k and bias, empty bins filled as by fill_bias: one row goes through the JVM's array functions, nothing is collected.
+
+    One pass from left to right leaves no zero inside: each takes the mean of its left neighbour, which is full by
+    then, and its right one, empty or not.
+    """
+    bins = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.coalesce(F.try_element_at(F.col("known"), i), F.lit(0.0)))
+    known = bias.agg(F.map_from_entries(F.collect_list(F.struct("gc_bin", "bias"))).alias("known")).select(bins.alias("b"))
+    full = F.filter("b", lambda x: x != 0)
+    known = known.select("b", full.alias("full")).select(
+        F.when(F.size("full") == 0, F.transform("b", lambda x: F.lit(1.0)))
+        .otherwise(F.concat(F.slice("full", 1, 1), F.slice("b", 2, k - 1), F.slice("full", -1, 1)))
+        .alias("b")
+    )
+    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0).alias("i"))
+
+    def step(acc, x):  # noqa: ANN001, ANN202
+        here = F.when(x != 0, x).otherwise((F.try_element_at(acc["out"], F.lit(-1)) + F.get(F.col("b"), acc["i"] + 1)) / 2)
+        return F.struct(F.concat(acc["out"], F.array(here)).alias("out"), (acc["i"] + 1).alias("i"))
+
+    return known.select(F.posexplode(F.aggregate("b", start, step, lambda acc: acc["out"])).alias("gc_bin", "bias"))
+
+
+def bias_of(kmers_: DataFrame, bias: DataFrame, k: int) -> DataFrame:
+    """kmers with bias: linear interpolation between the two bins around each k-mer's GC content; bias has bins 0 to k."""
+    at = gc_count(F.col("kmer")) * k / F.length("kmer")
+    table = F.broadcast(bias.agg(F.transform(F.sort_array(F.collect_list(F.struct("gc_bin", "bias"))), lambda x: x["bias"]).alias("__bins")))
+    low = F.floor("__at").cast("int")
+    a, b = F.get("__bins", low), F.get("__bins", F.least(low + 1, F.lit(k)))
+    return kmers_.withColumn("__at", at).crossJoin(table).withColumn("bias", a + (F.col("__at") - low) * (b - a)).drop("__at", "__bins")
+
+
+#: How a bias is learned, by the numbers that settings use for it.
+BIAS_TYPES = ("IGNORE", "ALIGNMENT", "REFERENCE", "READS_ONLY")
+
+
+def learned_bias(kind: str, k: int, expected: float, reads: DataFrame | None = None, genome: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """gc_bin 0 to k and bias, learned as one of BIAS_TYPES says, without empty bins; another name, or a table that the kind needs and lacks, raises an error."""
+    if kind not in BIAS_TYPES:
+        raise ValueError(f"no such bias type: {kind}")
+    if kind == "IGNORE":
+        some = reads if reads is not None else genome if genome is not None else spans
+        return some.sparkSession.range(k + 1).select(F.col("id").cast("int").alias("gc_bin"), F.lit(1.0).alias("bias"))
+    needed = {"ALIGNMENT": (genome, spans), "REFERENCE": (genome, reads), "READS_ONLY": (reads,)}[kind]
+    if any(t is None for t in needed):
+        raise ValueError(f"a table is missing for bias type {kind}")
+    if kind == "ALIGNMENT":
+        found = bias_from_alignment(genome, spans, k, expected)
+    elif kind == "REFERENCE":
+        found = bias_from_reference(genome, count_both(reads, k), k, expected)
+    else:
+        found = bias_from_reads(count_forward(reads, k), count_both(reads, k), expected)
+    return filled_bias(found, k)

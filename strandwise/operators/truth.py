@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.sequence import complement
+from strandwise.functions.sequence import complement, reverse_complement
 
 
 def cigar_steps(cigar: Column) -> Column:
@@ -68,3 +68,58 @@ def true_corrections(alignments: DataFrame, genome: DataFrame) -> DataFrame:
         F.when(back, F.col("size") - 1 - F.col("read_at") - F.col("i")).otherwise(F.col("read_at") + F.col("i"))
     )
     return each.select("read_id", at.cast("long").alias("orig_pos"), kind.alias("type"), (F.col("begin_pos") + F.col("ref_at") + F.when(F.col("op") == "I", 0).otherwise(F.col("i"))).cast("long").alias("ref_pos"))
+
+
+def grouped(alignments: DataFrame) -> DataFrame:
+    """read_id and records, an array of all its records (flag, contig, begin_pos, cigar, seq and, if there, line), in the file's order if they have `line`."""
+    columns = [c for c in ("line", "flag", "contig", "begin_pos", "cigar", "seq", "qual", "md") if c in alignments.columns]
+    return alignments.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("records"))
+
+
+def counters(alignments: DataFrame) -> DataFrame:
+    """One row: reads, those whose first record (by line) is mapped, and those with one record."""
+    each = alignments.groupBy("read_id").agg(F.min_by("flag", "line").alias("flag"), F.count("*").alias("records"))
+    return each.agg(
+        F.count("*").alias("reads"),
+        F.count(F.when(F.col("flag").bitwiseAND(4) == 0, 1)).alias("mapped"),
+        F.count(F.when(F.col("records") == 1, 1)).alias("single"),
+    )
+
+
+def sequenced(alignments: DataFrame) -> DataFrame:
+    """read_id with a leading @, and the read as the sequencer gave it: its first record without a hard clip, turned back if it lies on the other strand.
+
+    A read that only has hard-clipped records has no row. Quality is reversed along; records are ordered by line.
+    """
+    whole = alignments.where(~F.coalesce("cigar", F.lit("")).contains("H"))
+    columns = [c for c in ("flag", "seq", "qual", "begin_pos") if c in alignments.columns]
+    first = whole.groupBy("read_id").agg(F.min_by(F.struct(*columns), "line").alias("r"))
+    back = F.col("r.flag").bitwiseAND(16) != 0
+    out = [F.concat(F.lit("@"), F.col("read_id").cast("string")).alias("read_id"), F.when(back, reverse_complement(F.col("r.seq"))).otherwise(F.col("r.seq")).alias("seq")]
+    if "qual" in columns:
+        out.append(F.when(back, F.reverse("r.qual")).otherwise(F.col("r.qual")).alias("qual"))
+    return first.select(*out, F.col("r.begin_pos").alias("begin_pos"))
+
+
+def ends(alignments: DataFrame) -> DataFrame:
+    """read_id, begin_pos and end_pos, the last reference place under each usable read."""
+    return usable(alignments).select("read_id", "begin_pos", (F.col("begin_pos") + F.col("span") - 1).cast("long").alias("end_pos"))
+
+
+def clipped_places(alignments: DataFrame) -> DataFrame:
+    """read_id and orig_pos of the soft-clipped bases of usable reads, in the read as sequenced."""
+    steps = usable(alignments).select("read_id", "flag", F.length("seq").alias("size"), F.inline("steps")).where("op = 'S'")
+    each = steps.select("read_id", "flag", "size", F.explode(F.sequence("read_at", F.col("read_at") + F.col("n") - 1)).alias("at"))
+    back = F.col("flag").bitwiseAND(16) != 0
+    return each.select("read_id", F.when(back, F.col("size") - 1 - F.col("at")).otherwise(F.col("at")).cast("long").alias("orig_pos"))
+
+
+def true_reads(alignments: DataFrame, genome: DataFrame) -> DataFrame:
+    """read_id, seq (as sequenced) and true_seq: the bases without the errors of the usable reads, missing stretches as an underscore."""
+    from strandwise.operators.correction import apply
+
+    rows = usable(alignments)
+    back = F.col("flag").bitwiseAND(16) != 0
+    reads = rows.select("read_id", F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    found = true_corrections(alignments, genome).select("read_id", "orig_pos", "type")
+    return apply(reads, found).select("read_id", "seq", F.col("corrected").alias("true_seq"))

@@ -52,11 +52,11 @@ def read_fasta(spark: SparkSession, path: str, first_only: bool = False) -> Data
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, flag, contig, begin_pos (from 0), cigar, seq, qual and md of each alignment line."""
+    """line (of the file, from 0), read_id, flag, contig, begin_pos (from 0), cigar, seq, qual and md of each alignment line."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    rows = numbered_lines(spark, path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     return rows.select(
-        f[0].alias("read_id"), f[1].cast("int").alias("flag"), f[2].alias("contig"), (f[3].cast("long") - 1).alias("begin_pos"), f[5].alias("cigar"), f[9].alias("seq"), f[10].alias("qual"),
+        "line", f[0].alias("read_id"), f[1].cast("int").alias("flag"), f[2].alias("contig"), (f[3].cast("long") - 1).alias("begin_pos"), f[5].alias("cigar"), f[9].alias("seq"), f[10].alias("qual"),
         F.nullif(F.regexp_extract("value", r"\tMD:Z:(\S+)", 1), F.lit("")).alias("md"),
     )
 
@@ -72,3 +72,31 @@ def write_training_rows(rows: DataFrame, path: str) -> None:
 
 def read_training_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", ";").option("header", True).option("inferSchema", True).csv(path)
+
+
+def read_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """type, pos, old, new and prob of lines as correction_text() writes them; a dot or an underscore alone stands for no base."""
+    f = F.split("value", " ")
+    none = lambda c: F.when(c.isin(".", "_"), "").otherwise(c)
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    return rows.select(f[0].alias("type"), f[1].cast("int").alias("pos"), none(f[2]).alias("old"), none(f[3]).alias("new"), f[4].cast("double").alias("prob"))
+
+
+def read_true_corrections(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, orig_pos and type of a store of true corrections (Parquet)."""
+    return spark.read.parquet(path).select("read_id", "orig_pos", "type")
+
+
+def read_plot_script(spark: SparkSession, path: str) -> DataFrame:
+    """x and y of the points below a script's first line that begins with plot; short lines are passed over."""
+    lines = numbered_lines(spark, path)
+    starts = lines.where(F.col("value").startswith("plot")).groupBy("file").agg(F.min("line").alias("start"))
+    f = F.split(F.trim("value"), r"\s+")
+    rows = lines.join(F.broadcast(starts), "file").where((F.col("line") > F.col("start")) & (F.length("value") > 2))
+    return rows.select(f[0].cast("double").alias("x"), f[1].cast("double").alias("y"))
+
+
+def write_true_reads(reads: DataFrame, path: str) -> None:
+    """Four lines a read of read_id, true_seq and, if there, qual (else the best quality there is)."""
+    qual = F.col("qual") if "qual" in reads.columns else F.repeat(F.lit("I"), F.length("true_seq"))
+    write_fastq(reads.select(F.regexp_replace(F.col("read_id").cast("string"), "^@", "").alias("read_id"), F.col("true_seq").alias("seq"), qual.alias("qual")), path)
