@@ -36,7 +36,7 @@ WORD_DIM, CHAR_DIM, EDGE, HIDDEN = 16, 4, 4, 12
 CHARS = 128
 SEED = 23
 #: Inputs that a worker remembers projected; of words, what they are read as for twice as many.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 
 Net = dict[str, np.ndarray]
 
@@ -130,7 +130,7 @@ class Scorer:
         self.rows: dict[str, int] = {"": 0}
         self.parts: dict[str, list[int]] = {}
         self.held = 0
-        self.projected = np.zeros((1, 6 * HIDDEN), np.float32)
+        self.projected = np.zeros((REMEMBERED // 4, 6 * HIDDEN), np.float32)  # row 0: padding
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -143,8 +143,9 @@ class Scorer:
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             known = np.array([self.vocabulary.get(w, 0) for w in new])
-            more = project(self.net, known, np.array([char_codes(w) for w in new]))
-            self.projected = np.concatenate([self.projected, more])
+            if len(self.rows) > len(self.projected):
+                self.projected = np.concatenate([self.projected, np.zeros((len(self.rows), 6 * HIDDEN), np.float32)])
+            self.projected[len(self.rows) - len(new) : len(self.rows)] = project(self.net, known, np.array([char_codes(w) for w in new]))
         self.parts.update((w, [self.rows[x] for x in xs]) for w, xs in cut.items())
         self.held += sum(map(len, cut.values()))
         get = self.parts.__getitem__
