@@ -521,25 +521,6 @@ def correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("category", *[F.round(c, 6).alias(c) for c in ("gain", "sensitivity", "specificity", "f1")])
 
 
-# Models; they have no SQL.
-
-
-@query
-def kmer_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the best model of k-mer classes does on all training rows."""
-    rows = learning.training_rows(fixtures.simulated(spark, sf_dir), fixtures.genome(spark, sf_dir), K, _bias(spark, sf_dir), _expected_rows(spark, sf_dir, [K])).cache()
-    _, model, _ = learning.best_model(rows, list(learning.KMER_FEATURES), 1, "kmer", rules=("naive", "statistical"))
-    return learning.report(model.transform(rows))
-
-
-@query
-def classifier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What models of bases and gaps say of every place of every read."""
-    reads = fixtures.simulated(spark, sf_dir).select("read_id", "seq")
-    profile = features.ClassifierProfile.learned(reads, fixtures.planted(spark, sf_dir), _motif_scores(spark, sf_dir))
-    return profile.read_scores(reads)
-
-
 #: Queries that bench.py times: one of each kind of work, on whole tables.
 HEADLINE = (
     "kmer_count_both_strands", "kmer_count_forward", "sequence_functions", "error_candidates", "read_length_histogram", "expected_counts_circular", "expected_counts_linear",

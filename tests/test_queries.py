@@ -5,7 +5,6 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from strandwise.functions.sequence import ERROR_TYPES
 from strandwise.plans import registry
 
 
@@ -30,13 +29,7 @@ def test_same_rows_as_sql(spark, duck, small, name):
 
 
 def test_queries_without_sql(spark, small):
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"correct_reads_ranked", "kmer_model_report", "classifier_lookup"}
-    report = {r.label: r for r in registry.QUERIES["kmer_model_report"](spark, small).collect()}
-    assert set(report) == {0, 1, 2} and sum(r.f1 for r in report.values()) / 3 > 0.6
-    found = registry.QUERIES["classifier_lookup"](spark, small)
-    one = found.where("read_id = 0 and orig_pos = 3").collect()
-    assert {r.type for r in one} == set(ERROR_TYPES[1:11]) and all(0 <= r.score <= 1 for r in one)
-    assert found.where("type like 'SUB%' or type = 'INSERTION'").groupBy("read_id", "orig_pos").sum("score").where("abs(`sum(score)` - 1) > 0.001").isEmpty()
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"correct_reads_ranked"}
     assert registry.QUERIES["correct_reads_ranked"](spark, small).count() > 0
 
 
