@@ -8,7 +8,8 @@ kth score found in one block is the first bound for the next.
 
 Null vectors and those with a null, NaN or infinite component take no part, nor do rows without a
 vec_id. Queries meet candidates of their own dimension only; an empty vector scores 0. A query's own
-rows are those with its vec_id. Repeated rows count each, ties go to the smaller vec_id. Scaled
+rows are those with its vec_id. Repeated candidate rows count each, repeated query rows once; queries that share a
+vec_id but not a vector are ranked each by itself. Ties go to the smaller vec_id. Empty tables give an empty one. Scaled
 components are int64, scores exact as long as they fit into 53 bits.
 """
 
@@ -107,7 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Each query's k best candidates by integer inner product: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     block = "dim int, n int, ids binary, matrix binary, lists binary"
-    wanted = written(usable(queries), "topk-queries")
+    wanted = written(usable(queries).dropDuplicates(["vec_id", "x"]), "topk-queries")
     n_blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
     copies = partitions(spark)
     asked = wanted.repartition(n_blocks).mapInPandas(lambda f: packed_blocks(f, QUERY_BLOCK, False), block)
@@ -132,13 +133,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 out = []
                 for i, (own, q) in enumerate(zip(q_ids, qs)):
                     found, scores = threshold_search(ids, x, order, own, q, k, kth[i])
-                    out.append((np.full(len(found), own), found, scores))
+                    out.append((np.full(len(found), row.q * QUERY_BLOCK + i), np.full(len(found), own), found, scores))
                     if len(scores) >= k:
                         kth[i] = max(kth[i], scores.min())
                 if any(len(o[0]) for o in out):
-                    yield pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("query_id", "vec_id", "score"))})
+                    yield pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("row", "query_id", "vec_id", "score"))})
 
-    found = pairs.select("n", "dim", "ids", "matrix", "lists", "q", "q_ids", "q_matrix").mapInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = pairs.select("n", "dim", "ids", "matrix", "lists", "q", "q_ids", "q_matrix").mapInPandas(search, "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -79,7 +79,6 @@ def test_packing(docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     rows = pack(pieces(docs, path, end_id=2)).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     bins = {}
@@ -122,7 +121,6 @@ def test_token_files(docs):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     found, start = {r.doc_id: r for r in read_tokens(write_tokens(docs, path, end_id=2, vocabulary=49_408)).collect()}, 0
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
         ids = np.array(library.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4")
@@ -163,6 +161,23 @@ def test_top_k(spark):
         for rank, c in enumerate(sorted((c for c in range(150) if c != q), key=lambda c: (-scores[q, c], c))[:10], 1):
             expected[q, rank] = (c, scores[q, c])
     assert found == expected
+    twice = frame.where("vec_id % 50 = 0").unionByName(frame.where("vec_id = 50"))
+    again = top_k(frame, twice, k=10)
+    assert again.count() == 30 and {(r.query_id, r.rank): (r.vec_id, r.score) for r in again.collect()} == expected
+    assert top_k(frame.limit(0), twice.limit(0), k=10).count() == 0
+
+
+def test_one_to_four_words_in_a_table(spark):
+    from strandwise.llm.ngram_join import classes_of
+
+    for n in (1, 3):
+        rows = classes_of(made(spark, [(1, " ".join(["hello", "world", "and", "more"][:n]))])).collect()
+        assert [(r.doc_id, r.n_shingles, r.component_id) for r in rows] == [(1, min(n, 1), 1)]
+    a, b = "ab", "ba"
+    for _ in range(11):  # words that a polynomial modulo a power of two can't tell apart
+        a, b = a + b, b + a
+    rows = classes_of(made(spark, [(1, a), (2, b)])).collect()
+    assert {r.component_id for r in rows} == {1, 2}
 
 
 def test_personal_data(spark):
