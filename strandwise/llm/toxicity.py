@@ -35,17 +35,20 @@ WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, EDGE, HIDDEN = 16, 4, 4, 12
 CHARS = 128
 SEED = 23
+#: Windows read at a time.
+BLOCK = 512
 #: Inputs that a worker remembers projected; of words, what they are read as for twice as many.
 REMEMBERED = 60_000
 
 Net = dict[str, np.ndarray]
 
 
-def char_codes(word: str) -> list[int]:
-    """Codes of the first and the last EDGE characters; 0 is padding, others fold into CHARS - 1 places."""
-    head = [1 + ord(c) % (CHARS - 1) for c in word[:EDGE]]
-    tail = [1 + ord(c) % (CHARS - 1) for c in word[-EDGE:]]
-    return head + [0] * (EDGE - len(head)) + [0] * (EDGE - len(tail)) + tail
+def char_codes(words: list[str]) -> np.ndarray:
+    """Codes of each word's first and last EDGE characters; 0 is padding, others fold into CHARS - 1 places."""
+    heads = np.array([w[:EDGE] for w in words], f"<U{EDGE}")
+    tails = np.array([w[-EDGE:].rjust(EDGE, "\0") for w in words], f"<U{EDGE}")
+    points = np.concatenate([x.view(np.uint32).reshape(len(words), EDGE) for x in (heads, tails)], axis=1)
+    return np.where(points > 0, 1 + points % (CHARS - 1), 0)
 
 
 def inputs_of(word: str, vocabulary: Container[str]) -> list[str]:
@@ -105,8 +108,8 @@ def read(net: Net, way: str, x: np.ndarray, keep: bool = False) -> tuple[np.ndar
 def window_logits(net: Net, projected: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Logits of windows; projected holds the inputs of each word row for both layers, row 0 for padding."""
     out = []
-    for begin in range(0, len(rows), 2048):
-        part = rows[begin : begin + 2048].T
+    for begin in range(0, len(rows), BLOCK):
+        part = rows[begin : begin + BLOCK].T
         x = projected[part]
         states = np.concatenate([read(net, "f", x[..., : 3 * HIDDEN])[0], read(net, "b", x[..., 3 * HIDDEN :])[0]], axis=2)
         weight = np.exp(states @ net["attend"] - 30.0 * (part == 0))
@@ -145,7 +148,7 @@ class Scorer:
             known = np.array([self.vocabulary.get(w, 0) for w in new])
             if len(self.rows) > len(self.projected):
                 self.projected = np.concatenate([self.projected, np.zeros((len(self.rows), 6 * HIDDEN), np.float32)])
-            self.projected[len(self.rows) - len(new) : len(self.rows)] = project(self.net, known, np.array([char_codes(w) for w in new]))
+            self.projected[len(self.rows) - len(new) : len(self.rows)] = project(self.net, known, char_codes(new))
         self.parts.update((w, [self.rows[x] for x in xs]) for w, xs in cut.items())
         self.held += sum(map(len, cut.values()))
         get = self.parts.__getitem__
@@ -224,7 +227,7 @@ def fit(sample: list[tuple[str, int]], passes: int = 20_000, batch: int = 32, ra
     all_words = [""] + sorted({x for words in split for x in words})
     row = {w: i for i, w in enumerate(all_words)}
     known = np.array([vocabulary.get(w, 0) for w in all_words])
-    chars = np.array([char_codes(w) for w in all_words])
+    chars = char_codes(all_words)
     texts = [[row[w] for w in words] for words in split]
     labels = np.array([y for _, y in sample], np.float32)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
