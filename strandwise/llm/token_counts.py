@@ -39,7 +39,7 @@ from strandwise.llm.common import slices, utf8
 from strandwise.session import written
 
 #: A pre-token with more than one in so many of all occurrences is looked up in the task.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Pre-tokens of more characters are joined by their digests.
 LONGEST = 64
 #: Distinct pre-tokens and their characters that a task holds before it hands them on.
@@ -71,7 +71,7 @@ class PreTokens:
 
     def meet(self, texts: list[str]) -> None:
         """Compares how characters not seen before are cut by the pattern and by the library."""
-        new = set().union(*texts) - self.known
+        new = set().union(*[t for t in texts if not t.isascii()]) - self.known
         for c in new:
             probe = f"a{c}1{c} {c}{c}"
             if [m.span() for m in self.pattern.finditer(probe)] != [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]:
@@ -150,8 +150,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
     spark = docs.sparkSession
     counted = written(piece_counts(distinct_pre_tokens(docs, path, pattern), path, pattern), "piece-counts")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
-    frequent = counted.where(F.col("n") * FREQUENT > F.lit(total)).select("key", "pieces").collect()
-    held = spark.sparkContext.broadcast({r.key: r.pieces for r in frequent})
+    frequent = counted.where(F.col("n") * FREQUENT > F.lit(total)).select("key", "pieces").toArrow()
+    held = spark.sparkContext.broadcast(dict(zip(frequent["key"].to_pylist(), frequent["pieces"].to_pylist())))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, known = cutter(path, pattern), held.value
