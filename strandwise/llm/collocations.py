@@ -42,7 +42,7 @@ from strandwise.session import written
 #: Marks that end a piece, and the tab, as line feeds and blanks.
 PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 #: Words of a shard's runs.
-SHARD = 200_000
+SHARD = 100_000
 #: Distinct words or pair hashes that a task holds before it hands them on.
 HELD = 500_000
 #: Least and most bits of the table of pair or word hashes.
