@@ -35,15 +35,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import slices, utf8
+from strandwise.llm.common import BYTE_BPE_CUT, slices, utf8
 from strandwise.session import written
 
+#: A space that white space or the end follows: split() would part what belongs together.
+WIDE = re.compile(r" (?:\s|$)")
 #: A pre-token with more than one in so many of all occurrences is looked up in the task.
 FREQUENT = 1 << 20
 #: Pre-tokens of more characters are joined by their digests.
 LONGEST = 64
 #: Distinct pre-tokens and their characters that a task holds before it hands them on.
-HELD, HELD_CHARS = 400_000, 8_000_000
+HELD, HELD_CHARS = 400_000, 6_000_000
 
 
 class PreTokens:
@@ -78,16 +80,26 @@ class PreTokens:
                 self.other.add(c)
         self.known |= new
 
-    def cut(self, text: str) -> tuple[list[str], int]:
-        """The pre-tokens of a text whose characters were met, and how many special tokens it holds."""
+    def cut(self, text: str) -> tuple[list[str], list[str], int]:
+        """Chunks, pre-tokens and the number of special tokens of a text whose characters were met.
+
+        A chunk stands for what `of` gives for it; no pre-token spans a single space before a visible character.
+        """
         parts = self.special.split(text) if self.special else [text]
+        chunks: list[str] = []
         found: list[str] = []
         for part in parts:
             if self.other and not self.other.isdisjoint(part):
                 found += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
             else:
-                found += self.pattern.findall(part)
-        return found, len(parts) - 1
+                head, *rest = BYTE_BPE_CUT.split(part) if WIDE.search(part) else part.split(" ")
+                found += self.pattern.findall(head)
+                chunks += rest
+        return chunks, found, len(parts) - 1
+
+    def of(self, chunk: str) -> list[str]:
+        """The pre-tokens of a space and a chunk."""
+        return self.pattern.findall(" " + chunk)
 
     def pieces(self, tokens: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
@@ -108,6 +120,16 @@ def key_of(token: str) -> str:
     return token if len(token) <= LONGEST else "#" + hashlib.blake2b(utf8(token), digest_size=32).hexdigest()
 
 
+def with_last(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Each frame, and whether it is the last one."""
+    before = next(frames, None)
+    if before is not None:
+        for frame in frames:
+            yield False, before
+            before = frame
+        yield True, before
+
+
 def distinct_pre_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """key, token (null: the key is the token) and n, how often it occurs, for every pre-token of docs."""
 
@@ -117,17 +139,22 @@ def distinct_pre_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = cutter(path, pattern)
+        chunks: Counter = Counter()
         counts: Counter = Counter()
-        for frame in slices(frames, most=1_000_000):
+        for last, frame in with_last(slices(frames, most=1_000_000)):
             texts = frame["text"].tolist()
             cut.meet(texts)
             for text in texts:
-                counts.update(cut.cut(text)[0])
-            if len(counts) > HELD or sum(map(len, counts)) > HELD_CHARS:
-                yield rows(counts)
-                counts = Counter()
-        if counts:
-            yield rows(counts)
+                met, found, _ = cut.cut(text)
+                chunks.update(met)
+                counts.update(found)
+            if last or len(chunks) + len(counts) > HELD or sum(map(len, chunks)) + sum(map(len, counts)) > HELD_CHARS:
+                for chunk, n in chunks.items():
+                    for token in cut.of(chunk):
+                        counts[token] += n
+                if counts:
+                    yield rows(counts)
+                chunks, counts = Counter(), Counter()
 
     found = docs.select("text").mapInPandas(run, "key string, token string, n long")
     return found.groupBy("key", "token").agg(F.sum("n").alias("n"))
@@ -155,23 +182,33 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, known = cutter(path, pattern), held.value
+        sums: dict[str, tuple[int, list[str]]] = {}  # of chunks: pieces of known pre-tokens, and the others
+
+        def told(tokens: list[str]) -> tuple[int, list[str]]:
+            return sum([known.get(t, 0) for t in tokens]), [t for t in tokens if t not in known]
+
         row = TaskContext.get().partitionId() << 40
         for frame in slices(frames, most=1_000_000):
             texts = frame["text"].tolist()
             cut.meet(texts)
-            sums, others = [], []
+            totals, others = [], []
             for text in texts:
-                tokens, total = cut.cut(text)
-                rest = []
-                for token, n in Counter(tokens).items():
-                    pieces = known.get(token)
-                    if pieces is None:
-                        rest.append((key_of(token), n))
-                    else:
-                        total += n * pieces
-                sums.append(total)
-                others.append(rest)
-            yield pd.DataFrame({"row": np.arange(row, row + len(frame)), "doc_id": frame["doc_id"].astype("Int64"), "n_bytes": [len(utf8(t)) for t in texts], "known": sums, "rest": others})
+                chunks, tokens, total = cut.cut(text)
+                pieces, unknown = told(tokens)
+                total += pieces
+                rest = Counter(unknown)
+                for chunk, n in Counter(chunks).items():
+                    if chunk not in sums:
+                        sums[chunk] = told(cut.of(chunk))
+                    pieces, unknown = sums[chunk]
+                    total += n * pieces
+                    for token in unknown:
+                        rest[token] += n
+                totals.append(total)
+                others.append([(key_of(token), n) for token, n in rest.items()])
+            if len(sums) > HELD or sum(map(len, sums)) > HELD_CHARS:
+                sums.clear()
+            yield pd.DataFrame({"row": np.arange(row, row + len(frame)), "doc_id": frame["doc_id"].astype("Int64"), "n_bytes": [len(utf8(t)) for t in texts], "known": totals, "rest": others})
             row += len(frame)
 
     # Row numbers are a matter of how the input is split; written once, they stay.
