@@ -20,6 +20,9 @@ planted AS (
            CASE WHEN {_R1} THEN 'DEL_OF_' || b WHEN {_R2} THEN 'SUB_FROM_' || b ELSE 'INSERTION' END AS type
     FROM bases WHERE {_R1} OR {_R2} OR {_R3})"""
 
+_STRANDED = f"""strands_of AS (SELECT contig, 0 AS strand, seq FROM genome UNION ALL SELECT contig, 1, {_RC.format('seq')} FROM genome),
+placed_strands AS (SELECT contig, strand, seq, unnest(range(0, length(seq))) AS pos FROM strands_of)"""
+
 
 def _kmers(name: str, source: str, k: int, key: str = "") -> str:
     keep = f"{key}, " if key else ""
@@ -290,4 +293,18 @@ SQL: dict[str, str] = {
     "corrected_texts": f"""WITH {_SIM}, texts AS (SELECT read_id, string_agg(chr(10) || type || ' ' || orig_pos || ' ' || substr(seq, orig_pos + 1, 1) || ' ' || CASE WHEN type = 'INSERTION' THEN '.' WHEN type LIKE 'SUB%' THEN right(type, 1) ELSE substr(seq, orig_pos + 1, 1) || right(type, 1) END || ' 1.0', '' ORDER BY type || ' ' || orig_pos) AS lines FROM planted JOIN sim USING (read_id) GROUP BY read_id)
         SELECT read_id, coalesce(seq || chr(10) || t || chr(10) || lines, '') AS printed FROM sim JOIN (SELECT read_id, t FROM starts) USING (read_id) LEFT JOIN texts USING (read_id)""",
     "confusion_masked": f"WITH {_SIM}, {_PREDICTED}, masked AS (SELECT read_id, i AS orig_pos FROM sim, range(0, 4) t(i) WHERE read_id % 20 = 11), {_CONFUSION.replace('NOT EXISTS (SELECT 1 FROM met', 'NOT EXISTS (SELECT 1 FROM masked WHERE masked.read_id = e.read_id AND masked.orig_pos = e.i) AND NOT EXISTS (SELECT 1 FROM met').replace('NOT tr)', 'NOT tr AND NOT EXISTS (SELECT 1 FROM masked WHERE masked.read_id = met.read_id AND masked.orig_pos = met.orig_pos))')} SELECT * FROM confusion",
+    "unique_windows": f"""WITH RECURSIVE {_GENOME}, {_STRANDED}, held AS (
+        SELECT contig, strand, pos, seq, CAST(1 AS BIGINT) AS n, count(*) OVER (PARTITION BY substr(seq, pos + 1, 1)) AS c FROM placed_strands
+        UNION ALL SELECT contig, strand, pos, seq, n + 2, count(*) OVER (PARTITION BY substr(seq, pos + 1, n + 2)) FROM held WHERE c > 1 AND pos + n + 2 <= length(seq))
+        SELECT contig, pos, min(n) FILTER (c = 1) AS n FROM held WHERE strand = 0 GROUP BY contig, pos""",
+    "match_lengths": f"""WITH {_SIM}, {_STRANDED}, held AS (SELECT w, count(*) AS c FROM (SELECT substr(seq, pos + 1, n) AS w FROM placed_strands, range(1, 52) t(n) WHERE pos + n <= length(seq)) GROUP BY w),
+        spots AS (SELECT read_id, seq, unnest(range(0, length(seq))) AS pos FROM sim), cut AS (SELECT read_id, pos, n, substr(seq, pos + 1, n) AS w FROM spots, range(1, 52) t(n) WHERE pos + n <= length(seq))
+        SELECT read_id, cut.pos, coalesce(max(n) FILTER (c >= 1), 0) AS once, coalesce(max(n) FILTER (c >= 2), 0) AS twice FROM cut LEFT JOIN held USING (w) GROUP BY read_id, cut.pos""",
+    "grown_starts": f"""WITH {_SIM}, {_STRANDED}, held AS (SELECT w, count(*) AS c FROM (SELECT substr(seq, pos + 1, n) AS w FROM placed_strands, range(11, 52) t(n) WHERE pos + n <= length(seq)) GROUP BY w),
+        spots AS (SELECT read_id, seq, unnest(range(0, length(seq) - 10)) AS start FROM sim WHERE length(seq) >= 11), reached AS (SELECT *, start + 11 + 2 * ((length(seq) - start - 11) // 2) AS reach FROM spots),
+        rungs AS (SELECT read_id, start, t, 11 + 2 * t AS n, substr(seq, start + 1, 11 + 2 * t) AS w FROM reached, range(0, 21) r(t) WHERE start + 11 + 2 * t <= reach
+            UNION ALL SELECT read_id, start, 100 + t, reach - start + 2 * t, substr(seq, start - 2 * t + 1, reach - start + 2 * t) FROM reached, range(1, 26) r(t) WHERE start - 2 * t >= 0),
+        judged AS (SELECT read_id, start, t, n, coalesce(c, 0) AS c FROM rungs LEFT JOIN held USING (w)),
+        firsts AS (SELECT read_id, start, arg_min(c, t) FILTER (c < 2) AS c, arg_min(n, t) FILTER (c < 2) AS n FROM judged GROUP BY read_id, start)
+        SELECT read_id, start, CASE c WHEN 0 THEN 'UNTRUSTED' WHEN 1 THEN 'TRUSTED' ELSE 'REPEAT' END AS class, n FROM firsts""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequence as S
-from strandwise.operators import classify, correction, counting, features, ladders, learning, profiles, truth
+from strandwise.operators import classify, correction, counting, features, ladders, learning, profiles, suffixes, truth
 from strandwise.plans import fixtures, oracle
 from strandwise.sources import stores
 
@@ -521,6 +521,28 @@ def correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("category", *[F.round(c, 6).alias(c) for c in ("gain", "sensitivity", "specificity", "f1")])
 
 
+# Windows of any size.
+
+
+@query
+def unique_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest odd window from each place of the genome that neither strand holds elsewhere."""
+    return suffixes.unique_windows(fixtures.genome(spark, sf_dir))
+
+
+@query
+def match_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long the genome's strands go along with each read from each of its places, at least once and at least twice."""
+    found = suffixes.matches(fixtures.genome(spark, sf_dir), fixtures.simulated(spark, sf_dir)).where("not of_genome")
+    return found.select(F.col("id").alias("read_id"), "pos", "once", "twice")
+
+
+@query
+def grown_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of the k-mer at every start of the reads, grown as far as the read goes while it is repetitive."""
+    return suffixes.grown_starts(fixtures.genome(spark, sf_dir), fixtures.simulated(spark, sf_dir), K)
+
+
 #: Queries that bench.py times: one of each kind of work, on whole tables.
 HEADLINE = (
     "kmer_count_both_strands", "kmer_count_forward", "sequence_functions", "error_candidates", "read_length_histogram", "expected_counts_circular", "expected_counts_linear",
