@@ -154,15 +154,24 @@ class Engine:
     @cached_property
     def classes(self) -> DataFrame:
         """kmer, class and z of every k-mer of reads and genome, of all sizes."""
-        kind = self.settings.classification
-
-        def make() -> DataFrame:
-            every = self.read_counts.select("kmer").unionByName(self.genome_counts.select("kmer")).distinct()
-            genome = self.genome_counts if kind == "CHEATING" else None
-            model = self.kmer_model if kind == "MACHINE_LEARNING" else None
-            return classify.classified(kind, every, self.read_counts, self.coverage_bias(), self.expected, self.k, genome, model).select("kmer", "class", "z")
+        return self._kept(f"classes_{self.settings.classification.lower()}", lambda: self._classified(self.read_counts, self.genome_counts, self.expected))
 
-        return self._kept(f"classes_{kind.lower()}", make)
+    def _classified(self, reads: DataFrame, genome: DataFrame, expected: DataFrame) -> DataFrame:
+        """kmer, class and z by counts of reads and genome and the expected counts of the same sizes."""
+        kind = self.settings.classification
+        every = reads.select("kmer").unionByName(genome.select("kmer")).distinct()
+        model = self.kmer_model if kind == "MACHINE_LEARNING" else None
+        return classify.classified(kind, every, reads, self.coverage_bias(), expected, self.k, genome if kind == "CHEATING" else None, model).select("kmer", "class", "z")
+
+    def classes_of(self, sizes: list[int]) -> DataFrame:
+        """kmer and class of every k-mer of these sizes: the kept ones, and others made as they are asked for."""
+        out = self.classes.where(F.length("kmer").isin([n for n in sizes if n in self.sizes])).select("kmer", "class")
+        more = [n for n in sizes if n not in self.sizes]
+        if more:
+            reads, genome = (classify.counts_of(seqs, more) for seqs in (self.reads, self.genome))
+            expected = counting.expected_counts(counting.read_lengths(self.reads), self.genome_size, more, self.dataset.genome_type == "CIRCULAR")
+            out = out.unionByName(self._classified(reads, genome, expected).select("kmer", "class"))
+        return out
 
     @cached_property
     def true_corrections(self) -> DataFrame:
@@ -209,7 +218,7 @@ class Engine:
         """read_id, orig_pos and type that correction finds in the reads."""
         s = self.settings
         profile = None if s.correction == "KMER_IMPROVED" else self.profile
-        return self._kept(f"corrections_{s.correction.lower()}", lambda: correction.corrector(s.correction, self.classes, self.k, profile, self.sizes[-1], s.indels)(self.reads))
+        return self._kept(f"corrections_{s.correction.lower()}", lambda: correction.corrector(s.correction, self.classes, self.k, profile, self.sizes[-1], s.indels, self.classes_of)(self.reads))
 
     def correct_reads(self, path: str | None = None) -> DataFrame:
         """The reads with their corrected bases; written as FASTQ if there is a path. Observers get reads and corrections, their results come from observed()."""

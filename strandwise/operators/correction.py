@@ -1,7 +1,8 @@
 """Correction of reads by k-mer classes and error profiles, and its evaluation.
 
 All ways of correcting judge every place of the reads as they were sequenced and mend all places at once, so each is a
-fixed number of joins however long the reads are; what several joins need is written to the shared folder once. The tables `known` (kmer) and `table` (kmer, class) may be any size.
+fixed number of joins however long the reads are, or one that grows with the logarithm of a read's length; what several
+joins need is written to the shared folder once. The tables `known` (kmer) and `table` (kmer, class) may be any size.
 Defined cases: reads without bases, or shorter than k, get no corrections; a read_id must be unique among the reads;
 empty tables give empty tables. Ties between errors go to the higher score, the earlier place, the smaller number.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import ERROR_TYPES, error_number, middle_quality, part_of, possible_errors, undo_error
-from strandwise.operators import ladders
+from strandwise.operators import flanks, ladders
 from strandwise.operators.counting import positions
 from strandwise.operators.profiles import ErrorProfile
 from strandwise.session import written
@@ -39,20 +40,34 @@ def substitutions(reads: DataFrame, trusted: DataFrame, k: int) -> DataFrame:
     return mended.groupBy("read_id", "pos").agg(F.count("*").alias("ways"), F.min("type").alias("type")).where("ways = 1").select("read_id", F.col("pos").cast("long").alias("orig_pos"), "type")
 
 
+def _tail(start: Column, k: int) -> Column:
+    """Array of the places that the k-mer at start speaks for: start, and for a read's last one all behind it. Needs size."""
+    return F.sequence(start, F.when(start + k == F.col("size"), F.col("size") - 1).otherwise(start)).cast("array<bigint>")
+
+
 def unknown_places(reads: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """read_id, seq and orig_pos of places whose k-mer is not known: the one that starts there or, in a read's tail, its last."""
-    unknown = positions(reads, k, ["read_id"]).join(known.select("kmer").distinct(), "kmer", "left_anti")
-    met = unknown.select("read_id", "pos").join(reads.select("read_id", "seq"), "read_id")
-    end = F.length("seq") - 1
-    return met.select("read_id", "seq", F.explode(F.sequence("pos", F.when(F.col("pos") + k == end + 1, end).otherwise(F.col("pos"))).cast("array<bigint>")).alias("orig_pos"))
+    """read_id and orig_pos of places whose k-mer is not known: the one that starts there or, in a read's tail, its last."""
+    sized = reads.select("read_id", "seq", F.length("seq").alias("size"))
+    unknown = positions(sized, k, ["read_id", "size"]).join(known.select("kmer").distinct(), "kmer", "left_anti")
+    return unknown.select("read_id", F.explode(_tail(F.col("pos"), k)).alias("orig_pos"))
 
 
 def candidates(at: DataFrame, indels: bool = True) -> DataFrame:
-    """at (read_id, seq, orig_pos) with type: each error that the place may stem from."""
-    each = at.withColumn("type", F.explode(possible_errors(F.col("seq"), F.col("orig_pos"))))
+    """at (with place and flank) with type: each error that the place may stem from."""
+    each = at.withColumn("type", F.explode(possible_errors(F.col("flank"), F.col("place"))))
     return each if indels else each.where(F.col("type").startswith("SUB"))
 
 
+def _mended(tried: DataFrame) -> DataFrame:
+    """tried (candidates) with mended, the flank without the error, in place of flank."""
+    return tried.withColumn("mended", undo_error(F.col("flank"), F.col("type"), F.col("place"))).drop("flank")
+
+
+def _window(back: int, n: Column | int) -> Column:
+    """n bases of mended from `back` bases before place; at a read's ends, its first or last n."""
+    return part_of(F.col("mended"), F.greatest(F.least(F.col("place") - back, F.length("mended") - n), F.lit(0)), n)
+
+
 def by_kmers(reads: DataFrame, known: DataFrame, k: int, indels: bool = True, before: int = BEFORE) -> DataFrame:
     """read_id, orig_pos and type by k-mers of fixed size: places whose k-mer is not known and that one error alone explains.
 
@@ -60,12 +75,9 @@ def by_kmers(reads: DataFrame, known: DataFrame, k: int, indels: bool = True, be
     further left: with windows of equal size an insertion, which shortens what follows, is no easier to explain than a
     substitution. Several errors that would do leave the place as it is.
     """
-    tried = candidates(unknown_places(reads, known, k), indels)
-    mended = undo_error(F.col("seq"), F.col("type"), F.col("orig_pos").cast("int"))
-    tried = tried.select("read_id", "orig_pos", "type", mended.alias("mended")).where(F.length("mended") >= k)
-    last = F.length("mended") - k
-    window = lambda back: part_of(F.col("mended"), F.greatest(F.least(F.col("orig_pos") - back, last), F.lit(0)), k)
-    tried = tried.select("read_id", "orig_pos", "type", window(0).alias("kmer"), window(before).alias("earlier"))
+    at = flanks.flanked(unknown_places(reads, known, k), reads, k + before, k + 1)
+    tried = _mended(candidates(at, indels)).where(F.length("mended") >= k)
+    tried = tried.select("read_id", "orig_pos", "type", _window(0, k).alias("kmer"), _window(before, k).alias("earlier"))
     names = known.select("kmer").distinct()
     whole = tried.join(names, "kmer", "left_semi").join(names.withColumnRenamed("kmer", "earlier"), "earlier", "left_semi")
     return single(whole, ["read_id", "orig_pos"])
@@ -76,31 +88,40 @@ def single(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.count("*").alias("ways"), F.min("type").alias("type")).where("ways = 1").select(*keys, "type")
 
 
-def by_growing_kmers(reads: DataFrame, table: DataFrame, k: int, longest: int = ladders.LONGEST, indels: bool = True, before: int = BEFORE) -> DataFrame:
-    """read_id, orig_pos and type as by_kmers, with windows that grow while they are repetitive or several errors would do.
+def by_growing_kmers(reads: DataFrame, classes: ladders.Classes, k: int, indels: bool = True, before: int = BEFORE, starts: DataFrame | None = None) -> DataFrame:
+    """read_id, orig_pos and type as by_kmers, with windows that grow while they are repetitive or several errors would do, as far as the read goes.
 
+    classes gives kmer and class of all k-mers of the sizes asked for. starts: ladders.grown_starts or suffixes.grown_starts.
     A place is looked at if the first window from it that is not REPEAT is UNTRUSTED; behind a place whose windows all
-    are REPEAT, a read is left as it is. Each candidate's windows, from `before` bases further left, are judged size by
-    size; it holds at a size if the first one from there on that is not REPEAT is not UNTRUSTED. The first size at which
-    one candidate at most holds decides.
+    are REPEAT, a read is left as it is. An error holds at a size if, of the read without it, two windows of that size, from
+    the place and from `before` bases further left, are not UNTRUSTED. Sizes rise by two from that of the window that showed
+    the place to be wrong; the first at which one error at most holds decides. Each round tries twice as many sizes as the one before, on
+    places that are still open.
     """
-    judged = written(ladders.judged_starts(reads, table, k, lambda seq, start: ladders.onward(seq, start, k, longest)), "judged-starts")
-    end = F.col("size") - 1
-    judged = judged.select("read_id", "class", F.explode(F.sequence("start", F.when(F.col("start") + k == F.col("size"), end).otherwise(F.col("start"))).cast("array<bigint>")).alias("orig_pos"))
+    judged = written(starts if starts is not None else ladders.grown_starts(reads, classes, k), "judged-starts")
+    judged = judged.select("read_id", "size", "class", F.col("n").cast("int").alias("n"), F.explode(_tail(F.col("start"), k)).alias("orig_pos"))
     stop = judged.where("class = 'REPEAT'").groupBy("read_id").agg(F.min("orig_pos").alias("stop"))
     wrong = judged.where("class = 'UNTRUSTED'").join(stop, "read_id", "left").where("stop is null or orig_pos < stop")
-    wrong = wrong.select("read_id", "orig_pos").join(reads.select("read_id", "seq"), "read_id")
-    tried = candidates(wrong, indels)
-    ladder = ladders.onward_after(F.col("seq"), F.col("orig_pos").cast("int"), F.col("type"), k, longest, before)
-    rungs = tried.select("read_id", "orig_pos", "type", F.posexplode(ladder).alias("rung", "kmer")).join(table.select("kmer", "class"), "kmer", "left")
-    keys = ["read_id", "orig_pos", "type"]
-    classes = rungs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rung", F.coalesce("class", F.lit("UNTRUSTED")).alias("class")))).alias("rungs"))
-    later = F.filter(F.slice("rungs", F.col("rung") + 1, F.size("rungs")), lambda x: x["class"] != "REPEAT")
-    each = classes.select(*keys, "rungs", F.explode(F.sequence(F.lit(0), F.size("rungs") - 1)).alias("rung"))
-    each = each.select(*keys, "rung", (F.get(later, F.lit(0))["class"].isNull() | (F.get(later, F.lit(0))["class"] != "UNTRUSTED")).alias("holds"))
-    ways = each.groupBy("read_id", "orig_pos", "rung").agg(F.count(F.when(F.col("holds"), 1)).alias("ways"), F.min(F.when(F.col("holds"), F.col("type"))).alias("type"))
-    first = ways.where("ways <= 1").groupBy("read_id", "orig_pos").agg(F.min_by("type", "rung").alias("type"))
-    return first.where("type is not null")
+    open_ = written(wrong.select("read_id", "orig_pos", "n", "size"), "growing-open")
+    keys = ["read_id", "orig_pos"]
+    found = open_.where(F.lit(False)).select(*keys, F.lit("").alias("type"))
+    first, batch = 0, 1
+    while sizes := [r.n for r in open_.select("n").distinct().collect()]:
+        steps = F.explode(F.array(*[F.lit(j) for j in range(first, first + batch)])).alias("step")
+        m = F.col("n") + 2 * F.col("step")
+        wanted = sorted({n + 2 * j for n in sizes for j in range(first, first + batch)})
+        known = written(classes(wanted).where("class <> 'UNTRUSTED'").select("kmer").distinct(), "growing-known")
+        tried = _mended(candidates(flanks.flanked(open_.drop("size"), reads, wanted[-1] + before, wanted[-1] + 1), indels))
+        tried = tried.select("*", steps).where((m <= F.col("size")) & (F.length("mended") >= m)).select(*keys, "step", "type", _window(0, m).alias("kmer"), _window(before, m).alias("earlier"))
+        whole = tried.join(known, "kmer", "left_semi").join(known.withColumnRenamed("kmer", "earlier"), "earlier", "left_semi")
+        ways = whole.groupBy(*keys, "step").agg(F.count("*").alias("ways"), F.min("type").alias("type"))
+        grid = open_.select("*", steps).where(m <= F.col("size")).join(ways, [*keys, "step"], "left").withColumn("ways", F.coalesce("ways", F.lit(0)))
+        hit = F.min(F.when(F.col("ways") <= 1, F.struct("step", "ways", "type"))).alias("hit")
+        state = written(grid.groupBy(*keys, "n", "size").agg(hit), "growing-state")
+        found = found.unionByName(state.where("hit.ways = 1").select(*keys, "hit.type"))
+        first, batch = first + batch, 2 * batch
+        open_ = state.where(F.col("hit").isNull() & (F.col("n") + 2 * first <= F.col("size"))).drop("hit")
+    return found
 
 
 def ranking(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,17 +213,22 @@ def naive(reads: DataFrame, profile: ErrorProfile, indels: bool = True) -> DataF
 CORRECTION_TYPES = ("NAIVE", "KMER_BASED", "KMER_IMPROVED")
 
 
-def corrector(kind: str, table: DataFrame, k: int, profile: ErrorProfile | None = None, longest: int = ladders.LONGEST, indels: bool = True) -> Callable[[DataFrame], DataFrame]:
-    """A function from reads to corrections; kind is one of CORRECTION_TYPES. table: kmer and class of all sizes from k to longest."""
+def corrector(kind: str, table: DataFrame, k: int, profile: ErrorProfile | None = None, longest: int = ladders.LONGEST, indels: bool = True, classes: ladders.Classes | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function from reads to corrections; kind is one of CORRECTION_TYPES.
+
+    table: kmer and class of all sizes from k to longest; classes gives those of any sizes, for KMER_IMPROVED.
+    """
     if kind not in CORRECTION_TYPES:
         raise ValueError(f"no such way of correcting: {kind}")
-    if profile is None and kind != "KMER_IMPROVED":
+    if kind == "KMER_IMPROVED":
+        if classes is None:
+            raise ValueError(f"{kind} needs classes of all sizes")
+        return lambda reads: by_growing_kmers(reads, classes, k, indels)
+    if profile is None:
         raise ValueError(f"{kind} needs an error profile")
     if kind == "NAIVE":
         return lambda reads: naive(reads, profile, indels)
-    if kind == "KMER_BASED":
-        return lambda reads: by_ranked_kmers(reads, profile, table, k, longest, indels)
-    return lambda reads: by_growing_kmers(reads, table, k, longest, indels)
+    return lambda reads: by_ranked_kmers(reads, profile, table, k, longest, indels)
 
 
 def apply(reads: DataFrame, corrections: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import part_of, undo_error
 from strandwise.operators.counting import positions
+from strandwise.session import written
 
-#: Window sizes stop here unless told otherwise: tables of classes are needed for all of them.
+#: Window sizes of ladders, which need tables of classes for all of them, stop here unless told otherwise; grown_starts has no such bound.
 LONGEST = 21
 
 
@@ -152,3 +153,38 @@ def judged_starts(reads: DataFrame, table: DataFrame, k: int, ladder: Callable[[
     grown = grown.select("read_id", "size", "start", ladder(F.col("seq"), F.col("start")).alias("ladder"))
     late = decided(grown, "ladder", table, ["read_id", "start"], window=True)
     return at.where("class <> 'REPEAT'").withColumn("n", F.lit(k)).unionByName(late.select("read_id", "size", "start", "class", F.length("window").alias("n")))
+
+
+#: Gives kmer and class of all k-mers of the sizes asked for; a k-mer without a row is UNTRUSTED.
+Classes = Callable[[list[int]], DataFrame]
+
+
+def grown_starts(reads: DataFrame, classes: Classes, k: int) -> DataFrame:
+    """read_id, size, start, class and n as judged_starts with onward(), without a bound on the windows' sizes.
+
+    Starts that are still repetitive go through another round, which tries twice as many sizes as the one before.
+    """
+    sized = reads.select("read_id", "seq", F.length("seq").alias("size"))
+    at = positions(sized, k, ["read_id", "size"]).join(classes([k]).select("kmer", "class"), "kmer", "left")
+    at = at.select("read_id", "size", F.col("pos").alias("start"), F.coalesce("class", F.lit("UNTRUSTED")).alias("class"))
+    at = written(at, "first-windows")
+    found = at.where("class <> 'REPEAT'").withColumn("n", F.lit(k))
+    open_ = at.where("class = 'REPEAT'").drop("class")
+    on_right = F.floor((F.col("size") - F.col("start") - k) / 2) + 1
+    rungs = on_right + F.floor(F.col("start") / 2)
+    first, batch = 1, 1
+    while not open_.isEmpty():
+        table = classes([k + 2 * i for i in range(first, first + batch)]).select(F.col("kmer").alias("window"), "class")
+        step, n = F.col("step"), k + 2 * F.col("step")
+        begin = F.col("start") - 2 * F.greatest(step - on_right + 1, F.lit(0))
+        each = open_.join(reads.select("read_id", "seq"), "read_id").select("*", F.explode(F.array(*[F.lit(i) for i in range(first, first + batch)])).alias("step")).where(step < rungs)
+        each = each.select("read_id", "start", "step", part_of(F.col("seq"), begin, n.cast("int")).alias("window")).where(~F.col("window").contains("_"))
+        kinds = each.join(table, "window", "left").select("read_id", "start", "step", F.coalesce("class", F.lit("UNTRUSTED")).alias("class")).where("class <> 'REPEAT'")
+        best = kinds.groupBy("read_id", "start").agg(F.min(F.struct("step", "class")).alias("best"))
+        state = written(open_.join(best, ["read_id", "start"], "left"), "grown-windows")
+        first, batch = first + batch, 2 * batch
+        found = found.unionByName(state.where("best is not null").select("read_id", "size", "start", "best.class", (k + 2 * F.col("best.step")).alias("n")))
+        ended = state.where(F.col("best").isNull() & (rungs <= first)).select("read_id", "size", "start", F.lit("REPEAT").alias("class"), F.lit(None).cast("int").alias("n"))
+        found = found.unionByName(ended)
+        open_ = state.where(F.col("best").isNull() & (rungs > first)).drop("best")
+    return found

@@ -217,7 +217,7 @@ def window_class(n: Column, once: Column, twice: Column) -> Column:
 
 
 def grown_starts(genome: DataFrame, reads: DataFrame, k: int) -> DataFrame:
-    """read_id, start, class and n of the k-mer at every start of the reads, grown until it is no repeat, without a bound on its size.
+    """read_id, size, start, class and n of the k-mer at every start of the reads, grown until it is no repeat, without a bound on its size.
 
     Windows grow by two letters on the right as far as the read goes, then from there by two on the left. n is the deciding
     window's size, null for REPEAT: a window that is repetitive to both ends of the read.
@@ -225,14 +225,14 @@ def grown_starts(genome: DataFrame, reads: DataFrame, k: int) -> DataFrame:
     at = written(matches(genome, reads).where("not of_genome").drop("of_genome").withColumnRenamed("id", "read_id"), "read-matches")
     starts = at.where(F.col("pos") + k <= F.col("size")).withColumn("n", next_size(F.col("twice"), k))
     fits = F.col("pos") + F.col("n") <= F.col("size")
-    done = starts.where(fits).select("read_id", F.col("pos").alias("start"), window_class(F.col("n"), F.col("once"), F.col("twice")).alias("class"), "n")
+    done = starts.where(fits).select("read_id", "size", F.col("pos").alias("start"), window_class(F.col("n"), F.col("once"), F.col("twice")).alias("class"), "n")
     # The end of the longest repeat from a place never falls from one place to the next, so the first place to the left from
     # which a window to `reach` is no repeat is the greatest one of those.
-    late = starts.where(~fits).select("read_id", F.col("pos").alias("start"), (F.col("size") - F.pmod(F.col("size") - F.col("pos") - k, F.lit(2))).alias("reach"))
+    late = starts.where(~fits).select("read_id", "size", F.col("pos").alias("start"), (F.col("size") - F.pmod(F.col("size") - F.col("pos") - k, F.lit(2))).alias("reach"))
     ends = late.select("read_id", "reach", F.pmod("start", F.lit(2)).alias("odd")).distinct()
     open_ = at.join(ends, "read_id").where((F.pmod("pos", F.lit(2)) == F.col("odd")) & (F.col("pos") + F.col("twice") < F.col("reach")) & (F.col("pos") + k <= F.col("reach")))
     last = open_.groupBy("read_id", "reach", "odd").agg(F.max_by(F.struct("pos", "once", "twice"), "pos").alias("at"))
     grown = late.withColumn("odd", F.pmod("start", F.lit(2))).join(last, ["read_id", "reach", "odd"], "left")
     n = F.col("reach") - F.col("at.pos")
-    grown = grown.select("read_id", "start", F.when(F.col("at").isNull(), "REPEAT").otherwise(window_class(n, F.col("at.once"), F.col("at.twice"))).alias("class"), n.alias("n"))
+    grown = grown.select("read_id", "size", "start", F.when(F.col("at").isNull(), "REPEAT").otherwise(window_class(n, F.col("at.once"), F.col("at.twice"))).alias("class"), n.alias("n"))
     return done.unionByName(grown)

@@ -181,15 +181,38 @@ _TRIED = """tried AS (SELECT read_id, orig_pos, type, CASE WHEN type LIKE 'SUB%'
 _CORRECTED = f"""{_kmers('gk', 'genome', 11)}, {_both('known', 'gk')}, {_KINDS},
 wrong AS (SELECT read_id, seq, p AS orig_pos FROM (SELECT read_id, seq, unnest(range(0, length(seq))) AS p FROM sim WHERE length(seq) >= 11) e WHERE NOT EXISTS (SELECT 1 FROM known WHERE kmer = substr(seq, least(p, length(seq) - 11) + 1, 11))),
 {_TRIED}, fits AS (SELECT * FROM tried WHERE length(s) >= 11 AND EXISTS (SELECT 1 FROM known WHERE kmer = substr(s, greatest(least(orig_pos, length(s) - 11), 0) + 1, 11)) AND EXISTS (SELECT 1 FROM known WHERE kmer = substr(s, greatest(least(orig_pos - 5, length(s) - 11), 0) + 1, 11)))"""
-_GROWING = f"""{_CLASSES}, {_KINDS}, every AS (SELECT read_id, seq, unnest(range(0, length(seq))) AS orig_pos FROM sim),
-first AS ({_onward('x', 'seq', 'orig_pos', 'read_id, seq, orig_pos', 'every')}),
-judged AS (SELECT read_id, any_value(seq) AS seq, orig_pos, coalesce(arg_min(coalesce(class, 'UNTRUSTED'), step) FILTER (coalesce(class, 'UNTRUSTED') <> 'REPEAT'), 'REPEAT') AS class FROM first LEFT JOIN classes ON kmer = w GROUP BY read_id, orig_pos),
-stops AS (SELECT read_id, min(orig_pos) AS stop FROM judged WHERE class = 'REPEAT' GROUP BY 1),
-wrong AS (SELECT read_id, seq, orig_pos FROM judged LEFT JOIN stops USING (read_id) WHERE class = 'UNTRUSTED' AND (stop IS NULL OR orig_pos < stop)),
-{_TRIED}, rungs AS (SELECT t.*, coalesce(class, 'UNTRUSTED') AS class FROM ({_onward('x', 's0', 'greatest(orig_pos - 5, 0)', 'read_id, orig_pos, type', '(SELECT * EXCLUDE (s), s AS s0 FROM tried)')}) t LEFT JOIN classes ON kmer = w),
-held AS (SELECT read_id, orig_pos, type, step, coalesce(first_value(CASE WHEN class <> 'REPEAT' THEN class END IGNORE NULLS) OVER (PARTITION BY read_id, orig_pos, type ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'REPEAT') <> 'UNTRUSTED' AS holds FROM rungs),
-counted AS (SELECT read_id, orig_pos, step, count(*) FILTER (holds) AS ways, min(type) FILTER (holds) AS type FROM held GROUP BY 1, 2, 3),
-chosen AS (SELECT read_id, orig_pos, arg_min(coalesce(type, ''), step) AS type FROM counted WHERE ways <= 1 GROUP BY 1, 2)"""
+_HELD = f"""{_STRANDED}, held AS (SELECT w, count(*) AS c FROM (SELECT substr(seq, pos + 1, n) AS w FROM placed_strands, range(11, 52) t(n) WHERE pos + n <= length(seq)) GROUP BY w)"""
+_FIRSTS = f"""{_HELD}, spots AS (SELECT read_id, seq, unnest(range(0, length(seq) - 10)) AS start FROM sim WHERE length(seq) >= 11), reached AS (SELECT *, start + 11 + 2 * ((length(seq) - start - 11) // 2) AS reach FROM spots),
+rungs AS (SELECT read_id, start, t, 11 + 2 * t AS n, substr(seq, start + 1, 11 + 2 * t) AS w FROM reached, range(0, 21) r(t) WHERE start + 11 + 2 * t <= reach
+    UNION ALL SELECT read_id, start, 100 + t, reach - start + 2 * t, substr(seq, start - 2 * t + 1, reach - start + 2 * t) FROM reached, range(1, 26) r(t) WHERE start - 2 * t >= 0),
+judged AS (SELECT read_id, start, t, n, coalesce(c, 0) AS c FROM rungs LEFT JOIN held USING (w)),
+firsts AS (SELECT read_id, start, arg_min(c, t) FILTER (c < 2) AS c, arg_min(n, t) FILTER (c < 2) AS n FROM judged GROUP BY read_id, start)"""
+_GROWING = f"""{_FIRSTS}, {_KINDS}, every AS (SELECT read_id, seq, unnest(range(0, length(seq))) AS orig_pos FROM sim WHERE length(seq) >= 11),
+looked AS (SELECT e.read_id, seq, orig_pos, c, n FROM every e JOIN firsts f ON f.read_id = e.read_id AND f.start = least(orig_pos, length(seq) - 11)),
+stops AS (SELECT read_id, min(orig_pos) AS stop FROM looked WHERE c IS NULL GROUP BY 1),
+wrong AS (SELECT read_id, seq, orig_pos, n FROM looked LEFT JOIN stops USING (read_id) WHERE c = 0 AND (stop IS NULL OR orig_pos < stop)),
+{_TRIED}, sized AS (SELECT t.*, j, n + 2 * j AS m FROM tried t JOIN wrong w USING (read_id, orig_pos), range(0, 21) r(j) WHERE n + 2 * j <= length(w.seq) AND n + 2 * j <= length(s)),
+fits AS (SELECT read_id, orig_pos, j, type FROM sized WHERE EXISTS (SELECT 1 FROM held WHERE w = substr(s, greatest(least(orig_pos, length(s) - m), 0) + 1, m)) AND EXISTS (SELECT 1 FROM held WHERE w = substr(s, greatest(least(orig_pos - 5, length(s) - m), 0) + 1, m))),
+counted AS (SELECT read_id, orig_pos, j, count(type) AS ways, min(type) AS type FROM (SELECT read_id, orig_pos, j FROM wrong, range(0, 21) r(j) WHERE n + 2 * j <= length(seq)) LEFT JOIN fits USING (read_id, orig_pos, j) GROUP BY 1, 2, 3),
+chosen AS (SELECT read_id, orig_pos, arg_min(coalesce(type, ''), j) AS type FROM counted WHERE ways <= 1 GROUP BY 1, 2)"""
+
+
+def _metrics(predicted: str, confusion: str = _CONFUSION) -> str:
+    """Gain and its like of `predicted` (read_id, orig_pos, type)."""
+    return f"""WITH {_SIM}, {predicted}, {confusion}, summed AS (
+        SELECT category, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(tn)::DOUBLE AS tn
+        FROM (SELECT CASE WHEN type = 'INSERTION' THEN 'insertions' WHEN type LIKE 'SUB%' THEN 'substitutions' ELSE 'deletions' END AS category, * FROM confusion UNION ALL SELECT 'total', * FROM confusion) GROUP BY category)
+        SELECT category, round((tp - fp) / nullif(tp + fn, 0), 6) AS gain, round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM summed"""
+
+
+_NAIVE = "SELECT read_id, orig_pos, type FROM likely JOIN sim USING (read_id) WHERE type NOT IN ('CORRECT', 'NODEL') AND (type NOT LIKE 'DEL%' AND type <> 'MULTIDEL' OR orig_pos < length(seq) - 1)"
+_MODES = {
+    "fixed": f"{_CORRECTED}, predicted AS (SELECT read_id, orig_pos, min(type) AS type FROM fits GROUP BY 1, 2 HAVING count(*) = 1)",
+    "growing": f"{_GROWING}, predicted AS (SELECT read_id, orig_pos, type FROM chosen WHERE type <> '')",
+    "naive": f"{_MOTIF_LOOKUP}, {_LIKELY}, predicted AS ({_NAIVE})",
+}
+_KINDLESS = _CONFUSION.removeprefix(f"{_KINDS}, ")
+
 
 SQL: dict[str, str] = {
     "kmer_count_both_strands": f"WITH {_READS}, {_kmers('k', 'reads', 11)}, {_both('counts', 'k')} SELECT kmer, n FROM counts",
@@ -232,10 +255,8 @@ SQL: dict[str, str] = {
     "corrected_reads": f"""WITH {_SIM}
         SELECT read_id, t AS corrected, 50 AS qualities, list_aggregate([CASE WHEN read_id % 20 = 7 AND q >= 25 THEN q - 1 WHEN {_INS} AND q > 20 THEN q + 1 ELSE q END FOR q IN range(0, 50)], 'string_agg', ' ') AS places FROM starts""",
     "confusion_counts": f"WITH {_SIM}, {_PREDICTED}, {_CONFUSION} SELECT * FROM confusion",
-    "correction_metrics": f"""WITH {_SIM}, {_PREDICTED}, {_CONFUSION}, summed AS (
-        SELECT category, sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(tn)::DOUBLE AS tn
-        FROM (SELECT CASE WHEN type = 'INSERTION' THEN 'insertions' WHEN type LIKE 'SUB%' THEN 'substitutions' ELSE 'deletions' END AS category, * FROM confusion UNION ALL SELECT 'total', * FROM confusion) GROUP BY category)
-        SELECT category, round((tp - fp) / nullif(tp + fn, 0), 6) AS gain, round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM summed""",
+    "correction_metrics": _metrics(_PREDICTED),
+    "correction_metrics_by_mode": " UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM ({_metrics(parts, _KINDLESS if _KINDS in parts else _CONFUSION)})" for mode, parts in _MODES.items()),
     "base_functions": f"""WITH {_SIM} SELECT read_id, 'N_' || reverse(translate(left(seq, 5), 'ACGT', 'TGCA')) AS rc, translate(substr(seq, 5, 1), 'ACGT', 'TGCA') AS base, 'N' AS gap, '@r' || read_id AS name,
         CAST(3905 + (SELECT sum((strpos('ACGT', substr(seq, i, 1)) - 1) * pow(5, 6 - i)) FROM range(1, 7) t(i)) AS BIGINT) AS motif_index, left(seq, 6) AS motif, CAST(30 + (strpos('ACGT', substr(seq, 5, 1)) - 1) * 25 + 4 AS BIGINT) AS odd_index FROM sim""",
     "minimum_sizes": f"""WITH {_GENOME}, each AS (SELECT DISTINCT CAST(length(seq) AS INTEGER) AS genome_size FROM genome), floors AS (SELECT genome_size, CAST(floor(ln(200 * genome_size) / ln(4)) AS INTEGER) AS k FROM each) SELECT genome_size, k + (k + 1) % 2 AS k FROM floors""",
@@ -289,7 +310,7 @@ SQL: dict[str, str] = {
     "training_texts": f"""WITH {_SIM}, {_KINDS} SELECT read_id, CASE WHEN number <= 5 THEN 'base' ELSE 'gap' END AS kind, ascii(substr(seq, orig_pos + 1, 1)) || ';' || orig_pos || ';' || length(seq) || ';' || number AS row FROM planted JOIN sim USING (read_id) JOIN kinds USING (type)""",
     "correct_reads": f"WITH {_SIM}, {_CORRECTED} SELECT read_id, orig_pos, min(type) AS type FROM fits GROUP BY 1, 2 HAVING count(*) = 1",
     "correct_reads_growing": f"WITH {_SIM}, {_GROWING} SELECT read_id, orig_pos, type FROM chosen WHERE type <> ''",
-    "correct_reads_naive": f"""WITH {_SIM}, {_MOTIF_LOOKUP}, {_LIKELY} SELECT read_id, orig_pos, type FROM likely JOIN sim USING (read_id) WHERE type NOT IN ('CORRECT', 'NODEL') AND (type NOT LIKE 'DEL%' AND type <> 'MULTIDEL' OR orig_pos < length(seq) - 1)""",
+    "correct_reads_naive": f"WITH {_SIM}, {_MOTIF_LOOKUP}, {_LIKELY} {_NAIVE}",
     "corrected_texts": f"""WITH {_SIM}, texts AS (SELECT read_id, string_agg(chr(10) || type || ' ' || orig_pos || ' ' || substr(seq, orig_pos + 1, 1) || ' ' || CASE WHEN type = 'INSERTION' THEN '.' WHEN type LIKE 'SUB%' THEN right(type, 1) ELSE substr(seq, orig_pos + 1, 1) || right(type, 1) END || ' 1.0', '' ORDER BY type || ' ' || orig_pos) AS lines FROM planted JOIN sim USING (read_id) GROUP BY read_id)
         SELECT read_id, coalesce(seq || chr(10) || t || chr(10) || lines, '') AS printed FROM sim JOIN (SELECT read_id, t FROM starts) USING (read_id) LEFT JOIN texts USING (read_id)""",
     "confusion_masked": f"WITH {_SIM}, {_PREDICTED}, masked AS (SELECT read_id, i AS orig_pos FROM sim, range(0, 4) t(i) WHERE read_id % 20 = 11), {_CONFUSION.replace('NOT EXISTS (SELECT 1 FROM met', 'NOT EXISTS (SELECT 1 FROM masked WHERE masked.read_id = e.read_id AND masked.orig_pos = e.i) AND NOT EXISTS (SELECT 1 FROM met').replace('NOT tr)', 'NOT tr AND NOT EXISTS (SELECT 1 FROM masked WHERE masked.read_id = met.read_id AND masked.orig_pos = met.orig_pos))')} SELECT * FROM confusion",
@@ -300,11 +321,5 @@ SQL: dict[str, str] = {
     "match_lengths": f"""WITH {_SIM}, {_STRANDED}, held AS (SELECT w, count(*) AS c FROM (SELECT substr(seq, pos + 1, n) AS w FROM placed_strands, range(1, 52) t(n) WHERE pos + n <= length(seq)) GROUP BY w),
         spots AS (SELECT read_id, seq, unnest(range(0, length(seq))) AS pos FROM sim), cut AS (SELECT read_id, pos, n, substr(seq, pos + 1, n) AS w FROM spots, range(1, 52) t(n) WHERE pos + n <= length(seq))
         SELECT read_id, cut.pos, coalesce(max(n) FILTER (c >= 1), 0) AS once, coalesce(max(n) FILTER (c >= 2), 0) AS twice FROM cut LEFT JOIN held USING (w) GROUP BY read_id, cut.pos""",
-    "grown_starts": f"""WITH {_SIM}, {_STRANDED}, held AS (SELECT w, count(*) AS c FROM (SELECT substr(seq, pos + 1, n) AS w FROM placed_strands, range(11, 52) t(n) WHERE pos + n <= length(seq)) GROUP BY w),
-        spots AS (SELECT read_id, seq, unnest(range(0, length(seq) - 10)) AS start FROM sim WHERE length(seq) >= 11), reached AS (SELECT *, start + 11 + 2 * ((length(seq) - start - 11) // 2) AS reach FROM spots),
-        rungs AS (SELECT read_id, start, t, 11 + 2 * t AS n, substr(seq, start + 1, 11 + 2 * t) AS w FROM reached, range(0, 21) r(t) WHERE start + 11 + 2 * t <= reach
-            UNION ALL SELECT read_id, start, 100 + t, reach - start + 2 * t, substr(seq, start - 2 * t + 1, reach - start + 2 * t) FROM reached, range(1, 26) r(t) WHERE start - 2 * t >= 0),
-        judged AS (SELECT read_id, start, t, n, coalesce(c, 0) AS c FROM rungs LEFT JOIN held USING (w)),
-        firsts AS (SELECT read_id, start, arg_min(c, t) FILTER (c < 2) AS c, arg_min(n, t) FILTER (c < 2) AS n FROM judged GROUP BY read_id, start)
-        SELECT read_id, start, CASE c WHEN 0 THEN 'UNTRUSTED' WHEN 1 THEN 'TRUSTED' ELSE 'REPEAT' END AS class, n FROM firsts""",
+    "grown_starts": f"WITH {_SIM}, {_FIRSTS} SELECT read_id, start, CASE c WHEN 0 THEN 'UNTRUSTED' WHEN 1 THEN 'TRUSTED' ELSE 'REPEAT' END AS class, n FROM firsts",
 }

@@ -467,8 +467,8 @@ def correct_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def correct_reads_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by k-mers that grow while they are repetitive or leave a choice."""
-    return correction.by_growing_kmers(fixtures.simulated(spark, sf_dir), _classes(spark, sf_dir), K)
+    """The same by k-mers that grow while they are repetitive or leave a choice, as far as the read goes."""
+    return correction.by_growing_kmers(fixtures.simulated(spark, sf_dir), lambda sizes: _classes(spark, sf_dir, sizes), K)
 
 
 @query
@@ -521,6 +521,18 @@ def correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("category", *[F.round(c, 6).alias(c) for c in ("gain", "sensitivity", "specificity", "f1")])
 
 
+@query
+def correction_metrics_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each way of correcting finds the planted errors."""
+    ways = {"fixed": correct_reads, "growing": correct_reads_growing, "naive": correct_reads_naive}
+    out = None
+    for mode, way in ways.items():
+        table = correction.confusion(fixtures.planted(spark, sf_dir), way(spark, sf_dir), fixtures.simulated(spark, sf_dir))
+        each = correction.metrics(table).select(F.lit(mode).alias("mode"), "category", *[F.round(c, 6).alias(c) for c in ("gain", "sensitivity", "specificity", "f1")])
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 # Windows of any size.
 
 
@@ -540,7 +552,7 @@ def match_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def grown_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of the k-mer at every start of the reads, grown as far as the read goes while it is repetitive."""
-    return suffixes.grown_starts(fixtures.genome(spark, sf_dir), fixtures.simulated(spark, sf_dir), K)
+    return suffixes.grown_starts(fixtures.genome(spark, sf_dir), fixtures.simulated(spark, sf_dir), K).drop("size")
 
 
 #: Queries that bench.py times: one of each kind of work, on whole tables.

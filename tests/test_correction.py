@@ -117,31 +117,45 @@ def test_growing_windows(spark, world):
     assert gap.select(ladders.middle(F.col("seq"), F.lit(5), F.lit(""), 3, 7).alias("l")).first().l == ["TAC", "GTACG", "CGTACGT"]
 
 
+def unbounded(s, pos):
+    """Windows that grow on the right to the read's end, then on the left to its beginning."""
+    start = min(pos, len(s) - K)
+    reach = start + K + 2 * ((len(s) - start - K) // 2)
+    return [s[start:e] for e in range(start + K, reach + 1, 2)] + [s[a:reach] for a in range(start - 2, -1, -2)]
+
+
 def test_growing_correction(world):
-    plain, reads, frame, table = world
+    plain, reads, frame, _ = world
     expected = set()
     for i, s in reads.items():
         if not s or len(s) < K:
             continue
         for pos in range(len(s)):
-            kind, _ = plain.first(onward(s, pos))
+            kind, window = plain.first(unbounded(s, pos))
             if kind == "REPEAT":
                 break
             if kind != "UNTRUSTED":
                 continue
-            runs = {}
-            for t in possible(s, pos):
-                m = undone(s, t, pos)
-                windows = onward(m, max(0, pos - correction.BEFORE))
-                for rung in range(len(windows)):
-                    runs.setdefault(rung, []).append((t, plain.first(windows[rung:])[0] != "UNTRUSTED"))
-            for rung in sorted(runs):
-                hold = [t for t, ok in runs[rung] if ok]
+            for n in range(len(window), len(s) + 1, 2):
+                hold = []
+                for t in possible(s, pos):
+                    m = undone(s, t, pos)
+                    places = [max(0, min(pos - back, len(m) - n)) for back in (0, correction.BEFORE)]
+                    if len(m) >= n and all(plain.kind(m[p : p + n]) != "UNTRUSTED" for p in places):
+                        hold.append(t)
                 if len(hold) <= 1:
                     expected |= {(i, pos, t) for t in hold}
                     break
-    found = {(r.read_id, r.orig_pos, r.type) for r in correction.by_growing_kmers(frame, table, K, LONGEST).collect()}
+
+    def classes(sizes):
+        counts = classify.counts_of(frame.sparkSession.createDataFrame([(1, plain.genome)], "contig long, seq string"), sizes)
+        return counts.select("kmer", classify.genome_class(F.col("n")).alias("class"))
+
+    found = {(r.read_id, r.orig_pos, r.type) for r in correction.by_growing_kmers(frame, classes, K).collect()}
     assert found == expected and expected
+    starts = {(r.read_id, r.start): (r["class"], r.n) for r in ladders.grown_starts(frame, classes, K).collect()}
+    firsts = {(i, p): plain.first(unbounded(s, p)) for i, s in reads.items() if s for p in range(len(s) - K + 1)}
+    assert starts == {at: (kind, window and len(window)) for at, (kind, window) in firsts.items()}
 
 
 class Letters(profiles.ErrorProfile):
