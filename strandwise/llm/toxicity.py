@@ -127,30 +127,37 @@ class Scorer:
 
     def __init__(self, net: Net, vocabulary: dict[str, int]):
         self.net, self.vocabulary = net, vocabulary
+        self.projected: np.ndarray | None = None
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {"": 0}
         self.parts: dict[str, list[int]] = {}
         self.held = 0
-        self.projected = np.zeros((REMEMBERED // 4, 6 * HIDDEN), np.float32)  # row 0: padding
+        if self.projected is None or len(self.projected) > REMEMBERED:
+            self.projected = np.zeros((REMEMBERED, 6 * HIDDEN), np.float32)  # row 0: padding
+
+    def unknown(self, words: list[list[str]]) -> tuple[dict[str, list[str]], list[str]]:
+        """The inputs of words not met before, and those of them that have no row yet."""
+        cut = {w: inputs_of(w, self.vocabulary) for w in {w for ws in words for w in ws} - self.parts.keys()}
+        return cut, list({x for xs in cut.values() for x in xs} - self.rows.keys())
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        if len(self.rows) > REMEMBERED or self.held > 2 * REMEMBERED:
-            self.clear()
         words = [WORD.findall(t.lower()) for t in texts]
-        cut = {w: inputs_of(w, self.vocabulary) for w in {w for ws in words for w in ws} - self.parts.keys()}
-        new = list({x for xs in cut.values() for x in xs} - self.rows.keys())
+        cut, new = self.unknown(words)
+        if len(self.rows) + len(new) > REMEMBERED or self.held > 2 * REMEMBERED:
+            self.clear()
+            cut, new = self.unknown(words)
+        if len(self.rows) + len(new) > len(self.projected):
+            self.projected = np.zeros((len(self.rows) + len(new), 6 * HIDDEN), np.float32)  # for this call alone: the next one clears it
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
             known = np.array([self.vocabulary.get(w, 0) for w in new])
-            if len(self.rows) > len(self.projected):
-                self.projected = np.concatenate([self.projected, np.zeros((len(self.rows), 6 * HIDDEN), np.float32)])
             self.projected[len(self.rows) - len(new) : len(self.rows)] = project(self.net, known, char_codes(new))
         self.parts.update((w, [self.rows[x] for x in xs]) for w, xs in cut.items())
-        self.held += sum(map(len, cut.values()))
+        self.held += sum(map(len, cut.values())) + len(cut)
         get = self.parts.__getitem__
         rows, at = indexed([list(chain.from_iterable(map(get, ws))) for ws in words])
         logits = window_logits(self.net, self.projected, rows)
