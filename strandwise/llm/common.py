@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -9,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,25 @@ def slices(frames: Iterator[pd.DataFrame], text: str = "text", most: int = BATCH
             begin = end
 
 
+def give_back() -> None:
+    """Returns the worker's free memory to the system: a worker lives on and would hold it through later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """run, which gives memory back at the end of a task."""
+
+    def tidied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(frames)
+        give_back()
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (shift-xor-multiply rounds)."""
     x = x ^ (x >> np.uint64(31))

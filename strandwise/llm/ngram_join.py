@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import RangeHash, joined_bytes, mix64, partitions, slices, utf8, word_bounds
+from strandwise.llm.common import RangeHash, joined_bytes, mix64, partitions, slices, tidy, utf8, word_bounds
 from strandwise.llm.components import components
 from strandwise.session import discard, written
 
@@ -96,7 +96,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counters = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for frame in slices(frames, most=1_000_000):
+        for frame in slices(frames, most=500_000):
             sets = shingle_sets(frame["text"].tolist())
             places = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
             counters += np.bincount(places.astype(np.int64), minlength=len(counters)).astype(np.uint32)
@@ -105,7 +105,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
         if counters.any():
             yield pd.DataFrame({"doc_id": pd.array([None] * CHUNKS, dtype="Int64"), "a": 0, "b": 0, "n": 0, "chunk": pd.array(range(CHUNKS), dtype="Int32"), "counts": [zlib.compress(c.tobytes(), 1) for c in counters.reshape(CHUNKS, -1)]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, a long, b long, n int, chunk int, counts binary")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, a long, b long, n int, chunk int, counts binary")
 
 
 def frequent_places(parts: DataFrame) -> np.ndarray:
@@ -182,7 +182,7 @@ def second_pass(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["a", "b", "n", "behind", "parity", "pool", "rest", "rest_later"])
 
-    return docs.select("text").mapInPandas(run, SETS)
+    return docs.select("text").mapInPandas(tidy(run), SETS)
 
 
 def id_filter(ids: DataFrame, size: int) -> np.ndarray:
@@ -241,7 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, sets = None, []
-        for frame in slices(frames, most=1_000_000):
+        for frame in slices(frames, most=500_000):
             out = []
             for x, salt, y, shingles in zip(frame["x"], frame["salt"], frame["y"], shingle_sets(frame["text"].tolist())):
                 if pd.isna(y):
@@ -252,7 +252,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    links = written(dealt.mapInPandas(check, "a long, b long").distinct(), "links")
+    links = written(dealt.mapInPandas(tidy(check), "a long, b long").distinct(), "links")
     for done in (texts, needed, pairs):
         discard(done)
     return links

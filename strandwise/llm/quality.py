@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import held_out, labelled_sample, slices, utf8
+from strandwise.llm.common import give_back, held_out, labelled_sample, slices, tidy, utf8
 
 STEP, CHUNK = 8, 16
 DIM, FILTERS = 8, 32
@@ -127,7 +127,7 @@ def score_documents(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFr
         for frame in slices(frames, most=500_000):
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": scores(net, frame["text"].tolist())})
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -135,8 +135,10 @@ def kept(docs: DataFrame, net: Net, keep: list[str], threshold: float = 0.7) ->
     """The rows of docs that score at least the threshold, with the columns `keep`."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = [scores(net, part["text"].tolist()) for part in slices(iter([texts.to_frame("text")]), most=500_000)]
-        return pd.Series(np.concatenate([np.zeros(0), *out]))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = [scores(net, part["text"].tolist()) for part in slices(iter([texts.to_frame("text")]), most=500_000)]
+            yield pd.Series(np.concatenate([np.zeros(0), *out]))
+        give_back()
 
     return docs.select(*keep).where(score("text") >= threshold)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import held_out, labelled_sample, slices
+from strandwise.llm.common import give_back, held_out, labelled_sample, slices, tidy
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 32, 16
@@ -289,7 +289,7 @@ def score_documents(docs: DataFrame, model: tuple[Net, dict[str, int]], threshol
         for frame in slices(frames, most=500_000):
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": scorer(frame["text"].tolist())})
 
-    scored = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -302,5 +302,7 @@ def kept(docs: DataFrame, model: tuple[Net, dict[str, int]], keep: list[str], th
         for texts in batches:
             out = [scorer(part["text"].tolist()) for part in slices(iter([texts.to_frame("text")]), most=500_000)]
             yield pd.Series(np.concatenate([np.zeros(0), *out]))
+        del scorer
+        give_back()
 
     return docs.select(*keep).where(score("text") < threshold)
