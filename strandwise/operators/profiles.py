@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import ERROR_TYPES, part_of
+from strandwise.operators import flanks
 
 LONGEST_MOTIF = 6
 
@@ -130,13 +131,24 @@ class ErrorProfile(ABC):
     """What errors a place of a read may hold. New profiles extend this class."""
 
     score_kind = "score"
+    #: How many bases on each side of a place its scores depend on; None: the whole read.
+    reach: int | None = None
 
     @abstractmethod
     def scores(self, at: DataFrame) -> DataFrame:
         """read_id, orig_pos, type and score of places (read_id, seq, orig_pos)."""
 
     def read_scores(self, reads: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
-        return self.scores(places(reads, first, last))
+        """The scores of every place of reads, or of those from first to last; with a reach, piece by piece of long reads."""
+        if self.reach is None:
+            return self.scores(places(reads, first, last))
+        cut = flanks.pieces(reads, self.reach, self.reach)
+        begin = F.greatest(F.col("piece") * flanks.SPAN, F.lit(first))
+        end = F.least(F.col("piece") * flanks.SPAN + flanks.SPAN, F.col("size"), *([] if last is None else [F.lit(last + 1)])) - 1
+        cut = cut.withColumn("from", begin - F.col("begin")).withColumn("to", end - F.col("begin")).where(F.col("from") <= F.col("to"))
+        at = cut.select(F.struct("read_id", "begin").alias("read_id"), F.col("part").alias("seq"), F.explode(F.sequence("from", "to").cast("array<bigint>")).alias("orig_pos"))
+        each = self.scores(at)
+        return each.withColumn("orig_pos", F.col("orig_pos") + F.col("read_id.begin")).withColumn("read_id", F.col("read_id.read_id"))
 
     def kmer_scores(self, kmers_: DataFrame, pos: int) -> DataFrame:
         return self.scores(kmer_places(kmers_, pos)).withColumnRenamed("read_id", "kmer")
@@ -155,6 +167,7 @@ class OverallProfile(ErrorProfile):
     """
 
     score_kind = "log probability"
+    reach = 0
 
     def __init__(self, rates: DataFrame, matrix: DataFrame, bases: int):
         """rates: type and log_p as of overall(); matrix: as of substitution_matrix(); bases: of all reads."""
@@ -183,6 +196,7 @@ class MotifProfile(ErrorProfile):
     """The strongest motif over a place for each type; CORRECT and NODEL score 0, a substitution from the base that was read has no row."""
 
     score_kind = "z-score"
+    reach = LONGEST_MOTIF - 1
 
     def __init__(self, z: DataFrame):
         self.z = z
