@@ -560,4 +560,5 @@ HEADLINE = (
     "kmer_count_both_strands", "kmer_count_forward", "sequence_functions", "error_candidates", "read_length_histogram", "expected_counts_circular", "expected_counts_linear",
     "bias_from_reference", "bias_from_reads", "bias_from_alignment", "bias_lookup", "kmer_classes", "kmer_rule_models", "true_corrections", "true_corrections_both_strands",
     "overall_profile", "substitution_matrix", "motif_counts", "motif_scores", "strongest_motif", "substitution_corrections", "corrected_reads", "confusion_counts", "correction_metrics",
+    "correct_reads", "overall_lookup", "motif_lookup", "unique_windows",
 )
