@@ -76,11 +76,15 @@ def by_kmers(reads: DataFrame, known: DataFrame, k: int, indels: bool = True, be
     substitution. Several errors that would do leave the place as it is.
     """
     at = flanks.flanked(unknown_places(reads, known, k), reads, k + before, k + 1)
+    return explained(at, known.select("kmer").distinct(), k, ["read_id", "orig_pos"], indels, before)
+
+
+def explained(at: DataFrame, names: DataFrame, k: int, keys: list[str], indels: bool = True, before: int = BEFORE) -> DataFrame:
+    """keys and type of places (at: keys, place and flank) that one error alone explains: without it, both windows of size k are among names (kmer, each once)."""
     tried = _mended(candidates(at, indels)).where(F.length("mended") >= k)
-    tried = tried.select("read_id", "orig_pos", "type", _window(0, k).alias("kmer"), _window(before, k).alias("earlier"))
-    names = known.select("kmer").distinct()
+    tried = tried.select(*keys, "type", _window(0, k).alias("kmer"), _window(before, k).alias("earlier"))
     whole = tried.join(names, "kmer", "left_semi").join(names.withColumnRenamed("kmer", "earlier"), "earlier", "left_semi")
-    return single(whole, ["read_id", "orig_pos"])
+    return single(whole, keys)
 
 
 def single(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -78,3 +78,8 @@ def clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id and a made-up MD tag: two substitutions with a deletion between."""
     return simulated(spark, sf_dir).selectExpr("read_id", "concat(read_id % 20, 'A', read_id % 7, '^AC', read_id % 5, 'T', 30) as md")
+
+
+def gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id and seq of error-free reads in which two to five bases from the 25th on are missing, with an underscore in their place."""
+    return _starts(spark, sf_dir).selectExpr("read_id", "concat(left(t, 24), '_', substring(t, cast(27 + read_id % 4 as int), 50)) as seq")

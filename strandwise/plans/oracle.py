@@ -181,6 +181,21 @@ _TRIED = """tried AS (SELECT read_id, orig_pos, type, CASE WHEN type LIKE 'SUB%'
 _CORRECTED = f"""{_kmers('gk', 'genome', 11)}, {_both('known', 'gk')}, {_KINDS},
 wrong AS (SELECT read_id, seq, p AS orig_pos FROM (SELECT read_id, seq, unnest(range(0, length(seq))) AS p FROM sim WHERE length(seq) >= 11) e WHERE NOT EXISTS (SELECT 1 FROM known WHERE kmer = substr(seq, least(p, length(seq) - 11) + 1, 11))),
 {_TRIED}, fits AS (SELECT * FROM tried WHERE length(s) >= 11 AND EXISTS (SELECT 1 FROM known WHERE kmer = substr(s, greatest(least(orig_pos, length(s) - 11), 0) + 1, 11)) AND EXISTS (SELECT 1 FROM known WHERE kmer = substr(s, greatest(least(orig_pos - 5, length(s) - 11), 0) + 1, 11)))"""
+_IN_ORDER = f"""{_kmers('gk', 'genome', 11)}, {_both('known', 'gk')}, {_KINDS},
+walk AS (SELECT read_id, seq, CAST(0 AS BIGINT) AS spot, CAST(-1 AS BIGINT) AS orig_pos, length(seq) AS size, '' AS type FROM sim WHERE length(seq) >= 11
+    UNION ALL SELECT read_id, CASE WHEN ways <> 1 THEN seq WHEN kind LIKE 'SUB%' THEN left(seq, spot) || right(kind, 1) || substr(seq, spot + 2) WHEN kind = 'INSERTION' THEN left(seq, spot) || substr(seq, spot + 2)
+            ELSE left(seq, spot + 1) || right(kind, 1) || substr(seq, spot + 2) END,
+        spot + CASE WHEN ways <> 1 OR kind LIKE 'SUB%' THEN 1 WHEN kind = 'INSERTION' THEN 0 ELSE 2 END, orig_pos + 1, size, CASE WHEN ways = 1 THEN kind ELSE '' END
+    FROM (SELECT read_id, seq, spot, orig_pos, size, count(*) FILTER (holds) AS ways, min(kind) FILTER (holds) AS kind
+        FROM (SELECT e.*, own.kmer IS NULL AND first.kmer IS NOT NULL AND earlier.kmer IS NOT NULL AND length(s) >= 11 AND NOT (kind LIKE 'SUB%' AND right(kind, 1) = substr(seq, spot + 1, 1)) AND (kind LIKE 'SUB%' OR spot < length(seq) - 1) AS holds
+            FROM (SELECT w.read_id, w.seq, w.spot, w.orig_pos, w.size, k.type AS kind, CASE WHEN k.type LIKE 'SUB%' THEN left(seq, spot) || right(k.type, 1) || substr(seq, spot + 2)
+                    WHEN k.type = 'INSERTION' THEN left(seq, spot) || substr(seq, spot + 2) ELSE left(seq, spot + 1) || right(k.type, 1) || substr(seq, spot + 2) END AS s
+                FROM walk w JOIN kinds k ON number BETWEEN 1 AND 9 WHERE w.orig_pos + 1 < w.size) e
+            LEFT JOIN known own ON own.kmer = substr(seq, least(spot, length(seq) - 11) + 1, 11)
+            LEFT JOIN known first ON first.kmer = substr(s, greatest(least(spot, length(s) - 11), 0) + 1, 11)
+            LEFT JOIN known earlier ON earlier.kmer = substr(s, greatest(least(spot - 5, length(s) - 11), 0) + 1, 11))
+        GROUP BY read_id, seq, spot, orig_pos, size)),
+predicted AS (SELECT read_id, orig_pos, type FROM walk WHERE type <> '')"""
 _HELD = f"""{_STRANDED}, held AS (SELECT w, count(*) AS c FROM (SELECT substr(seq, pos + 1, n) AS w FROM placed_strands, range(11, 52) t(n) WHERE pos + n <= length(seq)) GROUP BY w)"""
 _FIRSTS = f"""{_HELD}, spots AS (SELECT read_id, seq, unnest(range(0, length(seq) - 10)) AS start FROM sim WHERE length(seq) >= 11), reached AS (SELECT *, start + 11 + 2 * ((length(seq) - start - 11) // 2) AS reach FROM spots),
 rungs AS (SELECT read_id, start, t, 11 + 2 * t AS n, substr(seq, start + 1, 11 + 2 * t) AS w FROM reached, range(0, 21) r(t) WHERE start + 11 + 2 * t <= reach
@@ -309,6 +324,14 @@ SQL: dict[str, str] = {
     "kmer_score_features": _kmer_scores(),
     "training_texts": f"""WITH {_SIM}, {_KINDS} SELECT read_id, CASE WHEN number <= 5 THEN 'base' ELSE 'gap' END AS kind, ascii(substr(seq, orig_pos + 1, 1)) || ';' || orig_pos || ';' || length(seq) || ';' || number AS row FROM planted JOIN sim USING (read_id) JOIN kinds USING (type)""",
     "correct_reads": f"WITH {_SIM}, {_CORRECTED} SELECT read_id, orig_pos, min(type) AS type FROM fits GROUP BY 1, 2 HAVING count(*) = 1",
+    "correct_reads_in_order": f"WITH RECURSIVE {_SIM}, {_IN_ORDER} SELECT read_id, orig_pos, type FROM predicted",
+    "correction_metrics_in_order": _metrics(_IN_ORDER, _KINDLESS).replace("WITH", "WITH RECURSIVE", 1),
+    "closed_gaps": f"""WITH RECURSIVE {_SIM}, {_kmers('gk', 'genome', 11)}, {_both('known', 'gk')}, gapped AS (SELECT read_id, left(t, 24) AS a, substr(t, 27 + read_id % 4) AS b FROM starts),
+        walk AS (SELECT read_id, right(a, 10) AS s, left(b, 10) AS goal FROM gapped UNION ALL SELECT read_id, s || right(kmer, 1), goal FROM walk JOIN known ON left(kmer, 10) = right(s, 10) WHERE length(s) < 26),
+        met AS (SELECT read_id, substr(s, 11, length(s) - 20) AS fill FROM walk WHERE length(s) >= 20 AND right(s, 10) = goal),
+        shortest AS (SELECT read_id, CAST(least(count(*), 2) AS INTEGER) AS ways, min(fill) AS fill FROM met WHERE length(fill) = (SELECT min(length(m.fill)) FROM met m WHERE m.read_id = met.read_id) GROUP BY read_id),
+        each AS (SELECT read_id, a, b, coalesce(ways, 0) AS ways, CASE WHEN ways = 1 THEN fill END AS fill FROM gapped LEFT JOIN shortest USING (read_id))
+        SELECT read_id, CAST(24 AS BIGINT) AS orig_pos, fill, CAST(ways AS INTEGER) AS ways, a || coalesce(fill, '_') || b AS corrected FROM each""",
     "correct_reads_growing": f"WITH {_SIM}, {_GROWING} SELECT read_id, orig_pos, type FROM chosen WHERE type <> ''",
     "correct_reads_naive": f"WITH {_SIM}, {_MOTIF_LOOKUP}, {_LIKELY} {_NAIVE}",
     "corrected_texts": f"""WITH {_SIM}, texts AS (SELECT read_id, string_agg(chr(10) || type || ' ' || orig_pos || ' ' || substr(seq, orig_pos + 1, 1) || ' ' || CASE WHEN type = 'INSERTION' THEN '.' WHEN type LIKE 'SUB%' THEN right(type, 1) ELSE substr(seq, orig_pos + 1, 1) || right(type, 1) END || ' 1.0', '' ORDER BY type || ' ' || orig_pos) AS lines FROM planted JOIN sim USING (read_id) GROUP BY read_id)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequence as S
-from strandwise.operators import classify, correction, counting, features, ladders, learning, profiles, suffixes, truth
+from strandwise.operators import classify, correction, counting, features, gaps, in_order, ladders, learning, profiles, suffixes, truth
 from strandwise.plans import fixtures, oracle
 from strandwise.sources import stores
 
@@ -465,6 +465,12 @@ def correct_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.by_kmers(fixtures.simulated(spark, sf_dir), _known(spark, sf_dir), K)
 
 
+@query
+def correct_reads_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from left to right: each place is judged with all places before it mended."""
+    return in_order.by_kmers(fixtures.simulated(spark, sf_dir), _known(spark, sf_dir), K)
+
+
 @query
 def correct_reads_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by k-mers that grow while they are repetitive or leave a choice, as far as the read goes."""
@@ -533,6 +539,21 @@ def correction_metrics_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query
+def correction_metrics_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well correction in reading order finds the planted errors."""
+    table = correction.confusion(fixtures.planted(spark, sf_dir), correct_reads_in_order(spark, sf_dir), fixtures.simulated(spark, sf_dir))
+    return correction.metrics(table).select("category", *[F.round(c, 6).alias(c) for c in ("gain", "sensitivity", "specificity", "f1")])
+
+
+@query
+def closed_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one shortest string of up to six bases that closes each gap of the gapped reads, and the read with it."""
+    reads = fixtures.gapped(spark, sf_dir)
+    fills = gaps.closed(reads, _known(spark, sf_dir), K, longest=6)
+    return gaps.filled(reads, fills).join(fills, "read_id").select("read_id", "orig_pos", "fill", "ways", "corrected")
+
+
 # Windows of any size.
 
 
