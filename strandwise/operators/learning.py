@@ -7,15 +7,18 @@ over in training and get no class; no rows, or rows of one label only, raise an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.sequence import KMER_TYPES, kmer_type
 from strandwise.operators import classify
+from strandwise.session import written
 
 # The features of k-mers, in the order of their training rows.
 KMER_FEATURES = ("ZScore", "gcContent", "size", "observedCount", "biasCorrectedObservedCount", "expectedCountPusm")
@@ -29,6 +32,35 @@ def drawn(rows: DataFrame, share: float, seed: int, *keys: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
 
+def _border(buckets: DataFrame, want: DataFrame) -> DataFrame:
+    """One row: the bucket (b) that holds the row with number `want` if rows are counted by bucket, and how many rows are wanted of it; the last bucket if there are fewer."""
+    counts = buckets.groupBy("b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = counts.select("b", before.alias("before")).join(F.broadcast(want)).where("before < want")
+    return met.agg(F.max("b").alias("b"), F.max_by(F.col("want") - F.col("before"), "b").alias("want"))
+
+
+def least(rows: DataFrame, most: int, order: Column, key: str) -> DataFrame:
+    """The `most` rows of least order (a hash: a long), ties by key: the rows of orderBy(order, key).limit(most) without sorting them all.
+
+    Rows are counted by the first 16 bits of their order, those of the border bucket by the next 16; only those that share
+    all 32 bits with the border are sorted. Keys must be unique, so these are few; the counts have 65,536 rows at most. rows are read four times.
+    """
+    hashed = rows.withColumn("__order", order)
+    high, low = F.shiftright("__order", 48), F.pmod(F.shiftright("__order", 32), F.lit(1 << 16))
+    hashed = hashed.withColumns({"__high": high, "__low": low})
+    want = rows.sparkSession.range(1).select(F.lit(most).cast("long").alias("want"))
+    first = _border(hashed.select(F.col("__high").alias("b")), want)
+    inside = hashed.join(F.broadcast(first.select(F.col("b").alias("__b"))), F.col("__high") == F.col("__b")).drop("__b")
+    second = _border(inside.select(F.col("__low").alias("b")), first.select("want"))
+    marks = first.select(F.col("b").alias("__b")).crossJoin(F.broadcast(second.select(F.col("b").alias("__c"), "want")))
+    met = hashed.join(F.broadcast(marks))
+    sure = met.where((F.col("__high") < F.col("__b")) | ((F.col("__high") == F.col("__b")) & (F.col("__low") < F.col("__c"))))
+    edge = met.where((F.col("__high") == F.col("__b")) & (F.col("__low") == F.col("__c")))
+    edge = edge.withColumn("__rank", F.row_number().over(Window.orderBy("__order", key))).where(F.col("__rank") <= F.col("want"))
+    return sure.select(*rows.columns).unionByName(edge.select(*rows.columns))
+
+
 def kmer_sample(reads: DataFrame, genome: DataFrame, k: int, seed: int = 1, most: int = MOST_ROWS) -> DataFrame:
     """kmer and label: at most `most` (and half of all that are possible) distinct k-mers, a third of them out of the genome, the others out of the reads.
 
@@ -37,8 +69,9 @@ def kmer_sample(reads: DataFrame, genome: DataFrame, k: int, seed: int = 1, most
     both = classify.counts_of(genome, [k])
     size = min(most, 4**k // 2)
     order = F.xxhash64(F.lit(seed), "kmer")
-    first = classify.counting.count_forward(genome, k).select("kmer").orderBy(order, "kmer").limit(size // 3)
-    rest = classify.counting.count_both(reads, k).select("kmer").join(first, "kmer", "left_anti").orderBy(order, "kmer").limit(size - size // 3)
+    first = written(least(written(classify.counting.count_forward(genome, k).select("kmer"), "sample-pool"), size // 3, order, "kmer"), "sample-first")
+    rest = written(classify.counting.count_both(reads, k).select("kmer").join(first, "kmer", "left_anti"), "sample-pool")
+    rest = least(rest, size - size // 3, order, "kmer")
     each = classify.by_genome(first.unionByName(rest), both)
     number = F.array_position(F.array(*map(F.lit, KMER_TYPES)), F.col("class")) - 1
     return each.select("kmer", number.cast("int").alias("label"))
@@ -79,6 +112,46 @@ class RuleModel:
         return rows.withColumn("prediction", rule.cast("double"))
 
 
+class GaussianModel:
+    """Gaussian naive Bayes from one aggregate: rows of each label, and mean and variance of each feature within it.
+
+    table: label, n and stats (an array of mean and variance, in the order of the features). As many rows as there are
+    labels. Variances have 1e-9 of the greatest variance of a feature over all rows added, so none is 0 unless all are; then
+    a feature without any variance takes no part. Equal scores go to the smaller label. Rows with a null feature get no row.
+    """
+
+    def __init__(self, table: DataFrame, features: list[str]):
+        self.table, self.features = table, features
+
+    @classmethod
+    def learned(cls, rows: DataFrame, features: list[str], label: str = "label") -> GaussianModel:
+        whole = rows.where(" and ".join(f"`{f}` is not null" for f in features)).select(F.col(label).cast("int").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
+        each = whole.groupBy("label").agg(F.count("*").alias("n"), *[a(f).alias(f"{name}_{i}") for i, f in enumerate(features) for name, a in (("mean", F.avg), ("var", F.var_pop))])
+        extra = whole.agg((F.lit(1e-9) * F.greatest(*[F.var_pop(f) for f in features], F.lit(0.0))).alias("extra"))
+        stats = F.array(*[F.struct(F.col(f"mean_{i}").alias("mean"), (F.col(f"var_{i}") + F.col("extra")).alias("variance")) for i in range(len(features))])
+        return cls(written(each.join(F.broadcast(extra)).select("label", "n", stats.alias("stats")), "gaussian-model"), features)
+
+    def scores(self, rows: DataFrame) -> DataFrame:
+        """rows with scores: an array of (label, score), the score the log of prior times likelihood."""
+        one = self.table.agg(F.sort_array(F.collect_list(F.struct("label", "n", "stats"))).alias("__model"), F.sum("n").alias("__all"))
+        met = rows.where(" and ".join(f"`{f}` is not null" for f in self.features)).join(F.broadcast(one))
+
+        def score(m: Column) -> Column:
+            out = F.log(m["n"] / F.col("__all"))
+            for i, f in enumerate(self.features):
+                mean, variance = m["stats"][i]["mean"], m["stats"][i]["variance"]
+                off = F.col(f).cast("double") - mean
+                out = out + F.when(variance > 0, -0.5 * F.log(2 * math.pi * variance) - off * off / (2 * variance)).otherwise(0.0)
+            return F.struct(m["label"].alias("label"), out.alias("score"))
+
+        return met.withColumn("scores", F.transform("__model", score)).drop("__model", "__all")
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with prediction, the label of the best score."""
+        best = F.array_max(F.transform("scores", lambda s: F.struct(s["score"].alias("score"), (-s["label"]).alias("minus"))))
+        return self.scores(rows).withColumn("prediction", (-best["minus"]).cast("double")).drop("scores")
+
+
 def zoo(features: list[str], seed: int) -> dict[str, Pipeline]:
     """Four families of models over the features, three of them with balanced weights."""
     vector = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")

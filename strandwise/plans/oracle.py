@@ -346,3 +346,14 @@ SQL: dict[str, str] = {
         SELECT read_id, cut.pos, coalesce(max(n) FILTER (c >= 1), 0) AS once, coalesce(max(n) FILTER (c >= 2), 0) AS twice FROM cut LEFT JOIN held USING (w) GROUP BY read_id, cut.pos""",
     "grown_starts": f"WITH {_SIM}, {_FIRSTS} SELECT read_id, start, CASE c WHEN 0 THEN 'UNTRUSTED' WHEN 1 THEN 'TRUSTED' ELSE 'REPEAT' END AS class, n FROM firsts",
 }
+
+_FEATURES = ("ZScore", "gcContent", "size", "observedCount", "biasCorrectedObservedCount", "expectedCountPusm")
+_MODEL = f"""WITH drawn AS ({SQL['kmer_training_rows']}), split AS (SELECT *, left(md5(kmer), 1) IN ('0', '1', '2', '3', '4') AS held FROM drawn),
+learned AS (SELECT label AS said, count(*) AS n, {', '.join(f'avg("{f}") AS m{i}, var_pop("{f}") AS v{i}' for i, f in enumerate(_FEATURES))} FROM split WHERE NOT held GROUP BY label),
+extra AS (SELECT 1e-9 * greatest({', '.join(f'var_pop("{f}")' for f in _FEATURES)}) AS x FROM split WHERE NOT held),
+scored AS (SELECT kmer, label, said, ln(n / (SELECT sum(n) FROM learned)::DOUBLE) + {' + '.join(f'(-0.5 * ln(2 * pi() * (v{i} + x)) - ("{f}" - m{i}) * ("{f}" - m{i}) / (2 * (v{i} + x)))' for i, f in enumerate(_FEATURES))} AS score FROM split, learned, extra WHERE held),
+judged AS (SELECT kmer, label, said AS prediction FROM scored QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY score DESC, said) = 1)"""
+SQL["kmer_model_classes"] = f"{_MODEL} SELECT * FROM judged"
+SQL["kmer_model_report"] = f"""{_MODEL}, names AS (SELECT label FROM judged UNION SELECT prediction FROM judged),
+counted AS (SELECT n.label, count(*) FILTER (j.label = n.label AND prediction = n.label) AS hit, count(*) FILTER (prediction = n.label) AS said, count(*) FILTER (j.label = n.label) AS support FROM names n, judged j GROUP BY n.label)
+SELECT label, round(CASE WHEN said > 0 THEN hit / said::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN support > 0 THEN hit / support::DOUBLE ELSE 0 END, 6) AS recall, round(2 * hit / (said + support)::DOUBLE, 6) AS f1, support FROM counted"""

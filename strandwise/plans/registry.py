@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandwise.functions import sequence as S
 from strandwise.operators import classify, correction, counting, features, gaps, in_order, ladders, learning, profiles, suffixes, truth
 from strandwise.plans import fixtures, oracle
+from strandwise.session import written
 from strandwise.sources import stores
 
 K = 11
@@ -234,6 +235,26 @@ def kmer_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kmer", *[F.round(c, 5).alias(c) for c in learning.KMER_FEATURES], "label")
 
 
+def _judged_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The held-out training rows (those whose name has a digest that begins with 0 to 4) with scores by a Gaussian model of the others."""
+    rows = written(kmer_training_rows(spark, sf_dir), "model-rows")
+    held = F.left(F.md5("kmer"), F.lit(1)).isin(*"01234")
+    return learning.GaussianModel.learned(rows.where(~held), list(learning.KMER_FEATURES)).transform(rows.where(held))
+
+
+@query
+def kmer_model_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes that a trained model gives to k-mers it has not seen."""
+    return _judged_kmers(spark, sf_dir).select("kmer", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query
+def kmer_model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of each class on those k-mers."""
+    out = learning.report(_judged_kmers(spark, sf_dir))
+    return out.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @query
 def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows each label has, against the least, the most and the mean."""

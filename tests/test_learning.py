@@ -38,3 +38,44 @@ def test_best_model_is_kept(spark, rows, tmp_path, monkeypatch):
     assert all(abs(r.p - 1) < 1e-6 and r.n == 4 for r in p)
     learning.save_model(learning.RuleModel("naive"), str(tmp_path / "rule"))
     assert learning.load_model(str(tmp_path / "rule")).name == "naive"
+
+
+@pytest.mark.parametrize("most", [0, 1, 50, 299, 300, 1000])
+def test_least_rows(rows, most):
+    for order in (F.xxhash64("kmer"), F.pmod(F.xxhash64("kmer"), F.lit(7)).cast("long"), F.shiftleft(F.pmod(F.xxhash64("kmer"), F.lit(9)).cast("long"), 32)):
+        found = learning.least(rows, most, order, "kmer")
+        assert found.columns == rows.columns
+        assert sorted(found.collect()) == sorted(rows.orderBy(order, "kmer").limit(most).collect())
+
+
+def test_least_rows_of_none_and_without_one_sort(rows):
+    assert learning.least(rows.where("label > 9"), 5, F.xxhash64("kmer"), "kmer").count() == 0
+    plan = learning.least(rows, 5, F.xxhash64("kmer"), "kmer")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "rangepartitioning" not in plan
+
+
+def test_gaussian_model(spark, rows):
+    import math
+
+    more = rows.unionByName(spark.createDataFrame([("n", None, 1.0, 2)], rows.schema)).withColumn("flat", F.lit(3.0))
+    features = ["a", "b", "flat"]
+    model = learning.GaussianModel.learned(more, features)
+    data = [(r.a, r.b, 3.0, r.label) for r in rows.collect()]
+    extra = 1e-9 * max(sum((x[i] - sum(y[i] for y in data) / len(data)) ** 2 for x in data) / len(data) for i in range(3))
+    stats = {}
+    for label in (0, 1, 2):
+        own = [x for x in data if x[3] == label]
+        means = [sum(x[i] for x in own) / len(own) for i in range(3)]
+        stats[label] = len(own), means, [sum((x[i] - means[i]) ** 2 for x in own) / len(own) + extra for i in range(3)]
+
+    def score(x, label):
+        n, means, variances = stats[label]
+        return math.log(n / len(data)) + sum(-0.5 * math.log(2 * math.pi * v) - (a - m) ** 2 / (2 * v) for a, m, v in zip(x, means, variances))
+
+    found = model.scores(more).collect()
+    assert len(found) == len(data)
+    for r in found:
+        assert [s.label for s in r.scores] == [0, 1, 2] and all(abs(s.score - score((r.a, r.b, 3.0), s.label)) < 1e-6 for s in r.scores)
+    said = {r.kmer: r.prediction for r in model.transform(more).collect()}
+    assert said == {r.kmer: float(max((0, 1, 2), key=lambda t: (score((r.a, r.b, 3.0), t), -t))) for r in found}
+    assert learning.macro_f1(model.transform(more)) > 0.8
