@@ -318,7 +318,7 @@ SQL: dict[str, str] = {
     "motif_lookup": f"WITH {_SIM}, {_MOTIF_LOOKUP} SELECT * FROM said",
     "likely_errors": f"WITH {_SIM}, {_MOTIF_LOOKUP}, {_LIKELY} SELECT * FROM likely WHERE type NOT IN ('CORRECT', 'NODEL')",
     "candidate_ranking": f"""WITH {_SIM}, {_OVERALL}, {_EVERY}, ranked AS (SELECT read_id, orig_pos, type, row_number() OVER (PARTITION BY read_id ORDER BY round(log_p, 6) DESC, orig_pos, number) AS rank FROM every JOIN looked USING (base) JOIN kinds USING (type) WHERE log_p IS NOT NULL AND type NOT IN ('CORRECT', 'NODEL'))
-        SELECT read_id, CAST(rank AS INTEGER) AS rank, orig_pos, type FROM ranked WHERE rank <= 20""",
+        SELECT read_id, CAST(rank AS INTEGER) AS rank, orig_pos, type FROM ranked""",
     "features_current_base": _feature_rows(["INSERTION", "SUB_FROM_A", "SUB_FROM_C", "SUB_FROM_G", "SUB_FROM_T"]),
     "features_next_gap": _feature_rows(["MULTIDEL", "DEL_OF_A", "DEL_OF_C", "DEL_OF_G", "DEL_OF_T"]),
     "kmer_score_features": _kmer_scores(),

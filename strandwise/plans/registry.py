@@ -423,8 +423,8 @@ def likely_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty likeliest errors of each read by the overall profile's rounded scores."""
-    return correction.ranking(overall_lookup(spark, sf_dir).where("type not in ('CORRECT', 'NODEL')"), ["read_id"]).where("rank <= 20").select("read_id", "rank", "orig_pos", "type")
+    """All possible errors of each read, ranked by the overall profile's rounded scores."""
+    return correction.ranking(overall_lookup(spark, sf_dir).where("type not in ('CORRECT', 'NODEL')"), ["read_id"]).select("read_id", "rank", "orig_pos", "type")
 
 
 def _features_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
