@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.sequence import complement, reverse_complement
+from strandwise.functions.sequence import complement, part_of, reverse_complement
+from strandwise.session import written
 
 
 def cigar_steps(cigar: Column) -> Column:
@@ -40,27 +41,36 @@ def usable(alignments: DataFrame) -> DataFrame:
     return rows.withColumn("span", F.expr("aggregate(steps, 0, (a, s) -> a + if(s.op in ('M', 'D', 'N', '=', 'X'), s.n, 0))"))
 
 
-def with_reference(rows: DataFrame, genome: DataFrame, least: int = 4096) -> DataFrame:
-    """rows with ref, the stretch of genome under each; the genome is dealt in overlapping tiles, never as whole contigs."""
-    longest = rows.agg(F.coalesce(F.max("span"), F.lit(0)).alias("s")).first().s
-    tile = max(least, longest)
-    tiles = genome.select("contig", F.col("seq").alias("g"), F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / tile))).alias("tile")).select(
-        "contig", "tile", F.expr(f"substring(g, cast(tile * {tile} + 1 as int), {2 * tile})").alias("part")
-    )
-    met = rows.withColumn("tile", F.floor(F.col("begin_pos") / tile)).join(tiles, ["contig", "tile"])
-    return met.withColumn("ref", F.expr(f"substring(part, cast(begin_pos - tile * {tile} + 1 as int), span)")).drop("part", "tile")
+def with_reference(rows: DataFrame, genome: DataFrame, least: int = 4096, deep: int = 50_000) -> DataFrame:
+    """rows with ref, the stretch of genome under each; the genome is dealt in overlapping tiles, never as whole contigs.
+
+    Tiles under more than `deep` rows are dealt as several copies, each for a share of the rows, so that a small genome
+    under many reads is not the work of as few tasks as it has tiles.
+    """
+    cell = F.floor(F.col("begin_pos") / least)
+    cells = written(rows.groupBy("contig", cell.alias("cell")).agg(F.count("*").alias("n"), F.max("span").alias("span")), "tile-depths")
+    tile = least * max(1, -(-cells.agg(F.coalesce(F.max("span"), F.lit(0)).alias("s")).first().s // least))
+    depth = cells.groupBy("contig", F.floor(F.col("cell") * least / tile).alias("tile")).agg(F.sum("n").alias("n"))
+    copies = depth.where(F.col("n") > deep).select("contig", "tile", F.ceil(F.col("n") / deep).alias("copies"))
+    n = F.coalesce("copies", F.lit(1).cast("long"))
+    starts = genome.where(F.length("seq") > 0).select("contig", F.col("seq").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("seq") - 1) / tile))).alias("tile"))
+    tiles = starts.select("contig", "tile", part_of(F.col("g"), F.col("tile") * tile, 2 * tile).alias("part"))
+    tiles = tiles.join(copies, ["contig", "tile"], "left").select("contig", "tile", "part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("copy"))
+    met = rows.withColumn("tile", F.floor(F.col("begin_pos") / tile)).join(copies, ["contig", "tile"], "left")
+    met = met.withColumn("copy", F.pmod(F.xxhash64("read_id", "begin_pos"), n)).drop("copies").join(tiles, ["contig", "tile", "copy"])
+    return met.withColumn("ref", part_of(F.col("part"), F.col("begin_pos") - F.col("tile") * tile, F.col("span"))).drop("part", "tile", "copy")
 
 
 def true_corrections(alignments: DataFrame, genome: DataFrame) -> DataFrame:
     """read_id, orig_pos (in the read as sequenced, from 0), type and ref_pos of each true error."""
     rows = with_reference(usable(alignments), genome)
     steps = rows.select("read_id", "flag", "begin_pos", "seq", "ref", F.length("seq").alias("size"), F.inline("steps"))
-    each = steps.where(F.col("op").isin("M", "=", "X", "I") | (F.col("op") == "D")).select(
-        "*", F.explode(F.when(F.col("op") == "D", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))).alias("i")
-    )
-    base = F.expr("substring(seq, read_at + i + 1, 1)")
-    other = F.expr("substring(ref, ref_at + i + 1, 1)")
-    each = each.withColumn("other", other).where((F.col("op").isin("I", "D")) | (base != other))
+    # Only places that differ are written out, so that work grows with a read's length and rows with its errors.
+    letters = [F.split(part_of(F.col(c), F.col(at), F.col("n")), "") for c, at in (("seq", "read_at"), ("ref", "ref_at"))]
+    differs = F.filter(F.transform(F.zip_with(*letters, lambda a, b: ~a.eqNullSafe(b)), lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
+    which = F.when(F.col("op") == "D", F.array(F.lit(0))).when(F.col("op") == "I", F.sequence(F.lit(0), F.col("n") - 1)).otherwise(differs)
+    each = steps.where(F.col("op").isin("M", "=", "X", "I", "D") & (F.col("n") > 0)).withColumn("i", F.explode(which))
+    each = each.withColumn("other", part_of(F.col("ref"), F.col("ref_at") + F.col("i"), 1))
     back = F.col("flag").bitwiseAND(16) != 0
     strand = F.when(back, complement(F.col("other"))).otherwise(F.col("other"))
     kind = F.when(F.col("op") == "I", "INSERTION").when((F.col("op") == "D") & (F.col("n") > 1), "MULTIDEL").when(F.col("op") == "D", F.concat(F.lit("DEL_OF_"), strand)).otherwise(F.concat(F.lit("SUB_FROM_"), strand))

@@ -1,5 +1,7 @@
 """Operators on hand-made rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,28 @@ def test_alignments(spark):
     }
 
 
+def test_alignments_under_many_reads_and_long_ones(spark):
+    """Tiles dealt as copies give each read the same stretch once; a long read and one past the contig's end are looked at whole."""
+    rng = random.Random(3)
+    text = "".join(rng.choices("ACGT", k=30_000))
+    rows = [(f"r{i}", 0, "c", i % 50, "20M", text[i % 50 : i % 50 + 20]) for i in range(600)] + [("far", 0, "c", 9_000, "20M", text[9_000:9_020])]
+    long = list(text[100:20_100])
+    wrong = sorted(rng.sample(range(20_000), 40))
+    for at in wrong:
+        long[at] = "ACGT"["ACGT".index(long[at]) - 1]
+    past = ("past", 0, "c", 29_990, "12M", text[29_990:] + "AC")
+    schema = "read_id string, flag int, contig string, begin_pos long, cigar string, seq string"
+    genome = spark.createDataFrame([("c", text), ("none", "")], "contig string, seq string")
+    usable = truth.usable(spark.createDataFrame(rows, schema))
+    met = truth.with_reference(usable, genome, least=64, deep=7)
+    assert sorted((r.read_id, r.ref) for r in met.collect()) == sorted((r[0], r[5]) for r in rows)
+    assert sorted(met.columns) == sorted([*usable.columns, "ref"])
+    frame = spark.createDataFrame([("long", 0, "c", 100, "20000M", "".join(long)), past], schema)
+    found = sorted((r.read_id, r.orig_pos, r.type) for r in truth.true_corrections(frame, genome).collect())
+    assert found[:40] == [("long", at, f"SUB_FROM_{text[100 + at]}") for at in wrong] and [f[:2] for f in found[40:]] == [("past", 10), ("past", 11)]
+    assert truth.true_corrections(frame.limit(0), genome).count() == 0
+
+
 def test_confusion(spark):
     truths = spark.createDataFrame([(1, 3, "SUB_FROM_A")], "read_id long, orig_pos long, type string")
     said = spark.createDataFrame([(1, 3, "SUB_FROM_A"), (1, 5, "INSERTION")], truths.schema)
