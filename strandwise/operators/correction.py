@@ -214,6 +214,8 @@ def naive(reads: DataFrame, profile: ErrorProfile, indels: bool = True) -> DataF
 
 
 #: Ways of correcting, by the numbers that settings use for them.
+#: Bases of a read that are mended together: each looks for its fixes among those of its stretch only.
+STRETCH = 64
 CORRECTION_TYPES = ("NAIVE", "KMER_BASED", "KMER_IMPROVED")
 
 
@@ -246,24 +248,38 @@ def apply(reads: DataFrame, corrections: DataFrame) -> DataFrame:
     lists = corrections.groupBy("read_id").agg(F.sort_array(F.collect_list(one)).alias("fixes"))
     met = reads.join(lists, "read_id", "left")
     here = F.sequence(F.lit(0), F.length("seq") - 1)
+    starts = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / STRETCH).cast("int"))
+
+    def stretch(c: Column) -> Column:
+        """One stretch of the read: its start, its bases and qualities (of one more place) and its fixes."""
+        first = c * STRETCH
+        own = F.filter("fixes", lambda f: (f["orig_pos"] >= first) & (f["orig_pos"] < first + STRETCH))
+        quals = [part_of(F.col("qual"), first, STRETCH + 1).alias("qual")] if "qual" in reads.columns else []
+        return F.struct(first.alias("first"), part_of(F.col("seq"), first, STRETCH).alias("seq"), own.alias("fixes"), *quals)
 
     tail = lambda acc: F.substring(acc, F.lit(2), F.length(acc))
 
-    def fixed(p: Column, start: Column, substitute: Callable, more: Callable) -> Column:
-        def step(acc: Column, f: Column) -> Column:
-            return F.when(f["type"] == "INSERTION", tail(acc)).when(f["type"].startswith("SUB"), substitute(acc, f)).otherwise(F.concat(acc, more(f)))
+    def each_place(start: Callable, substitute: Callable, more: Callable) -> Column:
+        """What stands at each place of the read after the fixes of that place; start(stretch, place in it), more(stretch, fix)."""
+
+        def fixed(x: Column, p: Column) -> Column:
+            def step(acc: Column, f: Column) -> Column:
+                return F.when(f["type"] == "INSERTION", tail(acc)).when(f["type"].startswith("SUB"), substitute(acc, f)).otherwise(F.concat(acc, more(x, f)))
+
+            return F.aggregate(F.filter(x["fixes"], lambda f: f["orig_pos"] == x["first"] + p), start(x, p), step)
 
-        return F.aggregate(F.filter("fixes", lambda f: f["orig_pos"] == p), start, step)
+        places = lambda x: F.sequence(F.lit(0), F.length(x["seq"]) - 1)
+        return F.flatten(F.transform(F.transform(starts, stretch), lambda x: F.transform(places(x), lambda p: fixed(x, p))))
 
-    put = lambda f: F.when(f["type"] == "MULTIDEL", "_").otherwise(F.right(f["type"], F.lit(1)))
-    bases = F.transform(here, lambda p: fixed(p, part_of(F.col("seq"), p, 1), lambda acc, f: F.concat(F.right(f["type"], F.lit(1)), tail(acc)), put))
+    put = lambda x, f: F.when(f["type"] == "MULTIDEL", "_").otherwise(F.right(f["type"], F.lit(1)))
+    bases = each_place(lambda x, p: part_of(x["seq"], p, 1), lambda acc, f: F.concat(F.right(f["type"], F.lit(1)), tail(acc)), put)
     plain = F.col("fixes").isNull() | (F.length("seq") == 0)
     out = met.withColumn("__bases", F.when(~plain, bases))
     out = out.withColumn("corrected", F.when(plain, F.col("seq")).otherwise(F.array_join("__bases", "")))
     if "qual" in reads.columns:
-        char = lambda p: part_of(F.col("qual"), p, 1)
-        mean = lambda p: F.when(p + 1 < F.length("qual"), middle_quality(char(p), char(p + 1))).otherwise(char(p))
-        quals = F.transform(here, lambda p: fixed(p, char(p), lambda acc, f: acc, lambda f: mean(f["orig_pos"])))
+        char = lambda x, p: part_of(x["qual"], p, 1)
+        mean = lambda x, p: F.when(p + 1 < F.length(x["qual"]), middle_quality(char(x, p), char(x, p + 1))).otherwise(char(x, p))
+        quals = each_place(char, lambda acc, f: acc, lambda x, f: mean(x, f["orig_pos"] - x["first"]))
         out = out.withColumn("corrected_qual", F.when(plain, F.col("qual")).otherwise(F.array_join(quals, "")))
     places_ = F.flatten(F.transform("__bases", lambda b, p: F.array_repeat(p, F.length(b))))
     none = F.when(F.length("seq") > 0, here).otherwise(F.array().cast("array<int>"))

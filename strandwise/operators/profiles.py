@@ -36,14 +36,17 @@ def overall(corrections: DataFrame, reads: DataFrame) -> DataFrame:
 def substitution_matrix(corrections: DataFrame, reads: DataFrame) -> DataFrame:
     """true_base, read_base and n of the substitutions."""
     subs = corrections.where(F.col("type").startswith("SUB_FROM_")).join(reads.select("read_id", "seq"), "read_id")
-    return subs.groupBy(F.substring("type", -1, 1).alias("true_base"), F.expr("substring(seq, cast(orig_pos + 1 as int), 1)").alias("read_base")).agg(F.count("*").alias("n"))
+    return subs.groupBy(F.substring("type", -1, 1).alias("true_base"), part_of(F.col("seq"), F.col("orig_pos"), 1).alias("read_base")).agg(F.count("*").alias("n"))
 
 
 def windows(at: DataFrame, shortest: int = 1, longest: int = LONGEST_MOTIF) -> DataFrame:
     """at with motif and pos (the place in the motif) for each window of the read over orig_pos."""
-    each = at.withColumn("size", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).withColumn("pos", F.expr("explode(sequence(0, size - 1))"))
-    whole = each.where((F.col("orig_pos") >= F.col("pos")) & (F.col("orig_pos") - F.col("pos") + F.col("size") <= F.length("seq")))
-    return whole.withColumn("motif", F.expr("substring(seq, cast(orig_pos - pos + 1 as int), size)")).drop("size")
+    first = F.greatest(F.col("orig_pos") - (longest - 1), F.lit(0))
+    # Windows are cut out of what lies around the place, which is cut out of the read once.
+    near = at.withColumn("__near", part_of(F.col("seq"), first, 2 * longest)).withColumn("__place", F.col("orig_pos") - first).withColumn("__bases", F.length("seq"))
+    each = near.withColumn("size", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).withColumn("pos", F.expr("explode(sequence(0, size - 1))"))
+    whole = each.where((F.col("orig_pos") >= F.col("pos")) & (F.col("orig_pos") - F.col("pos") + F.col("size") <= F.col("__bases")))
+    return whole.withColumn("motif", part_of(F.col("__near"), F.col("__place") - F.col("pos"), F.col("size"))).drop("size", "__near", "__place", "__bases")
 
 
 def motif_counts(corrections: DataFrame, reads: DataFrame, longest: int = LONGEST_MOTIF) -> DataFrame:

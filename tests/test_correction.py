@@ -248,3 +248,30 @@ def test_long_contigs_are_counted_in_pieces(spark, monkeypatch):
         assert {r.kmer: r.n for r in counting.count_both(frame, k).collect()} == plain
         at = counting.positions(frame.where("contig = 1"), k, ["contig"]).collect()
         assert {r.pos: r.kmer for r in at} == {i: s[i : i + k] for i in range(len(s) - k + 1)} and len(at) == len(s) - k + 1
+
+
+def test_applying_over_the_ends_of_stretches(spark):
+    """Fixes at and beside the ends of stretches, several a place, against a plain loop."""
+    rng = random.Random(4)
+    size = correction.STRETCH * 3 + 1
+    seq, qual = "".join(rng.choices("ACGT", k=size)), "".join(chr(33 + rng.randint(0, 40)) for _ in range(size))
+    places = [correction.STRETCH * i + d for i in range(4) for d in (-1, 0, 1)] + [size - 1]
+    fixes = sorted({(p, rng.choice(ERROR_TYPES[1:11])) for p in places * 2})
+    bases, quals, origins = [], [], []
+    for p in range(size):
+        base, own, q = seq[p], qual[p], qual[p]
+        beside = chr((ord(q) + ord(qual[p + 1])) // 2) if p + 1 < size else q
+        for _, kind in [f for f in fixes if f[0] == p]:
+            if kind == "INSERTION":
+                base, own = base[1:], own[1:]
+            elif kind.startswith("SUB"):
+                base = kind[-1] + base[1:]
+            else:
+                base, own = base + ("_" if kind == "MULTIDEL" else kind[-1]), own + beside
+        bases.append(base)
+        quals.append(own)
+        origins += [p] * len(base)
+    reads = spark.createDataFrame([("r", seq, qual), ("s", seq, qual)], "read_id string, seq string, qual string")
+    found = {r.read_id: r for r in correction.apply(reads, spark.createDataFrame([("r", p, k) for p, k in fixes], "read_id string, orig_pos long, type string")).collect()}
+    assert (found["r"].corrected, found["r"].original_positions, found["s"].corrected) == ("".join(bases), origins, seq)
+    assert found["r"].corrected_qual == "".join(quals)
