@@ -13,6 +13,15 @@ from strandwise.functions.sequence import gc_content
 from strandwise.operators import counting
 
 
+#: Share by which expected counts may differ for the order in which their terms were added: closer values count as equal.
+NOISE = 1e-12
+
+
+def below(a: Column, b: Column | float) -> Column:
+    """a < b, but not for the rounding of sums."""
+    return a < b * (1 - NOISE)
+
+
 def z_score(obs: Column, bias: Column, e: float | Column, sd: float | Column) -> Column:
     e, sd = (x if isinstance(x, Column) else F.lit(x) for x in (e, sd))
     return (obs / bias - e) / sd
@@ -26,12 +35,12 @@ def statistical(z: Column) -> Column:
 def naive(obs: Column, bias: Column, e: float | Column) -> Column:
     """Below half and from one and a half of the expected count."""
     c = obs / bias
-    return F.when(c < 0.5 * e, "UNTRUSTED").when(c < 1.5 * e, "TRUSTED").when(c.isNotNull(), "REPEAT")
+    return F.when(below(c, 0.5 * e), "UNTRUSTED").when(below(c, 1.5 * e), "TRUSTED").when(c.isNotNull(), "REPEAT")
 
 
 def rule_naive(corrected: Column, e: Column) -> Column:
     """The rule model over features: one and a half itself is trusted."""
-    return F.when(corrected < 0.5 * e, 2).when(corrected > 1.5 * e, 0).when(corrected.isNotNull(), 1)
+    return F.when(below(corrected, 0.5 * e), 2).when(below(1.5 * e, corrected), 0).when(corrected.isNotNull(), 1)
 
 
 def rule_statistical(z: Column) -> Column:

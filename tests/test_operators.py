@@ -73,6 +73,13 @@ def test_coverage_over_tiles(spark, monkeypatch):
 def test_classes(spark):
     assert [one(spark, classify.naive(F.col("n"), F.lit(1.0), 10.0), n=n) for n in (4, 5, 14, 15)] == ["UNTRUSTED", "TRUSTED", "TRUSTED", "REPEAT"]
     assert [one(spark, classify.rule_naive(F.col("n"), F.lit(10.0)), n=n) for n in (4, 15, 16)] == [2, 1, 0]
+    # At exactly half and one and a half of what is expected, whatever the sum's last digit.
+    for e in (9.753680270398613, 9.753680270398615, 9.753680270398617, 9.75368027039862):
+        for m in (10, 11, 17, 22):
+            bias = F.lit(m / e)
+            low, high = (F.lit(share * m) for share in (0.5, 1.5))
+            found = F.concat_ws(" ", classify.rule_naive(low / bias, F.lit(e)), classify.rule_naive(high / bias, F.lit(e)), classify.naive(low, bias, e), classify.naive(high, bias, e))
+            assert one(spark, found, n=0) == "1 1 TRUSTED REPEAT"
 
 
 def test_alignments(spark):
