@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -211,8 +212,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
 BYTE_BPE_CUT = re.compile(r" (?=\S)")
 #: A token never spans these, for tokenizers that drop white space.
 BLANK_CUT = re.compile(r"[ \n\t\r]+")
-#: Distinct chunks that a worker remembers, in two generations, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 200
+#: Distinct chunks that a worker remembers, in two generations (or, where no other stage needs its memory, MANY), and the longest of them.
+REMEMBERED, MANY, LONGEST = 500_000, 2_000_000, 200
 #: Marks that, after a letter, begin a token of their own in all of these patterns and go on to the end of the chunk.
 TAIL = ".,;:!?*#$%&"
 
@@ -227,8 +228,8 @@ class ChunkCache:
     When the newer generation is full it becomes the older one, and what is met again moves back, so common words stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: re.Pattern, lead: str = "", fold: bool = False):
-        self.encode, self.cut, self.lead, self.fold = encode, cut, lead, fold
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: re.Pattern, lead: str = "", fold: bool = False, remembered: int = REMEMBERED):
+        self.encode, self.cut, self.lead, self.fold, self.remembered = encode, cut, lead, fold, remembered
         self.recent: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
         self.plain: dict[str, bytes] = {"": b""}
@@ -254,30 +255,28 @@ class ChunkCache:
         """Puts the chunks' ids into the newer generation (None: to be split by the pattern), those of strings without lead into plain."""
         recent, parts = self.recent, self.parts
         words: set[str] = set()
+        single: list[tuple[str, str, str]] = []
         made: list[tuple[str, list[tuple[str, str]]]] = []
         for x in chunks:
-            if self.lead and x.isalpha():
+            if x.isalpha() and (self.lead or not self.fold or x.islower() or not x.isascii()):
                 words.add(x)
-            elif not self.lead and x.isalpha():
-                made.append((x, [(x.lower() if self.fold and x.isascii() else x, "")]))
-            elif not self.lead:
-                made.append((x, [parts(s) for s in self.cut.split(x) if s]))
-            elif not x or x[0].isspace():
+            elif self.lead and (not x or x[0].isspace()):
                 recent[x] = None
+            elif self.lead or (x and x.isprintable()):
+                single.append((x, *parts(x)))
             else:
-                made.append((x, [parts(x)]))
-        words |= self.recall({a for _, pairs in made for a, _ in pairs})
+                made.append((x, [parts(s) for s in self.cut.split(x) if s]))
+        words |= self.recall({a for _, a, _ in single} | {a for _, pairs in made for a, _ in pairs})
         names = list(words)
-        rest = list(plain.union([b for _, pairs in made for _, b in pairs]).difference(self.plain))
+        rest = list(plain.union([b for _, _, b in single], [b for _, pairs in made for _, b in pairs]).difference(self.plain))
         ids = self.encode([self.lead + w for w in names] + rest)
         recent.update(zip(names, ids))
         self.plain.update(zip(rest, ids[len(names) :]))
+        for x, word, marks in single:
+            if marks or word != x:
+                recent[x] = recent[word] + self.plain[marks]
         for x, pairs in made:
-            if len(pairs) == 1:
-                word, marks = pairs[0]
-                if marks or word != x:
-                    recent[x] = recent[word] + self.plain[marks]
-            else:
+            if len(pairs) != 1 or pairs[0] != (x, ""):
                 recent[x] = b"".join([recent[a] + self.plain[b] for a, b in pairs])
 
     def joined(self, pieces: list[list[str]]) -> list[bytes | None]:
@@ -299,9 +298,9 @@ class ChunkCache:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.recent) > REMEMBERED // 2:
+        if len(self.recent) > self.remembered // 2:
             self.older, self.recent = self.recent, {}
-        if len(self.plain) > REMEMBERED // 10:
+        if len(self.plain) > self.remembered // 10:
             self.plain = {"": b""}
         out = self.joined([t.split(" ") for t in texts])
         odd = [i for i, data in enumerate(out) if data is None]
@@ -313,10 +312,19 @@ class ChunkCache:
 
 #: Letters whose runs the word-level pattern keeps whole and that no normaliser changes beyond their case, then marks that form a token run of their own.
 PLAIN_WORD = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+([.,;:!?*#$%&]+)?")
+#: Words of these letters alone, after a space for byte-level vocabularies.
+PLAIN_LETTERS = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 #: Chunks that go to the library as one text.
 JOINED = 1000
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter by which byte-level vocabularies name each byte."""
+    named = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in named]
+    return {b: b for b in named} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class LibraryEncoder:
     """Distinct chunks through the tokenizers library with add_special_tokens=False, many in one call.
 
@@ -324,8 +332,14 @@ class LibraryEncoder:
     are cut again where the vocabulary shows a border: at tokens that end a word (word-level
     vocabularies), or at tokens that begin with a space (byte-level ones). Chunks whose number of such
     marks isn't known beforehand go alone, as do all of a call whose marks don't add up.
+
+    Normalising and pre-tokenizing take most of the library's time. Words of plain letters, which these steps only
+    lower (word-level vocabularies) and spell by bytes, go spelt like that to the same model behind a split at spaces.
+    Whether the steps do no more than that to any of these letters is asked of them at the start.
     """
 
+    SPELLING = {b: n for b, n in byte_letters().items() if b != 32}
+
     def __init__(self, path: str, words: bool):
         import os
 
@@ -337,6 +351,30 @@ class LibraryEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
         self.mark[[i for t, i in vocabulary.items() if (t.endswith("</w>") if words else t.startswith("\u0120"))]] = True
+        self.model = self.bare()
+
+    def bare(self):
+        """The model behind a split at spaces; None if plain letters need more than that, or hold added tokens."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole, letters = self.tokenizer, "".join(chr(c) for c in range(0x100) if PLAIN_LETTERS.fullmatch(chr(c)))
+        text = letters if self.words else " " + letters
+        normal = whole.normalizer.normalize_str(text) if whole.normalizer else text
+        parts = [p for p, _ in whole.pre_tokenizer.pre_tokenize_str(normal)] if whole.pre_tokenizer else []
+        added = any(PLAIN_LETTERS.search(t.content) and PLAIN_LETTERS.fullmatch(t.content.strip()) for t in whole.get_added_tokens_decoder().values())
+        if added or parts != [self.spelt([text])]:
+            return None
+        settings = json.loads(whole.to_str()) | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "truncation": None, "padding": None}
+        model = Tokenizer.from_str(json.dumps(settings))
+        model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        return model
+
+    def spelt(self, chunks: list[str]) -> str:
+        """Chunks of plain letters as the model's vocabulary spells them, with spaces between."""
+        text = " ".join(chunks).lower() if self.words else "".join(chunks)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.SPELLING)
+        return text if self.words else text.replace(" ", " \u0120")[1:]
 
     def marks(self, chunk: str) -> int:
         """How many marks the chunk's ids hold; 0: not known."""
@@ -352,9 +390,27 @@ class LibraryEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        counts = np.fromiter(map(self.marks, chunks), np.int64, len(chunks))
         out: list[bytes] = [b""] * len(chunks)
-        many, single = np.flatnonzero(counts), np.flatnonzero(counts == 0).tolist()
+        rest = range(len(chunks))
+        if self.model is not None:
+            first, plain = int(not self.words), PLAIN_LETTERS.fullmatch
+            rest, letters = [], []
+            for i, chunk in enumerate(chunks):
+                (letters if plain(chunk, first) and chunk[:first] in ("", " ") else rest).append(i)
+            groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+            for group, encoded in zip(groups, self.model.encode_batch_fast([self.spelt([chunks[i] for i in g]) for g in groups], add_special_tokens=False)):
+                ids = np.array(encoded.ids, "<u4")
+                at = np.flatnonzero(self.mark[ids])
+                if len(at) != len(group):
+                    rest += group
+                    continue
+                ends = (4 * (at + 1 if self.words else np.append(at[1:], len(ids)))).tolist()
+                data = ids.tobytes()
+                for i, begin, end in zip(group, [0, *ends], ends):
+                    out[i] = data[begin:end]
+        counts = np.zeros(len(chunks), np.int64)
+        counts[list(rest)] = [self.marks(chunks[i]) for i in rest]
+        many, single = np.flatnonzero(counts), [i for i in rest if not counts[i]]
         groups = [many[i : i + JOINED].tolist() for i in range(0, len(many), JOINED)]
         texts = [(" " if self.words else "").join([chunks[i] for i in g]) for g in groups]
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
@@ -373,12 +429,13 @@ class LibraryEncoder:
         return out
 
 
-_encoders: dict[tuple[str, bool], ChunkCache] = {}
+_encoders: dict[tuple[str, bool, int], ChunkCache] = {}
 
 
-def library_cache(path: str, words: bool) -> ChunkCache:
+def library_cache(path: str, words: bool, remembered: int = REMEMBERED) -> ChunkCache:
     """The library's encoder behind a chunk cache, kept from task to task by a worker."""
-    if (path, words) not in _encoders:
+    key = path, words, remembered
+    if key not in _encoders:
         encoder = LibraryEncoder(path, words)
-        _encoders[path, words] = ChunkCache(encoder, BLANK_CUT if words else BYTE_BPE_CUT, "" if words else " ", fold=words)
-    return _encoders[path, words]
+        _encoders[key] = ChunkCache(encoder, BLANK_CUT if words else BYTE_BPE_CUT, "" if words else " ", fold=words, remembered=remembered)
+    return _encoders[key]

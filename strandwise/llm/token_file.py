@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import in_order, library_cache
+from strandwise.llm.common import MANY, in_order, library_cache
 from strandwise.session import shared_path, written
 
 MAGIC = b"FWTOKEN1"
@@ -142,17 +142,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int)
     width = width_of(vocabulary)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = library_cache(tokenizer, words=True)
+        encode = library_cache(tokenizer, words=True, remembered=MANY)
         end = np.array([end_id], "<u4").tobytes()
         writer = stream = system = None
         part, target, own = 0, "", ""
         for frame in frames:
             at = 0
+            all_texts, doc_ids = frame["text"].tolist(), frame["doc_id"].tolist()
             while at < len(frame):
                 texts, held = [], 0
                 begin = at
                 while at < len(frame) and held < 1_000_000:
-                    texts.append(frame["text"].iat[at])
+                    texts.append(all_texts[at])
                     held += len(texts[-1])
                     at += 1
                 if writer is None:
@@ -163,7 +164,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int)
                     stream = system.open_output_stream(own)
                     writer = TokenWriter(stream, width)
                 for i, ids in enumerate(encode(texts), begin):
-                    doc_id = frame["doc_id"].iat[i]
+                    doc_id = doc_ids[i]
                     writer.add(None if pd.isna(doc_id) else int(doc_id), np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
