@@ -26,18 +26,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import library_cache, partitions, slices
+from strandwise.llm.common import REMEMBERED, library_cache, partitions, slices
 from strandwise.session import written
 
 #: Most rows of the slot table that go to every task: one a combination and length.
 MOST_SLOTS = 200_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece. remembered: chunks whose ids a worker keeps."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = library_cache(tokenizer, words=False)
+        encode = library_cache(tokenizer, words=False, remembered=remembered)
         end = np.array([end_id], "<u4").tobytes()
         for frame in slices(frames, most=1_000_000):
             rows: list[tuple] = []

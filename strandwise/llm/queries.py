@@ -50,9 +50,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.common import MANY
     from strandwise.llm.packing import pack, pieces
 
-    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
+    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024, remembered=MANY)
     return pack(cut, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
