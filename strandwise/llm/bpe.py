@@ -6,7 +6,8 @@ the leftmost of equal ones. The pairs wait in one bucket a rank, as places in a
 A bitmap of three levels, 64 ways each, marks the ranks whose buckets hold something: three
 find-first-set steps give the next rank. Its bucket is worked off from left to right until a merge
 makes a pair of lower rank, which goes first. Entries whose pair has changed since are skipped when
-they come up. A merge costs a few dictionary look-ups, whatever the length of the pre-token. Many short
+they come up. The first pairs are put into their buckets at once, by a table of byte pairs and one sort. A merge
+costs a few dictionary look-ups, whatever the length of the pre-token. Many short
 pre-tokens share one list, with a byte between them that no token of two or more bytes holds.
 
 Null texts count as empty; an empty text has no ids. Repeated rows, null or equal doc_ids each give a
@@ -25,7 +26,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from strandwise.llm.common import BYTE_BPE_CUT, ChunkCache, slices, utf8
+from strandwise.llm.common import BYTE_BPE_CUT, MANY, ChunkCache, slices, utf8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +54,11 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.byte_ranks = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.pair_ranks = np.full(1 << 16, -1, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pair_ranks[token[0] << 8 | token[1]] = rank
         held = {b for token in ranks if len(token) > 1 for b in token}
         #: 0xFE and 0xFF are in no text's UTF-8.
         self.border = next((bytes([b]) for b in (0xFF, 0xFE) if b not in held), None)
@@ -69,7 +75,7 @@ class Bpe:
             for w in split:
                 part.append(w)
                 held += len(w)
-                if held > 30_000:
+                if held > 100_000:
                     merged += self.merge_list(part)
                     part, held = [], 0
             merged += self.merge_list(part)
@@ -96,9 +102,21 @@ class Bpe:
         buckets, low, middle, top = self.queue.buckets, self.queue.low, self.queue.middle, 0
         after = list(range(1, n + 1))  # where the part that begins here ends
         before = list(range(-1, n))  # where the part to the left begins
-        pair = [get(data[i : i + 2], -1) for i in range(n)]  # rank of this part with the next; -1: no token, or no part begins here
-        pair[n - 1] = -1
-        entering = [(rank, i) for i, rank in enumerate(pair) if rank >= 0]
+        codes = np.frombuffer(data, np.uint8).astype(np.int32)
+        first = np.append(self.pair_ranks[codes[:-1] << 8 | codes[1:]], np.int32(-1))
+        pair = first.tolist()  # rank of this part with the next; -1: no token, or no part begins here
+        ids = self.byte_ranks[codes].tolist()  # of the part that begins here
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        held = first[at]
+        begins = np.flatnonzero(np.diff(held, prepend=-1))
+        places, begins = at.tolist(), begins.tolist()
+        for rank, begin, end in zip(held[begins].tolist(), begins, [*begins[1:], len(places)]):
+            buckets[rank] = places[begin:end]
+            low[rank >> 6] |= 1 << (rank & 63)
+            middle[rank >> 12] |= 1 << (rank >> 6 & 63)
+            top |= 1 << (rank >> 12)
+        entering: list[tuple[int, int]] = []
         while True:
             for rank, i in entering:
                 bucket = buckets[rank]
@@ -138,6 +156,7 @@ class Bpe:
                     break
                 gone = after[i]
                 end = after[i] = after[gone]
+                ids[i] = rank
                 pair[gone] = -1
                 new = -1
                 if end < n:
@@ -155,11 +174,11 @@ class Bpe:
                         if new >= 0:
                             entering.append((new, left))
                             lower = lower or new < rank
-        ids, i = [], 0
+        out, i = [], 0
         while i < n:
-            ids.append(get(data[i : after[i]], -1))
+            out.append(ids[i])
             i = after[i]
-        return ids
+        return out
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         words = [self.pattern.findall(chunk) for chunk in chunks]
@@ -184,7 +203,7 @@ def loaded(path: str, pattern: str) -> tuple[Bpe, ChunkCache, list[str]]:
     """The encoder, its chunk cache and the ids' decimal names, once a worker."""
     if (path, pattern) not in _loaded:
         bpe = Bpe(load_ranks(path), pattern)
-        _loaded[path, pattern] = bpe, ChunkCache(bpe.encode_chunks, BYTE_BPE_CUT, lead=" "), [str(i) for i in range(max(bpe.tokens, default=0) + 1)]
+        _loaded[path, pattern] = bpe, ChunkCache(bpe.encode_chunks, BYTE_BPE_CUT, lead=" ", remembered=MANY), [str(i) for i in range(max(bpe.tokens, default=0) + 1)]
     return _loaded[path, pattern]
 
 
