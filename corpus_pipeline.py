@@ -10,6 +10,8 @@ share a doc_id but not a text stay or go together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,22 @@ from strandwise.llm.common import table
 from strandwise.session import written
 
 
+#: Rows that go to a Python worker at once: whole texts are held there and, as Arrow vectors, beside the JVM's heap.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with at most BATCH_ROWS rows in an Arrow batch of the session; a lower number stays."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score below 0.3 for toxicity."""
     model = toxicity.learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -47,16 +65,16 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each document."""
-    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024)
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, size=1024, lasting=False)
     return packing.pack(cut, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality", keep_good),
-    ("ngram_jaccard", one_of_each_group),
-    ("pii", mask_personal_data),
-    ("packing", pack_sequences),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("quality", in_small_batches(keep_good)),
+    ("ngram_jaccard", in_small_batches(one_of_each_group)),
+    ("pii", in_small_batches(mask_personal_data)),
+    ("packing", in_small_batches(pack_sequences)),
 ]
 
 #: Networks, a random field and a tokenizer have no SQL; tests compare run() with plain versions of the last three stages

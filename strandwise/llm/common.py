@@ -50,7 +50,7 @@ def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Cal
     """run, which gives memory back at the end of a task."""
 
     def tidied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from run(frames)
+        yield from run(frames)  # what run holds goes with it, before memory is given back
         give_back()
 
     return tidied
@@ -432,6 +432,11 @@ class LibraryEncoder:
 _encoders: dict[tuple[str, bool, int], ChunkCache] = {}
 
 
+def forget_encoders() -> None:
+    """Drops what library_cache() has made in this worker, for stages behind which others need its memory."""
+    _encoders.clear()
+
+
 def library_cache(path: str, words: bool, remembered: int = REMEMBERED) -> ChunkCache:
     """The library's encoder behind a chunk cache, kept from task to task by a worker."""
     key = path, words, remembered

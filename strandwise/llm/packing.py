@@ -26,15 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import REMEMBERED, library_cache, partitions, slices
+from strandwise.llm.common import REMEMBERED, forget_encoders, library_cache, partitions, slices, tidy
 from strandwise.session import written
 
 #: Most rows of the slot table that go to every task: one a combination and length.
 MOST_SLOTS = 200_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, remembered: int = REMEMBERED) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each piece. remembered: chunks whose ids a worker keeps."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, remembered: int = REMEMBERED, lasting: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each piece. remembered: chunks whose ids a worker keeps; lasting: from task to task."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = library_cache(tokenizer, words=False, remembered=remembered)
@@ -51,8 +51,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, remem
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
+        if not lasting:
+            forget_encoders()
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInPandas(cut if lasting else tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:

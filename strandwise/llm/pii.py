@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import slices
+from strandwise.llm.common import slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -490,9 +490,15 @@ def redacted(docs: DataFrame, keep: list[str]) -> DataFrame:
             done = b
         return "".join([*parts, text[done:]])
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(mask, na_action="ignore")
+
+    run = tidy(run)
+
     @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(mask, na_action="ignore")
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(batches)
 
     out = docs.select(*keep).withColumn("text", masked("text"))
     if "n_chars" in keep:

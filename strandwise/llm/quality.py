@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import give_back, held_out, labelled_sample, slices, tidy, utf8
+from strandwise.llm.common import held_out, labelled_sample, slices, tidy, utf8
 
 STEP, CHUNK = 8, 16
 DIM, FILTERS = 8, 32
@@ -134,11 +134,15 @@ def score_documents(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFr
 def kept(docs: DataFrame, net: Net, keep: list[str], threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score at least the threshold, with the columns `keep`."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = [scores(net, part["text"].tolist()) for part in slices(iter([texts.to_frame("text")]), most=500_000)]
             yield pd.Series(np.concatenate([np.zeros(0), *out]))
-        give_back()
+
+    run = tidy(run)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(batches)
 
     return docs.select(*keep).where(score("text") >= threshold)

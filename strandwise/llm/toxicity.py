@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import give_back, held_out, labelled_sample, slices, tidy
+from strandwise.llm.common import held_out, labelled_sample, slices, tidy
 
 WORD = re.compile(r"[^\W_]+")
 WINDOW, STRIDE = 32, 16
@@ -296,13 +296,16 @@ def score_documents(docs: DataFrame, model: tuple[Net, dict[str, int]], threshol
 def kept(docs: DataFrame, model: tuple[Net, dict[str, int]], keep: list[str], threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below the threshold, with the columns `keep`."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*model)
         for texts in batches:
             out = [scorer(part["text"].tolist()) for part in slices(iter([texts.to_frame("text")]), most=500_000)]
             yield pd.Series(np.concatenate([np.zeros(0), *out]))
-        del scorer
-        give_back()
+
+    run = tidy(run)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from run(batches)
 
     return docs.select(*keep).where(score("text") < threshold)

@@ -1,7 +1,8 @@
 """Each stage of the pipeline against its operator's own judgement."""
 
 import corpus_pipeline as pipeline
-from strandwise.llm import ngram_join, quality, toxicity
+import pandas as pd
+from strandwise.llm import common, ngram_join, quality, toxicity
 
 
 def test_stages(spark):
@@ -27,3 +28,31 @@ def test_empty_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in out.collect() if r.text) == [(1, "a b c d e f")] and out.count() == 3
     assert pipeline.one_of_each_group(spark, docs.limit(0), "").count() == 0
     assert pipeline.pack_sequences(spark, docs.limit(0), "").count() == 0
+
+
+def test_workers_keep_no_chunks_after_packing(spark):
+    docs = spark.createDataFrame([(1, "first zqleftover word", "x")], "doc_id long, text string, part string")
+    assert pipeline.pack_sequences(spark, docs, "").count() == 1
+
+    def probe(frames):
+        for frame in frames:
+            known = [c for c in common._encoders.values() if any(" zqleftover" in t or "zqleftover" in t for t in (c.recent, c.older))]
+            yield pd.DataFrame({"known": [len(known)] * len(frame)})
+
+    assert {r.known for r in spark.range(64, numPartitions=64).mapInPandas(probe, "known int").collect()} == {0}
+
+
+def test_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(0, 4000, numPartitions=1).selectExpr("id as doc_id", "'call +1 212 555 0100 x' as text")
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        masked = dict(pipeline.STAGES)["pii"](spark, docs, "")
+        sizes = {r.n for r in masked.mapInPandas(lambda frames: (pd.DataFrame({"n": [len(f)]}) for f in frames), "n int").collect()}
+        assert max(sizes) <= pipeline.BATCH_ROWS and masked.where("text like '%<PHONE>%'").count() == 4000
+        spark.conf.set(name, "10")
+        dict(pipeline.STAGES)["pii"](spark, docs, "")
+        assert spark.conf.get(name) == "10"
+    finally:
+        spark.conf.set(name, before)
