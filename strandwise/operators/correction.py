@@ -92,17 +92,33 @@ def single(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.count("*").alias("ways"), F.min("type").alias("type")).where("ways = 1").select(*keys, "type")
 
 
+def distinct_reads(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """read_id and seq of one read for each sequence, that of least read_id; and read_id and first (the one that stands for it) of all reads."""
+    spark = reads.sparkSession
+    named = reads.where("seq is not null").select("read_id", "seq")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # Short rows make much work later: as many files as tasks, so that few reads don't end up in one.
+    once = written(named.groupBy("seq").agg(F.min("read_id").alias("read_id")).select("read_id", "seq").repartition(n, "read_id"), "distinct-reads")
+    copies = named.join(once.withColumnRenamed("read_id", "first"), "seq").select("read_id", "first")
+    return once, written(copies, "read-copies")
+
+
 def by_growing_kmers(reads: DataFrame, classes: ladders.Classes, k: int, indels: bool = True, before: int = BEFORE, starts: DataFrame | None = None) -> DataFrame:
     """read_id, orig_pos and type as by_kmers, with windows that grow while they are repetitive or several errors would do, as far as the read goes.
 
-    classes gives kmer and class of all k-mers of the sizes asked for. starts: ladders.grown_starts or suffixes.grown_starts.
+    classes gives kmer and class of all k-mers of the sizes asked for. starts: ladders.grown_starts or suffixes.grown_starts of
+    these reads; without them, reads of equal sequence are judged once, as nothing else decides.
     A place is looked at if the first window from it that is not REPEAT is UNTRUSTED; behind a place whose windows all
     are REPEAT, a read is left as it is. An error holds at a size if, of the read without it, two windows of that size, from
     the place and from `before` bases further left, are not UNTRUSTED. Sizes rise by two from that of the window that showed
     the place to be wrong; the first at which one error at most holds decides. Each round tries twice as many sizes as the one before, on
     places that are still open.
     """
-    judged = written(starts if starts is not None else ladders.grown_starts(reads, classes, k), "judged-starts")
+    if starts is None:
+        once, copies = distinct_reads(reads)
+        found = by_growing_kmers(once, classes, k, indels, before, ladders.grown_starts(once, classes, k))
+        return found.withColumnRenamed("read_id", "first").join(copies, "first").select("read_id", "orig_pos", "type")
+    judged = written(starts, "judged-starts")
     judged = judged.select("read_id", "size", "class", F.col("n").cast("int").alias("n"), F.explode(_tail(F.col("start"), k)).alias("orig_pos"))
     stop = judged.where("class = 'REPEAT'").groupBy("read_id").agg(F.min("orig_pos").alias("stop"))
     wrong = judged.where("class = 'UNTRUSTED'").join(stop, "read_id", "left").where("stop is null or orig_pos < stop")

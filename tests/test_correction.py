@@ -158,6 +158,18 @@ def test_growing_correction(world):
     assert starts == {at: (kind, window and len(window)) for at, (kind, window) in firsts.items()}
 
 
+def test_equal_reads_are_judged_once(world, monkeypatch):
+    _, _, frame, table = world
+    copies = frame.unionByName(frame.withColumn("read_id", F.col("read_id") + 10_000)).unionByName(frame.withColumn("read_id", F.col("read_id") + 20_000))
+    judged, grown = [], ladders.grown_starts
+    monkeypatch.setattr(ladders, "grown_starts", lambda reads, classes, k: judged.append(reads.count()) or grown(reads, classes, k))
+    classes = lambda sizes: table.where(F.length("kmer").isin(sizes))
+    found = {(r.read_id, r.orig_pos, r.type) for r in correction.by_growing_kmers(copies, classes, K).collect()}
+    once = {x for x in found if x[0] < 10_000}
+    assert judged == [frame.where("seq is not null").select("seq").distinct().count()]
+    assert once and found == {(i + more, at, kind) for i, at, kind in once for more in (0, 10_000, 20_000)}
+
+
 class Letters(profiles.ErrorProfile):
     """A made-up profile: every type has a score by its number and the base."""
 
