@@ -37,18 +37,26 @@ CHARS = 128
 SEED = 23
 #: Windows read at a time.
 BLOCK = 512
-#: Inputs that a worker remembers projected; of words, what they are read as for twice as many.
+#: Inputs that a worker remembers projected, or twice the vocabulary if that is more.
 REMEMBERED = 60_000
 
 Net = dict[str, np.ndarray]
 
 
+def coded(text: str, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Codes of the first and last EDGE characters of pieces of text; 0 is padding, others fold into CHARS - 1 places."""
+    points = np.frombuffer((text + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.where(points > 0, 1 + points % (CHARS - 1), 0).astype(np.uint8)
+    span = np.arange(EDGE)
+    heads, tails = begins[:, None] + span, ends[:, None] - EDGE + span
+    places = np.concatenate([np.where(heads < ends[:, None], heads, len(text)), np.where(tails >= begins[:, None], tails, len(text))], axis=1)
+    return codes[places]
+
+
 def char_codes(words: list[str]) -> np.ndarray:
-    """Codes of each word's first and last EDGE characters; 0 is padding, others fold into CHARS - 1 places."""
-    heads = np.array([w[:EDGE] for w in words], f"<U{EDGE}")
-    tails = np.array([w[-EDGE:].rjust(EDGE, "\0") for w in words], f"<U{EDGE}")
-    points = np.concatenate([x.view(np.uint32).reshape(len(words), EDGE) for x in (heads, tails)], axis=1)
-    return np.where(points > 0, 1 + points % (CHARS - 1), 0)
+    """Codes of each word's first and last EDGE characters."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return coded("".join(words), np.append(0, ends)[:-1], ends)
 
 
 def inputs_of(word: str, vocabulary: Container[str]) -> list[str]:
@@ -59,25 +67,32 @@ def inputs_of(word: str, vocabulary: Container[str]) -> list[str]:
     return [word[k : k + 2 * EDGE] for k in [*range(0, last, EDGE), last]]
 
 
-def windows(n_words: int) -> np.ndarray:
-    """First words of a text's windows: every STRIDE, and one that ends with the text."""
-    if n_words <= WINDOW:
-        return np.zeros(1, np.int64)
-    starts = np.arange(0, n_words - WINDOW, STRIDE)
-    return np.append(starts, n_words - WINDOW)
+def cuts(lengths: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many inputs inputs_of makes of each word, and where they begin and end in the words joined; whole: read uncut."""
+    short = whole | (lengths <= 2 * EDGE)
+    counts = np.where(short, 1, 1 - (2 * EDGE - lengths) // EDGE)
+    word = np.repeat(np.arange(len(lengths)), counts)
+    nth = np.arange(len(word)) - (np.cumsum(counts) - counts)[word]
+    last = np.where(short, 0, lengths - 2 * EDGE)
+    begins = (np.cumsum(lengths) - lengths)[word] + np.minimum(nth * EDGE, last[word])
+    return counts, begins, begins + np.where(short, lengths, 2 * EDGE)[word]
+
 
+def indexed(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word rows of all windows (padding: 0), and the first window of each text, with the end.
 
-def indexed(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Word rows of all windows (padding: 0), and the first window of each text, with the end."""
-    rows, at = [], [0]
+    ids holds the rows of all texts' words one after another. A text's windows begin at every STRIDE, the last one ends with the text.
+    """
+    counts = np.where(lengths <= WINDOW, 1, 1 - (WINDOW - lengths) // STRIDE)
+    at = np.append(0, np.cumsum(counts))
+    text = np.repeat(np.arange(len(lengths)), counts)
+    starts = np.minimum((np.arange(at[-1]) - at[text]) * STRIDE, np.maximum(lengths - WINDOW, 0)[text])
+    begins, left = (np.cumsum(lengths) - lengths)[text] + starts, (lengths[text] - starts)[:, None]
     span = np.arange(WINDOW)
-    for ids in texts:
-        starts = windows(len(ids))
-        padded = np.zeros(max(len(ids), WINDOW), np.int64)
-        padded[: len(ids)] = ids
-        rows.append(padded[starts[:, None] + span])
-        at.append(at[-1] + len(starts))
-    return np.concatenate(rows), np.array(at)
+    padded = np.append(ids, np.zeros(WINDOW, ids.dtype))
+    rows = padded[begins[:, None] + span]
+    rows[span >= left] = 0
+    return rows, at
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -105,61 +120,127 @@ def read(net: Net, way: str, x: np.ndarray, keep: bool = False) -> tuple[np.ndar
     return states, saved
 
 
+def joined(f: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One matrix for both layers: f forwards, b backwards, side by side."""
+    out = np.zeros((f.shape[0] + b.shape[0], f.shape[1] + b.shape[1]), np.float32)
+    out[: f.shape[0], : f.shape[1]], out[f.shape[0] :, f.shape[1] :] = f, b
+    return out
+
+
 def window_logits(net: Net, projected: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Logits of windows; projected holds the inputs of each word row for both layers, row 0 for padding."""
+    """Logits of windows; projected holds the inputs of each word row for both layers, row 0 for padding.
+
+    The same as read() of both layers and attention, with both at once: one begins where the other ends, so each step
+    reads a word from either end. The sigmoid's halves are in the weights, and of states only what attention and output need is kept.
+    """
+    halves = np.split(net["gatesf"], 2, axis=1), np.split(net["gatesb"], 2, axis=1)
+    gates = 0.5 * np.stack([joined(f, b) for f, b in zip(*halves)])
+    candidate = 0.5 * joined(net["candidatef"], net["candidateb"])
+    ends = joined(*np.split(np.stack([net["attend"], net["out"]], axis=1), 2))
+    parts = projected.reshape(-1, HIDDEN)  # a row's update and reset gates and candidate, forwards, then backwards
+    gate = np.arange(3)[:, None, None]
     out = []
     for begin in range(0, len(rows), BLOCK):
         part = rows[begin : begin + BLOCK].T
-        x = projected[part]
-        states = np.concatenate([read(net, "f", x[..., : 3 * HIDDEN])[0], read(net, "b", x[..., 3 * HIDDEN :])[0]], axis=2)
-        weight = np.exp(states @ net["attend"] - 30.0 * (part == 0))
-        pooled = (states * weight[..., None]).sum(axis=0) / (weight.sum(axis=0)[:, None] + 1e-30)
-        out.append(pooled @ net["out"] + net["shift"][0])
+        n = part.shape[1]
+        places = np.stack([6 * part, 6 * part[::-1] + 3], axis=2)
+        h = np.zeros((n, 2 * HIDDEN), np.float32)
+        seen = np.empty((WINDOW, n, 4), np.float32)
+        x, change = np.empty((3, n, 2, HIDDEN), np.float32), np.empty_like(h)
+        both = x.reshape(3, n, 2 * HIDDEN)
+        zr, c = both[:2], both[2]
+        for t in range(WINDOW):
+            np.take(parts, places[t] + gate, axis=0, out=x, mode="clip")
+            zr += h @ gates
+            np.tanh(zr, out=zr)
+            zr += 1
+            np.multiply(zr[1], h, out=change)
+            c += change @ candidate
+            np.tanh(c, out=c)
+            np.subtract(c, h, out=change)
+            change *= zr[0]
+            change *= 0.5
+            h += change
+            np.matmul(h, ends, out=seen[t])
+        score, value = np.moveaxis(seen[..., :2] + seen[::-1, :, 2:], 2, 0)
+        weight = np.exp(score - 30.0 * (part == 0))
+        out.append((weight * value).sum(axis=0) / (weight.sum(axis=0) + 1e-30) + net["shift"][0])
     return np.concatenate(out)
 
 
+#: Half for the gates, whose sigmoid is a tanh of half its argument.
+HALF = np.tile(np.repeat(np.array([0.5, 0.5, 1], np.float32), HIDDEN), 2)
+
+
 def project(net: Net, word_rows: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    return (inputs(net, word_rows, chars) @ net["project"] + net["offset"]).astype(np.float32)
+    """Inputs of window_logits."""
+    return (inputs(net, word_rows, chars) @ (net["project"] * HALF) + net["offset"] * HALF).astype(np.float32, copy=False)
 
 
 class Scorer:
-    """Scores texts; the projected inputs of words met before are remembered."""
+    """Scores texts; the projected inputs of the vocabulary and of words met before are remembered."""
 
     def __init__(self, net: Net, vocabulary: dict[str, int]):
         self.net, self.vocabulary = net, vocabulary
-        self.projected: np.ndarray | None = None
-        self.clear()
+        self.most = max(REMEMBERED, 2 * len(vocabulary))
+        self.projected = np.zeros((self.most, 6 * HIDDEN), np.float32)  # row 0: padding
+        self.words: dict[str, int] = {}
+        self.bounds = np.zeros(1, np.int64)  # of each word's inputs in rows
+        self.rows = np.zeros(0, np.int64)
+        self.used = 1
+        if vocabulary:
+            self.learn(list(vocabulary), np.fromiter(vocabulary.values(), np.int64, len(vocabulary)))
+        self.kept = self.used
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {"": 0}
-        self.parts: dict[str, list[int]] = {}
-        self.held = 0
-        if self.projected is None or len(self.projected) > REMEMBERED:
-            self.projected = np.zeros((REMEMBERED, 6 * HIDDEN), np.float32)  # row 0: padding
-
-    def unknown(self, words: list[list[str]]) -> tuple[dict[str, list[str]], list[str]]:
-        """The inputs of words not met before, and those of them that have no row yet."""
-        cut = {w: inputs_of(w, self.vocabulary) for w in {w for ws in words for w in ws} - self.parts.keys()}
-        return cut, list({x for xs in cut.values() for x in xs} - self.rows.keys())
+        """Forgets all words but the vocabulary's."""
+        n = len(self.vocabulary)
+        self.words = dict(zip(self.vocabulary, range(n)))
+        self.bounds, self.rows, self.used = self.bounds[: n + 1].copy(), self.rows[:n].copy(), self.kept
+        if len(self.projected) > self.most:
+            self.projected = self.projected[: self.most].copy()
+
+    def learn(self, new: list[str], own: np.ndarray) -> None:
+        """Projects the inputs of words not met before, equal ones once; own: the words' places in the vocabulary, or 0."""
+        text, get = "".join(new), self.vocabulary.get
+        counts, begins, ends = cuts(np.fromiter(map(len, new), np.int64, len(new)), own > 0)
+        known, several = np.repeat(own, counts), np.repeat(counts > 1, counts)
+        known[several] = [get(text[a:b], 0) for a, b in zip(begins[several].tolist(), ends[several].tolist())]
+        chars = coded(text, begins, ends)
+        keys = np.where(known > 0, np.uint64(2**63) + known.astype(np.uint64), chars.view(np.uint64)[:, 0])  # codes are below 128
+        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        end = self.used + len(first)
+        if end > len(self.projected):
+            larger = np.zeros((end, 6 * HIDDEN), np.float32)  # for this call alone: the next one clears it
+            larger[: self.used] = self.projected[: self.used]
+            self.projected = larger
+        self.projected[self.used : end] = project(self.net, known[first], chars[first])
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(counts))
+        self.rows = np.append(self.rows, self.used + place)
+        self.used = end
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        words = [WORD.findall(t.lower()) for t in texts]
-        cut, new = self.unknown(words)
-        if len(self.rows) + len(new) > REMEMBERED or self.held > 2 * REMEMBERED:
+        split = [WORD.findall(t.lower()) for t in texts]
+        flat = list(chain.from_iterable(split))
+        met = set(flat)
+        new = list(met - self.words.keys())
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        needed = int(np.maximum(1, 1 - (2 * EDGE - lengths) // EDGE).sum())
+        if self.used + needed > self.most or len(self.rows) > 2 * self.most:
             self.clear()
-            cut, new = self.unknown(words)
-        if len(self.rows) + len(new) > len(self.projected):
-            self.projected = np.zeros((len(self.rows) + len(new), 6 * HIDDEN), np.float32)  # for this call alone: the next one clears it
+            new = list(met - self.words.keys())
         if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            known = np.array([self.vocabulary.get(w, 0) for w in new])
-            self.projected[len(self.rows) - len(new) : len(self.rows)] = project(self.net, known, char_codes(new))
-        self.parts.update((w, [self.rows[x] for x in xs]) for w, xs in cut.items())
-        self.held += sum(map(len, cut.values())) + len(cut)
-        get = self.parts.__getitem__
-        rows, at = indexed([list(chain.from_iterable(map(get, ws))) for ws in words])
+            self.learn(new, np.zeros(len(new), np.int64))
+        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        begins = self.bounds[word]
+        counts = self.bounds[word + 1] - begins
+        ends = np.append(0, np.cumsum(counts))
+        ids = self.rows[np.repeat(begins - ends[:-1], counts) + np.arange(ends[-1])]
+        of_text = np.append(0, np.cumsum(np.fromiter(map(len, split), np.int64, len(split))))
+        rows, at = indexed(ids, np.diff(ends[of_text]))
         logits = window_logits(self.net, self.projected, rows)
         return 1 / (1 + np.exp(-np.maximum.reduceat(logits, at[:-1]).astype(np.float64)))
 
@@ -235,7 +316,8 @@ def fit(sample: list[tuple[str, int]], passes: int = 20_000, batch: int = 32, ra
     row = {w: i for i, w in enumerate(all_words)}
     known = np.array([vocabulary.get(w, 0) for w in all_words])
     chars = char_codes(all_words)
-    texts = [[row[w] for w in words] for words in split]
+    texts = [np.array([row[w] for w in words], np.int64) for words in split]
+    lengths = np.array([len(words) for words in split])
     labels = np.array([y for _, y in sample], np.float32)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     net = fresh(len(vocabulary), seed)
@@ -246,7 +328,7 @@ def fit(sample: list[tuple[str, int]], passes: int = 20_000, batch: int = 32, ra
         order = draw.permutation(len(sample))
         for begin in range(0, len(order), batch):
             chosen = order[begin : begin + batch]
-            rows, at = indexed([texts[i] for i in chosen])
+            rows, at = indexed(np.concatenate([texts[i] for i in chosen]), lengths[chosen])
             met, place = np.unique(np.append(rows.ravel(), 0), return_inverse=True)
             projected = project(net, known[met], chars[met])
             projected[0] = 0  # padding is the least row
