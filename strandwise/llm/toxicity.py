@@ -47,10 +47,12 @@ def coded(text: str, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Codes of the first and last EDGE characters of pieces of text; 0 is padding, others fold into CHARS - 1 places."""
     points = np.frombuffer((text + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(points > 0, 1 + points % (CHARS - 1), 0).astype(np.uint8)
-    span = np.arange(EDGE)
-    heads, tails = begins[:, None] + span, ends[:, None] - EDGE + span
-    places = np.concatenate([np.where(heads < ends[:, None], heads, len(text)), np.where(tails >= begins[:, None], tails, len(text))], axis=1)
-    return codes[places]
+    out = np.empty((len(begins), 2 * EDGE), np.uint8)
+    for k in range(EDGE):
+        head, tail = begins + k, ends - EDGE + k
+        out[:, k] = codes[np.where(head < ends, head, len(text))]
+        out[:, EDGE + k] = codes[np.where(tail >= begins, tail, len(text))]
+    return out
 
 
 def char_codes(words: list[str]) -> np.ndarray:
@@ -205,7 +207,7 @@ class Scorer:
         text, get = "".join(new), self.vocabulary.get
         counts, begins, ends = cuts(np.fromiter(map(len, new), np.int64, len(new)), own > 0)
         known, several = np.repeat(own, counts), np.repeat(counts > 1, counts)
-        known[several] = [get(text[a:b], 0) for a, b in zip(begins[several].tolist(), ends[several].tolist())]
+        known[several] = [get(text[a : a + 2 * EDGE], 0) for a in begins[several].tolist()]
         chars = coded(text, begins, ends)
         keys = np.where(known > 0, np.uint64(2**63) + known.astype(np.uint64), chars.view(np.uint64)[:, 0])  # codes are below 128
         _, first, place = np.unique(keys, return_index=True, return_inverse=True)
