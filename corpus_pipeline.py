@@ -23,15 +23,17 @@ from strandwise.session import written
 
 #: Rows that go to a Python worker at once: whole texts are held there and, as Arrow vectors, beside the JVM's heap.
 BATCH_ROWS = 1000
+#: Rows that Parquet's reader decodes at once: it holds their whole texts in one vector on the JVM's heap, which doubles as it grows.
+READ_ROWS = 256
 
 
 def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, with at most BATCH_ROWS rows in an Arrow batch of the session; a lower number stays."""
+    """The stage, with at most BATCH_ROWS rows in an Arrow batch of the session and READ_ROWS in one of Parquet's reader; a lower number stays."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-            spark.conf.set(name, str(BATCH_ROWS))
+        for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+            if not 0 < int(spark.conf.get(name)) <= most:
+                spark.conf.set(name, str(most))
         return stage(spark, docs, sf_dir)
 
     return run_stage

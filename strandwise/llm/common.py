@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points of text that a Python worker holds at once, but for a single longer text.
@@ -190,11 +190,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int) -> list[tuple[str, int]]:
+#: Code points of a labelled sample's texts, half of each class: the sample is gathered and fitted on the driver.
+SAMPLE_CHARS = 32_000_000
+
+
+def within(sizes: list[Row], most: int) -> set[tuple]:
+    """sample_id and y of the rows (draw, sample_id, y, n) that a sample of at most `most` code points keeps.
+
+    Rows of a class are taken in the order of draw, but for those that its half has no room left for; the shortest, if none fits.
+    """
+    out: set[tuple] = set()
+    for label in {r.y for r in sizes}:
+        room, taken = most // 2, set()
+        own = sorted((r for r in sizes if r.y == label), key=lambda r: (r.draw, r.sample_id))
+        for r in own:
+            if r.n <= room:
+                room -= r.n
+                taken.add((r.sample_id, label))
+        out |= taken or {(min(own, key=lambda r: r.n).sample_id, label)}
+    return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int, most: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
     """Texts and labels of at most bound rows, half of each class at most, that are not held out.
 
     The rows with the least hashes of doc_id are taken, so the sample is the same however the tables are dealt.
     Of rows that share a doc_id, the one of least text hash stands for all. Rows without a label or doc_id are passed over.
+    Rows whose texts have more than `most` code points together are thinned out by within() before texts are gathered.
     """
     open_rows = labels.select(F.col("doc_id").alias("sample_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     draw = F.xxhash64("sample_id", F.lit(seed))
@@ -202,8 +224,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     chosen = F.broadcast(each[0].unionAll(each[1]))
     texts = docs.select(F.col("doc_id").alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
     met = texts.join(chosen, texts["text_id"] == chosen["sample_id"]).select("draw", "sample_id", "y", "text")
-    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
-    rows = met.groupBy("draw", "sample_id", "y").agg(least.alias("text")).collect()
+    hashed = F.xxhash64("text").alias("hash")
+    each_id = met.groupBy("draw", "sample_id", "y")
+    sizes = each_id.agg(F.min(F.struct(hashed, F.length("text").alias("n")))["n"].alias("n")).collect()
+    kept = within(sizes, most)
+    if len(kept) < len(sizes):
+        each_id = met.where(F.col("sample_id").isin(sorted({i for i, _ in kept}))).groupBy("draw", "sample_id", "y")
+    rows = [r for r in each_id.agg(F.min(F.struct(hashed, "text"))["text"].alias("text")).collect() if (r.sample_id, r.y) in kept]
     rows.sort(key=lambda r: (r.draw, r.sample_id, r.text, r.y))
     return [(r.text, r.y) for r in rows]
 

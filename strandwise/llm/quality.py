@@ -25,6 +25,8 @@ from strandwise.llm.common import held_out, labelled_sample, slices, tidy, utf8
 STEP, CHUNK = 8, 16
 DIM, FILTERS = 8, 32
 SEED = 11
+#: Rows of STEP bytes whose filter outputs are held at a time; only a single longer text has more.
+BLOCK = 1 << 18
 
 Net = dict[str, np.ndarray]
 
@@ -46,14 +48,28 @@ def responses(net: Net, rows: np.ndarray) -> np.ndarray:
     return x[:-1] @ net["first"] + x[1:] @ net["second"] + net["bias"]
 
 
+def peaks(net: Net, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's highest filter outputs, and the rows at which the chunks that give them begin; BLOCK rows are held at a time."""
+    best = np.full((len(at) - 1, FILTERS), -np.inf, np.float32)
+    win = np.zeros(best.shape, np.int64)
+    for begin in range(0, len(rows) - 1, BLOCK):
+        out = responses(net, rows[begin : begin + BLOCK + 1])
+        end = begin + len(out)
+        for i in range(np.searchsorted(at, begin, side="right") - 1, np.searchsorted(at, end)):
+            a, b = max(at[i], begin), min(at[i + 1] - 1, end)  # a chunk never spans two texts
+            if a >= b:
+                continue
+            top = out[a - begin : b - begin].argmax(axis=0)
+            value = out[a - begin + top, np.arange(FILTERS)]
+            higher = value > best[i]
+            best[i, higher], win[i, higher] = value[higher], a + top[higher]
+    return best, win
+
+
 def scores(net: Net, texts: list[str]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    rows, at = laid_out(texts)
-    out = responses(net, rows)
-    out = np.vstack([out, np.full((1, FILTERS), -np.inf, np.float32)])
-    out[at[1:] - 1] = -np.inf  # a chunk never spans two texts
-    pooled = np.maximum(np.maximum.reduceat(out, at[:-1], axis=0), 0)
+    pooled = np.maximum(peaks(net, *laid_out(texts))[0], 0)
     return 1 / (1 + np.exp(-(pooled @ net["out"] + net["shift"][0]).astype(np.float64)))
 
 
@@ -79,9 +95,8 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 32, rate:
         for begin in range(0, len(order), batch):
             chosen = order[begin : begin + batch]
             rows, at = laid_out([sample[i][0] for i in chosen])
-            out = responses(net, rows)
-            win = np.stack([a + out[a : b - 1].argmax(axis=0) for a, b in zip(at, at[1:])])
-            top = np.maximum(out[win, np.arange(FILTERS)], 0)
+            best, win = peaks(net, rows, at)
+            top = np.maximum(best, 0)
             logit = top @ net["out"] + net["shift"][0]
             error = ((1 / (1 + np.exp(-logit))) - labels[chosen]) * weight[chosen] / len(chosen)
             back = error[:, None] * net["out"] * (top > 0)
